@@ -34,6 +34,25 @@ def _price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return best[capacity], pattern
 
 
+def _first_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Greedy patterns, each using up a class that no later one holds: a triangular basis with a feasible solution."""
+    left, columns = need.copy(), np.zeros((len(sizes), len(sizes)))
+    done = np.zeros(len(sizes), bool)
+    while not done.all():
+        room, pattern = capacity, np.zeros(len(sizes))
+        for k in range(len(sizes) - 1, -1, -1):
+            if not done[k]:
+                pattern[k] = min(np.ceil(left[k]), room // sizes[k])
+                room -= pattern[k] * sizes[k]
+        used = pattern > 0
+        copies = (left[used] / pattern[used]).min()
+        left = left - pattern * copies
+        for n, k in enumerate(np.flatnonzero(used & (left < 1e-6))):
+            columns[:, k] = pattern if n == 0 else np.eye(len(sizes))[k]
+            left[k], done[k] = 0, True
+    return columns
+
+
 def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 1e-3) -> list[tuple[dict[int, int], int]]:
     """Patterns ({size: how many}, copies) that cover the demand exactly, in few sequences of the capacity.
 
@@ -48,19 +67,24 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 1e-3
     if sizes[0] < 1 or sizes[-1] > capacity:
         raise ValueError("sizes must be between 1 and the capacity")
     need = np.array([demand[s] for s in sizes.tolist()], float)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
-    for _ in range(50 * len(sizes)):
+    basis = _first_basis(need, sizes, capacity)
+    inverse = np.linalg.inv(basis)
+    bound = float(need @ sizes) / capacity
+    for turn in range(50 * len(sizes)):
         value, column = _price(inverse.sum(axis=0), sizes, capacity)
-        if value <= 1 + tolerance:  # total / value bounds the optimum from below (Farley)
+        x = inverse @ need
+        bound = max(bound, x.sum() / value)  # Farley: total / value is below the optimum
+        if value <= 1 + 1e-9 or x.sum() <= (1 + tolerance) * bound:
             break
-        x, d = inverse @ need, inverse @ column
+        d = inverse @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         pivot = inverse[out] / d[out]
         inverse -= np.outer(d, pivot)
         inverse[out] = pivot
         basis[:, out] = column
+        if turn % 200 == 199:
+            inverse = np.linalg.inv(basis)
     whole = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-6).astype(np.int64)
     left = need.astype(np.int64) - basis.astype(np.int64) @ whole
     for k in np.flatnonzero(whole):
