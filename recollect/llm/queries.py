@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import near_dup, packing, tokens
+from recollect.llm import lm, near_dup, packing, tokens
 from recollect.llm._common import save
 
 
@@ -31,9 +31,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_token_counts": op9_token_counts,
 }
 
