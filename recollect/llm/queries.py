@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import lm, near_dup, packing, tokens
-from recollect.llm._common import save
+from recollect.llm import langid, lm, near_dup, packing, quality, tokens
+from recollect.llm._common import fold, save
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs.select("doc_id", fold("doc_id", 5).alias("f"), "text"), net)
+    return out.select("doc_id", (F.col("f") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", fold("doc_id", 5).alias("f"), "text"), langid.train(docs), spans=False)
+    return out.select("doc_id", (F.col("f") == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -38,6 +51,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op5_quality": op5_quality,
+    "op6_language_id": op6_language_id,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_token_counts": op9_token_counts,
 }
