@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, langid, lm, near_dup, packing, quality, tokens
+from recollect.llm import ann, langid, lm, near_dup, packing, quality, tokens, vector_dup
 from recollect.llm._common import fold, save
 
 
@@ -28,6 +28,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(save(pieces, "pieces"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
