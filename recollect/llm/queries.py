@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, langid, lm, near_dup, packing, quality, tokens, vector_dup
+from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, tokens, vector_dup
 from recollect.llm._common import fold, save
 
 
@@ -40,6 +40,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights at 95 % of the largest entropy, over as many tokens as the corpus has."""
+    mixed = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy_share=0.95)
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "copies", "order_key")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -61,6 +67,7 @@ QUERIES = {
     "op1_nearest": op1_nearest,
     "op3_packing": op3_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op4_source_mixing": op4_source_mixing,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_lm_scoring": op7_lm_scoring,
@@ -68,4 +75,28 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+OP4_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':1'), 1, 15))::BIGINT AS order_key
+  FROM documents),
+s AS (SELECT source, sum(n_tokens)::DOUBLE AS own FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+p AS (SELECT source, own, own / (SELECT sum(own) FROM s) AS p FROM s),
+h AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 4.0::DOUBLE AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN e > t THEN (lo + hi) / 2 ELSE lo END, CASE WHEN e > t THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT h.i, h.lo, h.hi, 0.95 * ln((SELECT count(*) FROM p)) AS t,
+               (SELECT ln(sum(pow(p, (h.lo + h.hi) / 2))) - (h.lo + h.hi) / 2 * sum(pow(p, (h.lo + h.hi) / 2) * ln(p)) / sum(pow(p, (h.lo + h.hi) / 2)) FROM p) AS e
+        FROM h WHERE h.i < 32)),
+a AS (SELECT round((lo + hi) / 2, 6) AS a FROM h WHERE i = 32),
+w AS (SELECT source, own, pow(p, a) / sum(pow(p, a)) OVER () AS weight, pow(p, a) / sum(pow(p, a)) OVER () * sum(own) OVER () AS quota FROM p, a),
+f AS (SELECT *, floor(quota / own + 1e-9) AS full_passes FROM w),
+r AS (SELECT *, greatest(quota - full_passes * own, 0) AS rest FROM f),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY order_key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+SELECT c.doc_id, c.source, c.n_tokens, round(coalesce(r.weight, 0), 6) AS weight,
+       coalesce(r.full_passes + CASE WHEN c.upto <= r.rest THEN 1 ELSE 0 END, 0)::BIGINT AS copies, c.order_key
+FROM c LEFT JOIN r ON c.source IS NOT DISTINCT FROM r.source
+"""
+
+ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL}
