@@ -1,10 +1,11 @@
 """MinHash near-duplicates of documents with odd sketches, links confirmed on full sets of word shingles.
 
-Each distinct shingle set gives 128 MinHash samples, 32 band keys of 4 samples, and an odd sketch: the samples are
-folded into a bitmap of 512 parities, so that the population count of two sketches' XOR estimates their similarity.
-Sets that share a band are compared by sketch; pairs that the sketch doesn't rule out are confirmed on the full sets.
-Comparison goes in rounds, each over what the links so far leave unconnected: first every member of a band bucket
-against its smallest, then each member against its most similar others of other groups, ever more of them, at last all.
+Each distinct shingle set gives 128 MinHash samples in 32 bands of 4. Sets that share a band are candidates. Comparison
+goes in rounds, each over what the links so far leave unconnected. At first every member of a band's bucket is confirmed
+against its smallest. The members of buckets that still hold several groups get odd sketches: 1024 MinHash samples
+folded into a bitmap of 4096 parities, so that the population count of two sketches' XOR gives their similarity within
+about 0.016. Each is compared with the most similar others of other groups, ever more of them, at last with all;
+pairs that the sketches don't rule out are confirmed on the full sets.
 So a group of n near copies costs about n confirmations, while no pair stays untested that could still connect groups.
 At 75 % similarity a pair shares no band with probability below 1e-5.
 """
@@ -22,10 +23,11 @@ from recollect.llm import _text as T
 from recollect.llm._common import save
 from recollect.llm.components import connected_components
 
-SAMPLES, BANDS, BITS = 128, 32, 512
-ROWS = SAMPLES // BANDS
-#: Sketch estimates below this are ruled out: four and a half deviations of the estimate under 0.75.
-PLAUSIBLE = 0.56
+BANDS, ROWS = 32, 4
+#: Samples and bits of an odd sketch.
+SAMPLES, BITS = 1024, 4096
+#: Sketch estimates further than this below the threshold are ruled out: four and a half deviations of the estimate.
+MARGIN = 0.072
 #: Members of a bucket compared in one task at once.
 CHUNK = 1024
 #: Most similar partners tried for each member in the rounds after the first; None: all of them.
@@ -44,10 +46,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return (np.concatenate(sets) if sets else np.empty(0, T.U64)), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
-def samples(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """MinHash samples (documents x SAMPLES) of non-empty sets."""
-    out = np.empty((len(bounds) - 1, SAMPLES), T.U64)
-    for k in range(SAMPLES):
+def samples(shingles: np.ndarray, bounds: np.ndarray, many: int) -> np.ndarray:
+    """The first MinHash samples (documents x many) of non-empty sets."""
+    out = np.empty((len(bounds) - 1, many), T.U64)
+    for k in range(many):
         out[:, k] = np.minimum.reduceat(shingles * _A[k] + _B[k], bounds[:-1])
     return out
 
@@ -76,12 +78,13 @@ def similarity(xor_bits: np.ndarray) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * xor_bits / BITS, 1e-9))
 
 
-#: The largest XOR count that is still plausible.
-FARTHEST = int(np.flatnonzero(similarity(np.arange(BITS + 1)) >= PLAUSIBLE)[-1])
+def farthest(percent: int) -> int:
+    """The largest XOR count at which a similarity of percent is still plausible."""
+    return int(np.flatnonzero(similarity(np.arange(BITS + 1)) >= percent / 100 - MARGIN)[-1])
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit fingerprint of the set), bands (array of long), sketch (binary). Empty sets: nulls."""
+    """doc_id, n_shingles, fp (128-bit fingerprint of the set), bands (array of long). Empty sets: nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,9 +96,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 begin = at[:-1][some]
                 full = np.concatenate([begin, at[-1:]])
                 if some.any():
-                    mins = samples(sh, full)
+                    mins = samples(sh, full, BANDS * ROWS)
                     fp = np.stack([np.add.reduceat(T.mix(sh), begin), np.add.reduceat(T.mix(sh ^ _A[0]), begin)], axis=1)
-                    keys, sketch = band_keys(mins).view(np.int64), odd_sketch(mins)
+                    keys = band_keys(mins).view(np.int64)
                 rank = np.cumsum(some) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -103,12 +106,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                         pa.array(n, pa.int64()),
                         pa.array([fp[r].tobytes() if s else None for s, r in zip(some, rank)], pa.binary()),
                         pa.array([keys[r] if s else None for s, r in zip(some, rank)], pa.list_(pa.int64())),
-                        pa.array([sketch[r].tobytes() if s else None for s, r in zip(some, rank)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "fp", "bands", "sketch"],
+                    names=["doc_id", "n_shingles", "fp", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -124,6 +126,20 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, shingles binary")
 
 
+def odd_sketches(sets: DataFrame) -> DataFrame:
+    """node, sketch of a table of full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                each = [np.frombuffer(x.as_buffer(), T.U64) for x in part.column(1)]
+                mins = samples(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), SAMPLES)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in odd_sketch(mins)], pa.binary())], names=["node", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "node long, sketch binary")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
@@ -148,7 +164,7 @@ def _chunked(members: DataFrame) -> DataFrame:
     return dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "sketch")
 
 
-def _plausible(tried: int | None):
+def _plausible(tried: int | None, most: int):
     def pairs(node: np.ndarray, comp: np.ndarray, c: np.ndarray, sketch: np.ndarray, cross: bool) -> tuple[list, list]:
         out_a, out_b = [], []
         left = np.flatnonzero(c == c.min()) if cross else np.arange(len(node))
@@ -156,7 +172,7 @@ def _plausible(tried: int | None):
         for s in range(0, len(left), 64):
             rows = left[s : s + 64]
             far = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            ok = (far <= FARTHEST) & (comp[rows][:, None] != comp[right][None, :])
+            ok = (far <= most) & (comp[rows][:, None] != comp[right][None, :])
             if tried is None:
                 if not cross:
                     ok &= node[rows][:, None] < node[right][None, :]
@@ -213,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sig = save(signatures(docs, id_col, text_col, words), "signatures")
     some = sig.filter("fp is not null and doc_id is not null")
-    classes = save(some.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = save(some.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
     smallest = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = save(banded.join(smallest, "bucket"), "members")
@@ -221,15 +237,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meeting = save(members.select("node").distinct(), "meeting")
     sets = save(full_sets(docs.join(meeting.withColumnRenamed("node", id_col), id_col, "left_semi").select(id_col, text_col).dropDuplicates([id_col]), id_col, text_col, words), "sets")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h")).groupBy("n", "h").agg(F.min("bucket").alias("bucket"))  # buckets of the same members count once
-    members = save(members.join(buckets.select("bucket"), "bucket", "left_semi").select("bucket", "node").join(classes.select("node", "sketch"), "node"), "members")
-    links, labels, seen = save(confirm(pairs, sets, percent), "links"), None, pairs
+    members = save(members.join(buckets.select("bucket"), "bucket", "left_semi").select("bucket", "node"), "members")
+    links, labels, seen, sketches = save(confirm(pairs, sets, percent), "links"), None, pairs, None
     for turn in (0, *TRIED):
         if turn != 0:
             open_ = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
             mixed = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-            dealt = _chunked(save(open_.join(mixed, "bucket", "left_semi").select("bucket", "node", "comp", "sketch"), "open"))
+            open_ = save(open_.join(mixed, "bucket", "left_semi").select("bucket", "node", "comp"), "open")
+            if sketches is None:  # later rounds have no other members
+                sketches = save(odd_sketches(sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sketches")
+            dealt = _chunked(open_.join(sketches, "node"))
             dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            pairs = save(dealt.mapInArrow(_plausible(turn), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+            pairs = save(dealt.mapInArrow(_plausible(turn, farthest(percent)), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
                 if turn is None:
                     break

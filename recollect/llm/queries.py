@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, tokens, vector_dup
-from recollect.llm._common import fold, save
+from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, tokens, vector_dup, warc
+from recollect.llm._common import fold, save, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,22 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder and read back: digests and sizes of responses are those of the payloads read."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    records = warc.read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    response = F.col("record_type") == "response"
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -65,6 +83,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest": op1_nearest,
+    "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op4_source_mixing": op4_source_mixing,
@@ -99,4 +118,16 @@ SELECT c.doc_id, c.source, c.n_tokens, round(coalesce(r.weight, 0), 6) AS weight
 FROM c LEFT JOIN r ON c.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL}
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first_id FROM q GROUP BY h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(q.h, 10 * (i // 8)::INT + 1, 10))::BIGINT >> (5 * (7 - i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM q JOIN f USING (h)
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_source_mixing": OP4_SQL}
