@@ -53,7 +53,7 @@ def _first_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarr
     return columns
 
 
-def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 1e-3) -> list[tuple[dict[int, int], int]]:
+def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 2e-3) -> list[tuple[dict[int, int], int]]:
     """Patterns ({size: how many}, copies) that cover the demand exactly, in few sequences of the capacity.
 
     Sizes are whole numbers from 1 to capacity. Columns are added until the relaxed total is proven to be within
@@ -69,12 +69,22 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 1e-3
     need = np.array([demand[s] for s in sizes.tolist()], float)
     basis = _first_basis(need, sizes, capacity)
     inverse = np.linalg.inv(basis)
-    bound = float(need @ sizes) / capacity
-    for turn in range(50 * len(sizes)):
-        value, column = _price(inverse.sum(axis=0), sizes, capacity)
-        x = inverse @ need
-        bound = max(bound, x.sum() / value)  # Farley: total / value is below the optimum
-        if value <= 1 + 1e-9 or x.sum() <= (1 + tolerance) * bound:
+    best = sizes / capacity  # feasible duals, whose total bounds the optimum from below
+    bound = float(need @ best)
+    for turn in range(20 * len(sizes)):
+        duals, x = inverse.sum(axis=0), inverse @ need
+        if x.sum() <= (1 + tolerance) * bound:
+            break
+        column = None
+        for pull in (0.85, 0.5, 0.0):  # duals are drawn to the best ones so far, which steadies them
+            mixed = pull * best + (1 - pull) * duals
+            value, pattern = _price(mixed, sizes, capacity)
+            if (total := float(need @ mixed) / max(value, 1e-9)) > bound:  # Farley's bound
+                bound, best = total, mixed / value
+            if pattern @ duals > 1 + 1e-7:
+                column = pattern
+                break
+        if column is None:
             break
         d = inverse @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
@@ -83,7 +93,7 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 1e-3
         inverse -= np.outer(d, pivot)
         inverse[out] = pivot
         basis[:, out] = column
-        if turn % 200 == 199:
+        if turn % 100 == 99:
             inverse = np.linalg.inv(basis)
     whole = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-6).astype(np.int64)
     left = need.astype(np.int64) - basis.astype(np.int64) @ whole
