@@ -34,6 +34,24 @@ def _price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return best[capacity], pattern
 
 
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination. The threads of a BLAS library can stall beside the driver's JVM, so none is called here."""
+    n = len(m)
+    a = np.hstack([m, np.eye(n)])
+    for k in range(n):
+        top = k + int(np.abs(a[k:, k]).argmax())
+        a[[k, top]] = a[[top, k]]
+        a[k] /= a[k, k]
+        others = a[:, k].copy()
+        others[k] = 0
+        a -= others[:, None] * a[k]
+    return a[:, n:]
+
+
+def _times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (m * v).sum(axis=1)
+
+
 def _first_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Greedy patterns, each using up a class that no later one holds: a triangular basis with a feasible solution."""
     left, columns = need.copy(), np.zeros((len(sizes), len(sizes)))
@@ -68,11 +86,11 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 2e-3
         raise ValueError("sizes must be between 1 and the capacity")
     need = np.array([demand[s] for s in sizes.tolist()], float)
     basis = _first_basis(need, sizes, capacity)
-    inverse = np.linalg.inv(basis)
+    inverse = _inverse(basis)
     best = sizes / capacity  # feasible duals, whose total bounds the optimum from below
     bound = float(need @ best)
     for turn in range(20 * len(sizes)):
-        duals, x = inverse.sum(axis=0), inverse @ need
+        duals, x = inverse.sum(axis=0), _times(inverse, need)
         if x.sum() <= (1 + tolerance) * bound:
             break
         column = None
@@ -86,7 +104,7 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 2e-3
                 break
         if column is None:
             break
-        d = inverse @ column
+        d = _times(inverse, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         pivot = inverse[out] / d[out]
@@ -94,9 +112,9 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 2e-3
         inverse[out] = pivot
         basis[:, out] = column
         if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
-    whole = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-6).astype(np.int64)
-    left = need.astype(np.int64) - basis.astype(np.int64) @ whole
+            inverse = _inverse(basis)
+    whole = np.floor(np.maximum(_times(_inverse(basis), need), 0) + 1e-6).astype(np.int64)
+    left = need.astype(np.int64) - (basis.astype(np.int64) * whole).sum(axis=1)
     for k in np.flatnonzero(whole):
         while (left < 0).any() and whole[k] and (basis[:, k][left < 0] > 0).any():  # a copy too many by rounding error
             whole[k] -= 1
