@@ -2,10 +2,11 @@
 
 Each distinct shingle set gives 128 MinHash samples in 32 bands of 4. Sets that share a band are candidates. Comparison
 goes in rounds, each over what the links so far leave unconnected. At first every member of a band's bucket is confirmed
-against its smallest. The members of buckets that still hold several groups get odd sketches: 1024 MinHash samples
-folded into a bitmap of 4096 parities, so that the population count of two sketches' XOR gives their similarity within
-about 0.016. Each is compared with the most similar others of other groups, ever more of them, at last with all;
+against its smallest. The members of buckets that still hold several groups get odd sketches: 2048 MinHash samples
+folded into a bitmap of 8192 parities, so that the population count of two sketches' XOR gives their similarity within
+about 0.011. Each is compared with the most similar others of other groups, ever more of them, at last with all;
 pairs that the sketches don't rule out are confirmed on the full sets.
+A pair is taken in the first band that its sets share, from the side of the larger group id, and so only once.
 So a group of n near copies costs about n confirmations, while no pair stays untested that could still connect groups.
 At 75 % similarity a pair shares no band with probability below 1e-5.
 """
@@ -25,13 +26,13 @@ from recollect.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
 #: Samples and bits of an odd sketch.
-SAMPLES, BITS = 1024, 4096
+SAMPLES, BITS = 2048, 8192
 #: Sketch estimates further than this below the threshold are ruled out: four and a half deviations of the estimate.
-MARGIN = 0.072
+MARGIN = 0.051
 #: Members of a bucket compared in one task at once.
 CHUNK = 1024
 #: Most similar partners tried for each member in the rounds after the first; None: all of them.
-TRIED = (4, 32, None)
+TRIED = (4, None)
 
 _A = T.mix(np.arange(1, SAMPLES + 1, dtype=T.U64) * T.U64(0x9E3779B97F4A7C15)) | T.U64(1)
 _B = T.mix(np.arange(1, SAMPLES + 1, dtype=T.U64) * T.U64(0xC2B2AE3D27D4EB4F))
@@ -158,32 +159,30 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _chunked(members: DataFrame) -> DataFrame:
-    """Members of buckets (bucket, node, comp, sketch) dealt to pairs of chunks (bucket, i, j): every two members meet in one."""
+    """Members of buckets (bucket, node, comp, band, bands, sketch) dealt to pairs of chunks (bucket, i, j): every two members meet in one."""
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")).filter("n > 1")
     dealt = members.join(sizes, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    return dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "sketch")
+    return dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "comp", "band", "bands", "sketch")
 
 
 def _plausible(tried: int | None, most: int):
-    def pairs(node: np.ndarray, comp: np.ndarray, c: np.ndarray, sketch: np.ndarray, cross: bool) -> tuple[list, list]:
+    def pairs(node: np.ndarray, comp: np.ndarray, c: np.ndarray, band: int, keys: np.ndarray, sketch: np.ndarray, cross: bool) -> tuple[list, list]:
         out_a, out_b = [], []
-        left = np.flatnonzero(c == c.min()) if cross else np.arange(len(node))
-        right = np.flatnonzero(c != c.min()) if cross else left
-        for s in range(0, len(left), 64):
-            rows = left[s : s + 64]
-            far = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            ok = (far <= most) & (comp[rows][:, None] != comp[right][None, :])
-            if tried is None:
-                if not cross:
-                    ok &= node[rows][:, None] < node[right][None, :]
-                x, y = np.nonzero(ok)
-            else:
-                far = np.where(ok, far, BITS + 1)
-                k = min(tried, len(right))
-                best = np.argpartition(far, k - 1, axis=1)[:, :k]
-                x, y = np.nonzero(np.take_along_axis(ok, best, axis=1))
-                y = best[x, y]
-            out_a.append(node[rows[x]]), out_b.append(node[right[y]])
+        parts = [(np.flatnonzero(c == c.min()), np.flatnonzero(c != c.min()))] if cross else [(np.arange(len(node)),) * 2]
+        for left, right in [*parts, *(p[::-1] for p in parts if cross)]:
+            left = left[comp[left] > comp[right].min()]
+            for s in range(0, len(left), 16):
+                rows = left[s : s + 16]
+                far = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
+                x, y = np.nonzero((far <= most) & (comp[rows][:, None] > comp[right][None, :]))
+                first = ~(keys[rows[x], :band] == keys[right[y], :band]).any(axis=1)
+                x, y = x[first], y[first]
+                if tried is not None and len(x):
+                    order = np.lexsort((far[x, y], x))
+                    x, y = x[order], y[order]
+                    near = np.arange(len(x)) - np.searchsorted(x, x) < tried
+                    x, y = x[near], y[near]
+                out_a.append(node[rows[x]]), out_b.append(node[right[y]])
         return out_a, out_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +196,12 @@ def _plausible(tried: int | None, most: int):
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             ends = [*cuts.tolist(), *([rest.num_rows] if b is None else [])]
             node, comp, c = (rest.column(k).to_numpy() for k in (4, 5, 3))
-            sketch = np.frombuffer(b"".join(rest.column(6).to_pylist()), T.U64).reshape(rest.num_rows, -1)
+            band, keys = rest.column(6).to_numpy(), rest.column(7).flatten().to_numpy().reshape(rest.num_rows, -1)
+            sketch = np.frombuffer(b"".join(rest.column(8).to_pylist()), T.U64).reshape(rest.num_rows, -1)
             a_all, b_all, begin = [], [], 0
             for end in ends:
                 if end - begin > 1 and (comp[begin:end] != comp[begin]).any():
-                    x, y = pairs(node[begin:end], comp[begin:end], c[begin:end], sketch[begin:end], key[1, begin] != key[2, begin])
+                    x, y = pairs(node[begin:end], comp[begin:end], c[begin:end], int(band[begin]), keys[begin:end], sketch[begin:end], key[1, begin] != key[2, begin])
                     a_all += x
                     b_all += y
                 begin = end
@@ -230,23 +230,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = save(signatures(docs, id_col, text_col, words), "signatures")
     some = sig.filter("fp is not null and doc_id is not null")
     classes = save(some.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    banded = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "node")
     smallest = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = save(banded.join(smallest, "bucket"), "members")
     pairs = save(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     meeting = save(members.select("node").distinct(), "meeting")
     sets = save(full_sets(docs.join(meeting.withColumnRenamed("node", id_col), id_col, "left_semi").select(id_col, text_col).dropDuplicates([id_col]), id_col, text_col, words), "sets")
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h")).groupBy("n", "h").agg(F.min("bucket").alias("bucket"))  # buckets of the same members count once
-    members = save(members.join(buckets.select("bucket"), "bucket", "left_semi").select("bucket", "node"), "members")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("band").alias("band")).groupBy("n", "h").agg(F.min_by("bucket", "band").alias("bucket"))  # of buckets of the same members, the first band's
+    members = save(members.join(buckets.select("bucket"), "bucket", "left_semi").select("bucket", "band", "node"), "members")
     links, labels, seen, sketches = save(confirm(pairs, sets, percent), "links"), None, pairs, None
     for turn in (0, *TRIED):
         if turn != 0:
             open_ = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
             mixed = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-            open_ = save(open_.join(mixed, "bucket", "left_semi").select("bucket", "node", "comp"), "open")
+            open_ = save(open_.join(mixed, "bucket", "left_semi").select("bucket", "band", "node", "comp"), "open")
             if sketches is None:  # later rounds have no other members
                 sketches = save(odd_sketches(sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sketches")
-            dealt = _chunked(open_.join(sketches, "node"))
+            dealt = _chunked(open_.join(sketches, "node").join(classes.select("node", "bands"), "node"))
             dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
             pairs = save(dealt.mapInArrow(_plausible(turn, farthest(percent)), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
