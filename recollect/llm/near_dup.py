@@ -170,6 +170,8 @@ def _plausible(tried: int | None, most: int):
         out_a, out_b = [], []
         parts = [(np.flatnonzero(c == c.min()), np.flatnonzero(c != c.min()))] if cross else [(np.arange(len(node)),) * 2]
         for left, right in [*parts, *(p[::-1] for p in parts if cross)]:
+            if not len(left) or not len(right):  # all rows of this group of chunks come from one of them
+                continue
             left = left[comp[left] > comp[right].min()]
             for s in range(0, len(left), 16):
                 rows = left[s : s + 16]
