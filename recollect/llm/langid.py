@@ -21,6 +21,8 @@ from recollect.llm import _text as T
 from recollect.llm._common import fold
 
 BUCKETS, GRAMS, SWITCH = 1 << 15, 4, 6.0
+#: Words labelled together (of whole pieces of text).
+STEP_WORDS = 1_500_000
 
 #: Script ranges of letters by lead byte of their UTF-8 form (fixed values): Latin, Greek, Cyrillic, Armenian to Arabic, Indic and other, CJK and kana, Hangul, beyond.
 SCRIPTS = ("latin", "greek", "cyrillic", "near_east", "south_asian", "east_asian", "hangul", "other")
@@ -104,6 +106,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def word_scores(model: Model, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, count: np.ndarray, script: np.ndarray) -> np.ndarray:
     """words x langs; each distinct word is scored once. Words without letters score 0 everywhere."""
+    if not len(hashes) or not model.langs:
+        return np.zeros((len(hashes), len(model.langs)), np.float32)
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     bucket, word = _grams(low, starts[first], ends[first])
     n = np.bincount(word, minlength=len(first))
@@ -123,30 +127,57 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     """Label of each word: documents of like length go through the recursion in step."""
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
+    first = bounds[:-1][order]
     longest = int(n.max(initial=0))
     active = np.searchsorted(-n[order], -np.arange(longest), "left")  # documents longer than t
     langs = scores.shape[1]
     best = np.zeros((len(n), langs), np.float32)
     came = np.empty((len(scores), langs), np.uint8)
     out = np.empty(len(scores), np.int64)
+    each, number = np.arange(langs, dtype=np.uint8), np.arange(len(n))
     for t in range(longest):
         k = active[t]
-        rows = bounds[:-1][order[:k]] + t
+        rows = first[:k] + t
         v = best[:k]
         top = v.argmax(axis=1)
-        high = v[np.arange(k), top] - switch
-        stay = v >= high[:, None]
-        came[rows] = np.where(stay, np.arange(langs, dtype=np.uint8), top[:, None])
-        best[:k] = np.where(stay, v, high[:, None]) + scores[rows]
+        high = (v[number[:k], top] - switch)[:, None]
+        came[rows] = np.where(v >= high, each, top[:, None])
+        np.maximum(v, high, out=v)
+        v += scores[rows]
     state = best.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         k = active[t]
-        rows = bounds[:-1][order[:k]] + t
+        rows = first[:k] + t
         out[rows] = state[:k]
         state[:k] = came[rows, state[:k]]
     return out
 
 
+def _label(m: Model, held: list[tuple], names: list, score: list, found: list, spans: bool) -> None:
+    """Labels the words of several pieces at once, so that the recursion runs in step over more documents, and adds each document's results."""
+    if not held:
+        return
+    shift = np.cumsum([0, *(len(h[1]) for h in held)])
+    bounds = np.concatenate([[0], *(h[3][1:] + s for h, s in zip(held, shift))])
+    labels = viterbi(np.concatenate([h[5] for h in held]), bounds) if m.langs else np.zeros(shift[-1], np.int64)
+    langs = [*m.langs, *([] if m.langs else ["und"])]
+    for (off, starts, ends, at, count, _), s in zip(held, shift):
+        n, label = len(off) - 1, labels[s : s + len(starts)]
+        doc = np.repeat(np.arange(n), np.diff(at))
+        weight = np.bincount(doc * len(langs) + label, count, minlength=n * len(langs)).reshape(n, -1)
+        total = weight.sum(axis=1) if m.langs else np.zeros(n)
+        names += [langs[k] if t else "und" for k, t in zip(weight.argmax(axis=1), total)]
+        score += np.where(total > 0, weight.max(axis=1) / np.maximum(total, 1), 0.0).tolist()
+        if spans:
+            turn = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])])) if len(label) else np.empty(0, int)
+            stop = np.concatenate([turn[1:], [len(label)]]) - 1
+            own: list[list] = [[] for _ in range(n)]
+            for a, e in zip(turn, stop):
+                if total[doc[a]]:
+                    own[doc[a]].append({"start": int(starts[a] - off[doc[a]]), "end": int(ends[e] - off[doc[a]]), "lang": langs[label[a]]})
+            found += own
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = True) -> DataFrame:
     """Adds lang_pred, score (the label's share of the letters, 0 to 1) and, if asked for, lang_spans (byte start, byte end, lang).
 
@@ -159,30 +190,20 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
         m = sent.value
         for b in batches:
             data, offsets = T.texts(b.column(b.num_columns - 1))
-            names, score, found = [], [], []
-            for i, j, part, off in T.pieces(data, offsets):
+            names: list[str] = []
+            score: list[float] = []
+            found: list[list] = []
+            held, words = [], 0
+            for _, _, part, off in T.pieces(data, offsets):
                 starts, ends, at = T.word_spans(part, off)
-                if not len(starts) or not m.langs:
-                    names += ["und"] * (j - i)
-                    score += [0.0] * (j - i)
-                    found += [[]] * (j - i)
-                    continue
                 low = T.LOWER[part]
                 count, script = letters(part, starts, ends)
-                label = viterbi(word_scores(m, low, starts, ends, T.span_hashes(low, starts, ends), count, script), at)
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                weight = np.bincount(doc * len(m.langs) + label, count, minlength=(j - i) * len(m.langs)).reshape(j - i, -1)
-                total, top = weight.sum(axis=1), weight.argmax(axis=1)
-                names += [m.langs[k] if s else "und" for k, s in zip(top, total)]
-                score += (weight.max(axis=1) / np.maximum(total, 1)).tolist()
-                if spans:
-                    turn = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]))
-                    stop = np.concatenate([turn[1:], [len(label)]]) - 1
-                    own: list[list] = [[] for _ in range(j - i)]
-                    for s, e in zip(turn, stop):
-                        base = off[doc[s]]
-                        own[doc[s]].append({"start": int(starts[s] - base), "end": int(ends[e] - base), "lang": m.langs[label[s]]})
-                    found += [x if t else [] for x, t in zip(own, total)]
+                held.append((off, starts, ends, at, count, word_scores(m, low, starts, ends, T.span_hashes(low, starts, ends), count, script)))
+                words += len(starts)
+                if words >= STEP_WORDS:
+                    _label(m, held, names, score, found, spans)
+                    held, words = [], 0
+            _label(m, held, names, score, found, spans)
             cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
