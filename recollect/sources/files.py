@@ -11,13 +11,18 @@ LARGEST = 10 << 20
 
 
 def bulk(spark: SparkSession, root: str) -> DataFrame:
-    """Files under root, each once: file, status (ok or failed), reason, source, text. Too large and unknown kinds fail by row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """Files under root, each once: file, status (ok or failed), reason, source, text.
+
+    Too large, unknown and blank files fail by row; files of no bytes are never listed by the reader and give no row.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     kind = source_kind(F.col("path"))
-    known = kind.isin("text", "markdown", "document:html", "document:htm", "document:csv")
-    reason = F.when(F.col("length") > LARGEST, "RESOURCE_EXHAUSTED").when(~F.coalesce(known, F.lit(False)), "UNSUPPORTED_FORMAT").when(F.col("length") == 0, "EMPTY_TEXT")
-    text = F.when(reason.isNull(), F.when(kind.isin("document:html", "document:htm"), html_text(plain_text(F.col("content")))).otherwise(plain_text(F.col("content"))))
-    return files.select(F.col("path").alias("file"), F.when(reason.isNull(), "ok").otherwise("failed").alias("status"), reason.alias("reason"), kind.alias("source"), text.alias("text"))
+    known = F.coalesce(kind.isin("text", "markdown", "document:html", "document:htm", "document:csv"), F.lit(False))
+    plain = plain_text(F.col("content"))
+    text = F.when(known & (F.col("length") <= LARGEST), F.when(kind.isin("document:html", "document:htm"), html_text(plain)).otherwise(plain))
+    rows = read.select(F.col("path").alias("file"), "length", kind.alias("source"), known.alias("_known"), text.alias("text"))
+    reason = F.when(F.col("length") > LARGEST, "RESOURCE_EXHAUSTED").when(~F.col("_known"), "UNSUPPORTED_FORMAT").when(~F.col("text").rlike(r"\S"), "EMPTY_TEXT")
+    return rows.select("file", F.when(reason.isNull(), "ok").otherwise("failed").alias("status"), reason.alias("reason"), "source", F.when(reason.isNull(), F.col("text")).alias("text"))
 
 
 def export_lines(df: DataFrame) -> DataFrame:

@@ -76,7 +76,8 @@ def test_bulk_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("﻿# Título")
     (tmp_path / "sub" / "b.html").write_text("<p>Hola</p><script>x()</script> <b>mundo</b>")
     (tmp_path / "c.xyz").write_text("?")
-    (tmp_path / "d.txt").write_text("")
+    (tmp_path / "d.txt").write_text(" \n")
+    (tmp_path / "e.txt").write_text("")  # no bytes: the reader never lists it
     got = {r["file"].rsplit("/", 1)[1]: (r["status"], r["reason"], r["text"]) for r in files.bulk(spark, str(tmp_path)).collect()}
     assert got == {"a.md": ("ok", None, "# Título"), "b.html": ("ok", None, "Hola mundo"), "c.xyz": ("failed", "UNSUPPORTED_FORMAT", None), "d.txt": ("failed", "EMPTY_TEXT", None)}
 
