@@ -2,9 +2,11 @@
 
 A document's bytes are cut into chunks of CHUNK bytes that overlap by the filter width, so that every byte window of the
 whole text is seen. Learned filters slide over each chunk, the largest response of each filter in a chunk is taken,
-and a small dense layer turns the chunk's responses into a logit; the mean of the chunks' logits, weighted by the
+a learned part of the chunk's size is added (a short text has fewer windows to choose from), and a small dense layer
+turns the responses into a logit; the mean of the chunks' logits, weighted by the
 windows of each, gives one probability. Filters are tables (position, byte) -> response, so a response is a sum of
-WIDTH lookups. The network is fitted on a bounded sample of labelled documents: sample_rows, whole texts.
+WIDTH lookups. The network is fitted on a bounded sample of labelled documents (sample_rows), on
+whole texts and on random parts of them.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ class Network:
     bias: np.ndarray  # FILTERS
     weight: np.ndarray  # FILTERS
     offset: float
+    slope: np.ndarray  # FILTERS
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One logit for each document; an empty one gets the offset alone."""
-        pooled, _, doc, share = pool(self.table, data, offsets)
-        hidden = np.maximum(pooled + self.bias, 0)
+        pooled, _, doc, share, size = pool(self.table, data, offsets)
+        hidden = np.maximum(pooled + self.bias + size[:, None] * self.slope, 0)
         return np.bincount(doc, share * (hidden @ self.weight), minlength=len(offsets) - 1) + self.offset
 
 
@@ -47,11 +50,11 @@ def chunks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return offsets[:-1][doc] + k * CHUNK, np.minimum(windows[doc] - k * CHUNK, CHUNK), doc
 
 
-def pool(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
-    """Largest responses (chunks x FILTERS), their positions if asked for, each chunk's document and its share of it."""
+def pool(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+    """Largest responses (chunks x FILTERS), their positions if asked for, each chunk's document, its share of it, and its size (0: full, to -1)."""
     begin, size, doc = chunks(offsets)
     if not len(begin):
-        return np.zeros((0, FILTERS)), np.zeros((0, FILTERS), np.int64), doc, np.zeros(0)
+        return np.zeros((0, FILTERS)), np.zeros((0, FILTERS), np.int64), doc, np.zeros(0), np.zeros(0)
     padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     total = np.bincount(doc, size, minlength=len(offsets) - 1)
     pooled, at = np.empty((len(begin), FILTERS), np.float32), np.empty((len(begin), FILTERS), np.int64) if where else None
@@ -67,13 +70,23 @@ def pool(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, where: bool =
         if where:
             for i, (b, s) in enumerate(zip(begin[rows], size[rows])):
                 at[lo + i] = response[b - first : b - first + s].argmax(axis=0) + b
-    return pooled, at, doc, size / total[doc]
+    return pooled, at, doc, size / total[doc], np.log2(size) / np.log2(CHUNK) - 1
 
 
-def fit(rows: list[tuple[bytes, int]], epochs: int = 6, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
+def part(text: bytes, rng: np.random.Generator) -> bytes:
+    """The text, or, two times in five, some words in a row of it."""
+    if len(text) < 8 or rng.random() > 0.4:
+        return text
+    words = text.split(b" ")
+    many = int(np.exp(rng.uniform(0, np.log(len(words) + 1)))) if len(words) > 1 else 1
+    first = int(rng.integers(0, len(words) - many + 1)) if many < len(words) else 0
+    return b" ".join(words[first : first + many]) or text
+
+
+def fit(rows: list[tuple[bytes, int]], epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam on the log loss, both labels weighing the same. With one label only, the network answers with its share."""
     rng = np.random.default_rng(seed)
-    net = Network((rng.normal(size=(WIDTH, 256, FILTERS)) * 0.3).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(size=FILTERS).astype(np.float32) * 0.5, 0.0)
+    net = Network((rng.normal(size=(WIDTH, 256, FILTERS)) * 0.3).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(size=FILTERS).astype(np.float32) * 0.5, 0.0, np.zeros(FILTERS, np.float32))
     labels = np.array([y for _, y in rows])
     ones = labels.sum()
     if not 0 < ones < len(labels):
@@ -81,20 +94,21 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 6, batch: int = 32, rate: f
         net.offset = 0.0 if not len(labels) else (4.0 if ones else -4.0)
         return net
     weigh = np.where(labels == 1, 0.5 / ones, 0.5 / (len(labels) - ones)) * len(labels)
-    params = [net.table, net.bias, net.weight, np.zeros(1, np.float32)]
+    params = [net.table, net.bias, net.weight, np.zeros(1, np.float32), net.slope]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            data = np.frombuffer(b"".join(rows[i][0] for i in pick), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in pick])])
-            pooled, at, doc, share = pool(net.table, data, offsets, where=True)
-            hidden = np.maximum(pooled + net.bias, 0)
+            texts = [part(rows[i][0], rng) for i in pick]
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            pooled, at, doc, share, size = pool(net.table, data, offsets, where=True)
+            hidden = np.maximum(pooled + net.bias + size[:, None] * net.slope, 0)
             z = np.bincount(doc, share * (hidden @ net.weight), minlength=len(pick)) + params[3][0]
             slope = (1 / (1 + np.exp(-z)) - labels[pick]) * weigh[pick] / len(pick)
             back = (slope[doc] * share)[:, None] * net.weight * (hidden > 0)
-            grads = [np.zeros_like(net.table), back.sum(axis=0), (hidden * (slope[doc] * share)[:, None]).sum(axis=0), np.array([slope.sum()])]
+            grads = [np.zeros_like(net.table), back.sum(axis=0), (hidden * (slope[doc] * share)[:, None]).sum(axis=0), np.array([slope.sum()]), (back * size[:, None]).sum(axis=0)]
             padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
             for j in range(WIDTH):
                 np.add.at(grads[0][j], (padded[at + j], np.arange(FILTERS)[None, :]), back)
@@ -107,7 +121,7 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 6, batch: int = 32, rate: f
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, sample_rows: int = 1500) -> Network:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, sample_rows: int = 2000) -> Network:
     """Fit on at most sample_rows labelled documents, half of each label where there are enough, picked by a hash of the id.
 
     Rows with a null id, text or label, and those that learn leaves out, are not used.

@@ -56,7 +56,7 @@ def test_pooling_matches_plain_convolution():
     table = rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32)
     texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (0, 1, 3, 4, 255, 259, 260, 1500)]
     data, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    pooled, at, doc, share = quality.pool(table, data, offsets, where=True)
+    pooled, at, doc, share, size = quality.pool(table, data, offsets, where=True)
     k = 0
     for d, t in enumerate(texts):
         windows = max(len(t) - quality.WIDTH + 1, 1) if len(t) else 0
@@ -64,7 +64,7 @@ def test_pooling_matches_plain_convolution():
             many = min(quality.CHUNK, windows - lo)
             after = np.concatenate([data[offsets[d] :], np.zeros(8, np.uint8)])
             r = np.array([sum(table[j, after[lo + p + j]] for j in range(quality.WIDTH)) for p in range(many)])
-            assert doc[k] == d and np.allclose(pooled[k], r.max(axis=0), atol=1e-5) and abs(share[k] - many / windows) < 1e-9
+            assert doc[k] == d and np.allclose(pooled[k], r.max(axis=0), atol=1e-5) and abs(share[k] - many / windows) < 1e-9 and abs(size[k] - (math.log2(many) / 8 - 1)) < 1e-9
             k += 1
     assert k == len(doc)
 
