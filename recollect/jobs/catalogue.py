@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text as X
-from recollect.operators import code, context, embedding, evaluation, fusion, graph, ingest, lexical, lifecycle, scope, vector
-from recollect.sources import files
+from recollect.operators import code, context, embedding, evaluation, fusion, graph, ingest, lexical, lifecycle, scope, summary, vector
+from recollect.sources import audit, files
 
 QUERY, WORKSPACE, NOW = "license from thing that", "src0", "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -589,3 +589,37 @@ def ir_mrr_recall_at5(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     relevant = hits.join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id").join(asked, "query_id").filter(F.contains("text", "passage"))
     return evaluation.mrr_recall(hits, asked, relevant)
+
+
+# Summaries and logs
+
+
+@query(CLOSED + """, k AS (SELECT split_part(p_type, ' ', 1) AS item, count(*) AS n FROM part GROUP BY 1),
+i AS (SELECT ((7 * l_partkey + l_suppkey) % 211)::VARCHAR AS item, count(*) AS n FROM lineitem GROUP BY (7 * l_partkey + l_suppkey) % 211 ORDER BY n DESC, (7 * l_partkey + l_suppkey) % 211 LIMIT 5),
+o AS (SELECT (l_suppkey % 50)::VARCHAR AS item, count(*) AS n FROM lineitem GROUP BY l_suppkey % 50 ORDER BY n DESC, l_suppkey % 50 LIMIT 5)
+SELECT 'kind' AS section, item, n FROM k UNION ALL SELECT 'imported', item, n FROM i UNION ALL SELECT 'calling', item, n FROM o UNION ALL SELECT 'cycle', node::VARCHAR, 1 FROM c""")
+def architecture_summary(spark, sf):
+    return summary.architecture(concepts(spark, sf), call_edges(spark, sf), call_edges(spark, sf), modules_of(spark, sf))
+
+
+@query(f"""WITH {EDGES} SELECT '{{"source":' || source || ',"target":' || target || '}}' AS line FROM e""")
+def graph_dump(spark, sf):
+    return summary.dump(graph.build_edges(call_edges(spark, sf)))
+
+
+@query()
+def code_semantic_search(spark, sf):
+    return summary.semantic_search(concepts(spark, sf), "small ring", 20)
+
+
+@query("SELECT event_type AS action, CASE WHEN value < 10 THEN 'error' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY ALL")
+def audit_outcomes(spark, sf):
+    """Events written as an audit log, read back and counted."""
+    import uuid
+
+    from recollect.functions.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events")
+    audit.record(e.select("ts", F.lit("t").alias("tenant_id"), F.col("event_type").alias("action"), F.when(F.col("value") < 10, "error").otherwise("ok").alias("outcome")), path)
+    return audit.outcome_counts(audit.read(spark, path))

@@ -101,3 +101,34 @@ def test_metrics(spark):
 def test_nearest_rank(spark):
     d = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", 5.0), ("b", None)], "g string, v double")
     assert {r[0]: (r[1], r[2]) for r in evaluation.nearest_rank(d, "g", "v", buckets=8).collect()} == {"a": (50.0, 99.0), "b": (5.0, 5.0)}
+
+
+def test_backup_and_restore(spark, tmp_path):
+    from recollect.sources.backup import backup, restore
+
+    key, root = b"0123456789abcdef", f"file://{tmp_path}"
+    s = Store(spark, f"{root}/a", "t")
+    s.append("chunks", spark.createDataFrame([("c1", "t", "tëxt", [0.5, -1.0]), ("c2", "t", None, None)], "chunk_id string, tenant_id string, text string, vector array<float>"))
+    assert backup(s, f"{root}/b", key)["chunks"] == 2
+    other = Store(spark, f"{root}/c", "t")
+    assert restore(other, f"{root}/b", key) == 1
+    order = lambda x: sorted(map(tuple, x.read("chunks").collect()), key=str)
+    assert order(other) == order(s)
+    with pytest.raises(ValueError, match="STORE_NOT_EMPTY"):
+        restore(other, f"{root}/b", key)
+    with pytest.raises(ValueError, match="TENANT_FORBIDDEN"):
+        restore(Store(spark, f"{root}/d", "u"), f"{root}/b", key)
+
+
+def test_audit_log(spark, tmp_path):
+    from recollect.sources import audit
+
+    path = f"file://{tmp_path}/log"
+    e = spark.sql("SELECT TIMESTAMP'2024-01-01 00:00:00' AS ts, 'search' AS action, 'ok' AS outcome UNION ALL SELECT TIMESTAMP'2024-02-01 00:00:00', 'sea\"rch', 'error'")
+    audit.record(e, path)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(path)
+    assert audit.read(spark, path).filter("action is not null").count() == 2
+    audit.sweep(spark, path, f"file://{tmp_path}/kept", "2024-02-02 00:00:00", 10)
+    assert spark.read.text(f"file://{tmp_path}/kept").count() == 2
+    lines = {r[0] for r in audit.metrics_text(audit.outcome_counts(audit.read(spark, path).filter("action is not null"))).collect()}
+    assert 'operations_total{action="search",outcome="ok"} 1' in lines
