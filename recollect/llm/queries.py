@@ -23,7 +23,7 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to the shared folder and read back: digests and sizes of responses are those of the payloads read."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), path, compression="gzip")
     records = warc.read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
     response = F.col("record_type") == "response"

@@ -54,8 +54,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return out.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_first")
 
 
-def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 100_000) -> None:
-    """Write the records of plan_records as WARC/1.1 files under path. Line breaks in a url are percent-encoded."""
+def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 100_000, compression: str = "none") -> None:
+    """Write the records of plan_records as WARC/1.1 files under path. Line breaks in a url are percent-encoded. compression: none or gzip."""
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("record_type") == "revisit"
@@ -76,7 +76,7 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         F.lit(CRLF),
     )
     text = records.withColumn("_http", http).select(F.concat(head, F.col("_http"), F.when(revisit, F.lit("")).otherwise(F.col("body"))).alias("value"))
-    text.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    text.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 @dataclass
