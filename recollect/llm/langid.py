@@ -9,8 +9,10 @@ each word; runs of a label are the spans. The language with the most letters is
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,25 @@ BUCKETS, GRAMS, SWITCH = 1 << 15, 4, 6.0
 #: Words labelled together (of whole pieces of text).
 STEP_WORDS = 1_500_000
 
-#: Script ranges of letters by lead byte of their UTF-8 form (fixed values): Latin, Greek, Cyrillic, Armenian to Arabic, Indic and other, CJK and kana, Hangul, beyond.
 SCRIPTS = ("latin", "greek", "cyrillic", "near_east", "south_asian", "east_asian", "hangul", "other")
-_SCRIPT = np.full(256, -1, np.int8)
-_SCRIPT[0x41:0x5B] = _SCRIPT[0x61:0x7B] = 0
-_SCRIPT[0xC3:0xCA] = 0
-_SCRIPT[0xCD:0xD0] = 1
-_SCRIPT[0xD0:0xD5] = 2
-_SCRIPT[0xD5:0xE0] = 3
-_SCRIPT[0xE0] = _SCRIPT[0xE1] = 4
-_SCRIPT[0xE3:0xEA] = 5
-_SCRIPT[0xEA:0xEE] = 6
-_SCRIPT[0xF0:0xF5] = 7
+#: Script ranges by code point (fixed values): first, last, index in SCRIPTS; a later range overrules an earlier one. Letters outside are "other".
+_RANGES = (
+    (0x0000, 0x02FF, 0), (0x0370, 0x03FF, 1), (0x0400, 0x052F, 2), (0x0530, 0x08FF, 3), (0x0900, 0x10FF, 4), (0x1200, 0x1CFF, 4), (0x1100, 0x11FF, 6), (0x1C80, 0x1C8F, 2),
+    (0x1D00, 0x1DBF, 0), (0x1E00, 0x1EFF, 0), (0x1F00, 0x1FFF, 1), (0x2071, 0x209C, 0), (0x212A, 0x212B, 0), (0x2C60, 0x2C7F, 0), (0x2DE0, 0x2DFF, 2), (0x2E80, 0xA4CF, 5), (0x3130, 0x318F, 6),
+    (0xA640, 0xA69F, 2), (0xA720, 0xA7FF, 0), (0xA8E0, 0xA8FF, 4), (0xA960, 0xA97F, 6), (0xAB30, 0xAB64, 0), (0xAC00, 0xD7FF, 6), (0xF900, 0xFAFF, 5), (0xFB00, 0xFB06, 0), (0xFB13, 0xFDFF, 3),
+    (0xFE70, 0xFEFF, 3), (0xFF21, 0xFF5A, 0), (0xFF66, 0xFF9D, 5), (0xFFA0, 0xFFDC, 6), (0x1EE00, 0x1EEFF, 3), (0x20000, 0x3FFFF, 5),
+)
+
+
+@cache
+def _scripts() -> np.ndarray:
+    """Script of every code point of a letter category (L*), -1 for all others; once per Python worker."""
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+    script = np.full(0x110000, len(SCRIPTS) - 1, np.int8)
+    for first, last, k in _RANGES:
+        script[first : last + 1] = k
+    script[~letter] = -1
+    return script
 
 
 @dataclass
@@ -62,11 +71,24 @@ def _grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return np.concatenate(out), np.concatenate(of)
 
 
+def letter_scripts(data: np.ndarray) -> np.ndarray:
+    """Script of the letter whose UTF-8 form begins at each byte; -1 where none does."""
+    table = _scripts()
+    script = np.where(data < 0x80, table[np.minimum(data, 0x7F)], np.int8(-1))
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.int64)
+    after = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)] if len(at) else [lead] * 3
+    two = (lead & 0x1F) << 6 | after[0]
+    three = (lead & 0x0F) << 12 | after[0] << 6 | after[1]
+    four = (lead & 0x07) << 18 | after[0] << 12 | after[1] << 6 | after[2]
+    point = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+    script[at] = table[np.minimum(point, len(table) - 1)]
+    return script
+
+
 def letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of each word, and its script (that of its first letter; -1: no letter). Lead bytes of letters are counted."""
-    script = _SCRIPT[data]
-    odd = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) if len(data) > 1 else np.zeros(0, bool)  # the signs of multiplication and division
-    script[:-1][odd] = -1
+    """Letters of each word, and its script (that of its first letter; -1: no letter). Code points of letter categories are counted."""
+    script = letter_scripts(data)
     is_letter = np.concatenate([[0], np.cumsum(script >= 0)])
     count = is_letter[ends] - is_letter[starts]
     at = np.flatnonzero(script >= 0)

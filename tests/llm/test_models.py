@@ -91,6 +91,26 @@ def test_spans_of_mixed_text(spark, docs):
     assert spans == [("en", 0, len(a)), ("ru", len(a) + 1, len((a + " " + b).encode()))]
 
 
+def test_letters_are_those_of_unicode():
+    import unicodedata
+
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    got = langid.letter_scripts(np.frombuffer(text.encode(), np.uint8))
+    begins = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1]
+    want = np.array([unicodedata.category(c)[0] == "L" for c in text])
+    assert ((got[begins] >= 0) == want).all() and (got >= 0).sum() == want.sum()
+    script = lambda c: langid.SCRIPTS[langid.letter_scripts(np.frombuffer(c.encode(), np.uint8))[0]]
+    assert [script(c) for c in "aéʃＡạ"] == ["latin"] * 5
+    assert [script(c) for c in "ωжﺍא漢あ한ⰀⲀ"] == ["greek", "cyrillic", "near_east", "near_east", "east_asian", "east_asian", "hangul", "other", "other"]
+
+
+def test_texts_without_letters_have_no_language(spark, docs):
+    rows = [(1, "😀😀 🎉🎉🎉"), (2, "。、「」 。。"), (3, "ｔｈｅ ｏｆ"), (4, "ʃəʊ ɪʃ"), (5, "the of " + "🎉" * 50)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), langid.train(docs)).collect()}
+    assert [got[i]["lang_pred"] == "und" for i, _ in rows] == [True, True, False, False, False]
+    assert got[5]["lang_pred"] == "en" and got[5]["score"] == 1.0
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(5)
     scores, bounds = rng.normal(size=(13, 3)).astype(np.float32) * 4, np.array([0, 4, 4, 9, 13])
