@@ -37,12 +37,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), end_mark=True)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents with the crc32 of their ids, placed into sequences of 1024."""
-    pieces = tokens.token_pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+def packed(docs: DataFrame, end_mark: bool = False) -> DataFrame:
+    """Pieces of all documents with the crc32 of their ids, placed into sequences of 1024. end_mark: as in token_pieces."""
+    pieces = tokens.token_pieces(docs, end_mark=end_mark).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(save(pieces, "pieces"))
 
 

@@ -2,9 +2,10 @@
 
 A document is encoded once, whole. Byte-level tokens spell their bytes, so a token's span is the running
 sum of the byte lengths of the ids before it: no second tokenizer pass is made for offsets.
-The ids are those of the tokenizers file `byte_bpe_50k.json` without special tokens (strings such as the end
-mark are ordinary text); `byte_bpe_50k.tiktoken` holds the same vocabulary as ranks and is encoded about three
-times as fast, so tasks use that one. Tests hold both against each other.
+The ids are those of the tokenizers file `byte_bpe_50k.json`; `byte_bpe_50k.tiktoken` holds the same vocabulary as
+ranks and is encoded about three times as fast, so tasks use that one. Tests hold both against each other.
+That file adds the end mark as a token of its own and finds it in texts; with end_mark it is one id here too, else
+it is ordinary text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("start", "end", "most")
+#: The one added token of the vocabulary, and its id.
+END_MARK, END_MARK_ID = "<|endoftext|>", 50256
 
 
 def default_vocabulary() -> str:
@@ -41,6 +44,16 @@ def encoder(path: str) -> tuple:
     return enc.encode_ordinary, lengths
 
 
+def encode_marked(encode: Callable[[str], list[int]], text: str) -> list[int]:
+    """Ids of a text that is split at each literal end mark, which becomes one id."""
+    first, *rest = text.split(END_MARK)
+    ids = list(encode(first))
+    for part in rest:
+        ids.append(END_MARK_ID)
+        ids += encode(part)
+    return ids
+
+
 def attribute(spans: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """Section of each token. spans: token ends, running from 0; bounds: section ends, running from 0.
 
@@ -103,8 +116,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ..
     return docs.select(F.col(id_col).cast("long"), *columns).mapInArrow(run, "doc_id long, section string, section_no int, start_byte long, end_byte long, n_tokens long, n_crossing long")
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
-    """Each document's ids and then end_id, cut into pieces of at most size ids.
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, vocabulary: str | None = None, end_mark: bool = False) -> DataFrame:
+    """Each document's ids and then end_id, cut into pieces of at most size ids. With end_mark, a literal end mark is its one id.
 
     Returns doc_id, start, length, doc_tokens, ids (binary: little-endian unsigned 32-bit). A null text is empty, its
     only id is end_id. Repeated rows give repeated pieces; other columns are ignored.
@@ -117,7 +130,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for k in range(0, b.num_rows, 256):
                 doc, start, length, total, ids = [], [], [], [], []
                 for i, t in zip(b.column(0).slice(k, 256).to_pylist(), b.column(1).slice(k, 256).to_pylist()):
-                    x = np.array([*encode(t or ""), end_id], "<u4")
+                    x = np.array([*(encode_marked(encode, t or "") if end_mark else encode(t or "")), end_id], "<u4")
                     for s in range(0, len(x), size):
                         p = x[s : s + size]
                         doc.append(i), start.append(s), length.append(len(p)), total.append(len(x)), ids.append(p.tobytes())

@@ -56,6 +56,23 @@ def test_packed_rows(spark, reference):
     assert len(by_seq) <= 1.03 * sum(r["length"] for r in rows) / 1024 + 2
 
 
+def test_op3_and_pipeline_give_the_default_tokenizer_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is read: the end mark is an added token
+    texts = [*TEXTS, "a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n<|endoftext|>", "<|endoftext|", "<|<|endoftext|>|>"]
+    assert t.encode(texts[len(TEXTS)], add_special_tokens=False).ids == [64, 50256, 65]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries.op3_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packing_stage(spark, df, "").collect()):
+        for i, text in enumerate(texts):
+            ids, own = [*t.encode(text or "", add_special_tokens=False).ids, 0], [r for r in rows if r["doc_id"] == i]
+            assert sum(r["length"] for r in own) == len(ids)
+            for r in own:
+                part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+                assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(part.tobytes())
+
+
 def test_bad_lengths_get_nulls(spark):
     df = spark.createDataFrame([(1, 0, 5), (2, 0, None), (3, 0, 0), (4, 0, 2000)], "doc_id long, start long, length long")
     assert {r["doc_id"]: r["sequence_id"] for r in packing.pack(df).collect()} == {1: 0, 2: None, 3: None, 4: None}
