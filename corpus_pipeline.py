@@ -16,7 +16,7 @@ from recollect.llm._common import save
 
 #: A document is rejected below this score; the same bound as op5's.
 MIN_QUALITY = 0.3
-#: A document is rejected if its language is unknown or fewer of its letters are in it.
+#: A document is rejected if its language is unknown or fewer of its letters stand in words that some language explains.
 MIN_LANGUAGE = 0.5
 #: The mixture repeats no source more often than this, and every document at least once.
 MAX_REPEATS = 1.5
@@ -29,9 +29,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language that holds at least MIN_LANGUAGE of their letters."""
-    found = langid.identify(docs, langid.train(docs), spans=False)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+    """Keeps documents with a language of which at least MIN_LANGUAGE of the letters are in words of known languages, however many share them."""
+    found = langid.identify(docs, langid.train(docs), spans=False, shares=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("explained") >= MIN_LANGUAGE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

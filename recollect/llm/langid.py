@@ -23,6 +23,10 @@ from recollect.llm import _text as T
 from recollect.llm._common import fold
 
 BUCKETS, GRAMS, SWITCH = 1 << 15, 4, 6.0
+#: Letters of a word that count for its score at most.
+LETTERS = 12
+#: Share of the letters learned from that stand in words below a language's floor.
+BELOW_FLOOR = 0.01
 #: Words labelled together (of whole pieces of text).
 STEP_WORDS = 1_500_000
 
@@ -52,6 +56,7 @@ class Model:
     langs: list[str]
     logp: np.ndarray  # BUCKETS x langs
     scripts: np.ndarray  # SCRIPTS x langs: seen
+    floor: np.ndarray  # langs: a word with a lower mean log probability of its n-grams isn't explained by the language
 
 
 def _grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +117,24 @@ def fit(rows: list[tuple[str, str]]) -> Model:
                 seen[:, k] += np.bincount(script[n > 0], minlength=len(SCRIPTS))
     total = counts.sum(axis=0, keepdims=True)
     share = seen / np.maximum(seen.sum(axis=0, keepdims=True), 1)
-    return Model(langs, np.log((counts + 0.5) / (total + 0.5 * BUCKETS)).astype(np.float32), share > 0.001)
+    logp = np.log((counts + 0.5) / (total + 0.5 * BUCKETS)).astype(np.float32)
+    return Model(langs, logp, share > 0.001, np.array([_floor(logp[:, k], [t for g, t in rows if g == lang]) for k, lang in enumerate(langs)]))
+
+
+def _floor(logp: np.ndarray, texts: list[str]) -> float:
+    means, weights = [np.zeros(0)], [np.zeros(0)]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        starts, ends, _ = T.word_spans(data, np.array([0, len(data)]))
+        n = letters(data, starts, ends)[0] if len(data) else np.zeros(0)
+        if n.any():
+            bucket, word = _grams(T.LOWER[data], starts[n > 0], ends[n > 0])
+            means.append(np.bincount(word, logp[bucket]) / np.bincount(word))
+            weights.append(n[n > 0])
+    mean, weight = np.concatenate(means), np.concatenate(weights)
+    order = np.argsort(mean)
+    below = np.cumsum(weight[order])
+    return float(mean[order][np.searchsorted(below, BELOW_FLOOR * below[-1], "right")]) if len(mean) else 0.0
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample_rows: int = 400) -> Model:
@@ -137,7 +159,7 @@ def word_scores(model: Model, low: np.ndarray, starts: np.ndarray, ends: np.ndar
     for k in range(len(model.langs)):
         out[:, k] = np.bincount(word, model.logp[bucket, k], minlength=len(first)) / np.maximum(n, 1)
     length, kind = count[first], script[first]
-    out *= np.minimum(length, 12)[:, None]
+    out *= np.minimum(length, LETTERS)[:, None]
     barred = ~model.scripts[np.maximum(kind, 0)] & (kind >= 0)[:, None]
     barred &= ~barred.all(axis=1, keepdims=True)
     out[barred] -= 50.0
@@ -145,6 +167,11 @@ def word_scores(model: Model, low: np.ndarray, starts: np.ndarray, ends: np.ndar
     return out[inverse]
 
 
+def explained(model: Model, scores: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether some language, whichever it is, reaches its floor on a word; scores are those of word_scores."""
+    return (scores >= (np.minimum(count, LETTERS)[:, None] * (model.floor - 1e-4)).astype(np.float32)).any(axis=1) & (count > 0)
+
+
 def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Label of each word: documents of like length go through the recursion in step."""
     n = np.diff(bounds)
@@ -175,7 +202,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     return out
 
 
-def _label(m: Model, held: list[tuple], names: list, score: list, found: list, spans: bool) -> None:
+def _label(m: Model, held: list[tuple], names: list, score: list, known: list, found: list, spans: bool, shares: bool) -> None:
     """Labels the words of several pieces at once, so that the recursion runs in step over more documents, and adds each document's results."""
     if not held:
         return
@@ -183,13 +210,16 @@ def _label(m: Model, held: list[tuple], names: list, score: list, found: list, s
     bounds = np.concatenate([[0], *(h[3][1:] + s for h, s in zip(held, shift))])
     labels = viterbi(np.concatenate([h[5] for h in held]), bounds) if m.langs else np.zeros(shift[-1], np.int64)
     langs = [*m.langs, *([] if m.langs else ["und"])]
-    for (off, starts, ends, at, count, _), s in zip(held, shift):
+    for (off, starts, ends, at, count, scores), s in zip(held, shift):
         n, label = len(off) - 1, labels[s : s + len(starts)]
         doc = np.repeat(np.arange(n), np.diff(at))
         weight = np.bincount(doc * len(langs) + label, count, minlength=n * len(langs)).reshape(n, -1)
         total = weight.sum(axis=1) if m.langs else np.zeros(n)
         names += [langs[k] if t else "und" for k, t in zip(weight.argmax(axis=1), total)]
         score += np.where(total > 0, weight.max(axis=1) / np.maximum(total, 1), 0.0).tolist()
+        if shares:
+            clear = np.bincount(doc, count * explained(m, scores, count), minlength=n)
+            known += np.where(total > 0, clear / np.maximum(total, 1), 0.0).tolist()
         if spans:
             turn = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])])) if len(label) else np.empty(0, int)
             stop = np.concatenate([turn[1:], [len(label)]]) - 1
@@ -200,12 +230,13 @@ def _label(m: Model, held: list[tuple], names: list, score: list, found: list, s
             found += own
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = True) -> DataFrame:
-    """Adds lang_pred, score (the label's share of the letters, 0 to 1) and, if asked for, lang_spans (byte start, byte end, lang).
+def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = True, shares: bool = False) -> DataFrame:
+    """Adds lang_pred, score (the label's share of the letters, 0 to 1) and, if asked for, lang_spans (byte start, byte end, lang)
+    and explained (share of the letters that stand in words that some learned language explains, whichever it is, 0 to 1).
 
     lang_pred is `und`, with score 0, if the text is null or has no letter, or if nothing was learned.
     """
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score", "lang_spans")]
+    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score", *(["explained"] if shares else []), "lang_spans")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +245,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
             data, offsets = T.texts(b.column(b.num_columns - 1))
             names: list[str] = []
             score: list[float] = []
+            known: list[float] = []
             found: list[list] = []
             held, words = [], 0
             for _, _, part, off in T.pieces(data, offsets):
@@ -223,14 +255,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
                 held.append((off, starts, ends, at, count, word_scores(m, low, starts, ends, T.span_hashes(low, starts, ends), count, script)))
                 words += len(starts)
                 if words >= STEP_WORDS:
-                    _label(m, held, names, score, found, spans)
+                    _label(m, held, names, score, known, found, spans, shares)
                     held, words = [], 0
-            _label(m, held, names, score, found, spans)
-            cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())]
+            _label(m, held, names, score, known, found, spans, shares)
+            cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), *([pa.array(known, pa.float64())] if shares else [])]
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "lang_pred", "score", *(["lang_spans"] if spans else [])])
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "lang_pred", "score", *(["explained"] if shares else []), *(["lang_spans"] if spans else [])])
 
     given = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).cast("string").alias("_text"))
-    out = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double", *(["lang_spans array<struct<start:long,end:long,lang:string>>"] if spans else [])]
+    out = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double", *(["explained double"] if shares else []), *(["lang_spans array<struct<start:long,end:long,lang:string>>"] if spans else [])]
     return given.mapInArrow(run, ", ".join(out))

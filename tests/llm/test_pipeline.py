@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recollect.llm import queries
@@ -31,6 +33,19 @@ def test_stages_take_effect(spark):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).columns)) == sorted(tables[5].columns)
 
 
+def test_language_filter_keeps_mixed_texts_of_known_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    text = {g: " ".join(r["text"] for r in docs.filter(F.col("lang") == g).orderBy("doc_id").limit(8).collect()).split() for g in ("en", "de", "fr")}
+    even = " ".join(w for g in text for w in text[g][:150])
+    two = " ".join([*text["en"][:150], *text["fr"][:150], *text["de"][:6]])
+    rng = random.Random(4)
+    noise = " ".join("".join(rng.choice("qxzjkvwbpf") for _ in range(rng.randrange(4, 12))) for _ in range(300))
+    more = [(900_001, even, None), (900_002, two, None), (900_003, noise, None), (900_004, "ωδε και νυν " * 60, None), (900_005, "🎉 🙂 123", None), (900_006, None, None)]
+    kept = corpus_pipeline.language_filter(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), SF)
+    assert {r["doc_id"] for r in kept.filter("doc_id > 900000").collect()} == {900_001, 900_002}
+    assert kept.columns == docs.columns
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_on_the_smallest_tables(spark, name):
     df = queries.QUERIES[name](spark, SF)
