@@ -27,7 +27,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_pow = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes hashed at once: the tables of powers are this long, whatever the length of a text.
+_BLOCK = 1 << 17
+
+
+def _powers(base: int) -> np.ndarray:
+    x = np.full(_BLOCK + 1, base, U64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+_UP, _DOWN = _powers(_P), _powers(_PINV)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -35,16 +45,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_pow[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_P, _PINV)):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _pow[k] = np.multiply.accumulate(x)
-    return _pow
-
-
 def texts(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -62,11 +62,10 @@ def texts(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about limit bytes: (first, last, bytes, offsets)."""
+    """Longest runs of whole documents within limit bytes, or one larger document and the empty ones after it: (first, last, bytes, offsets)."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = int(np.searchsorted(offsets, max(offsets[i] + limit, offsets[i + 1]), "right")) - 1
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
@@ -74,31 +73,48 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each document, and where each document's words begin (length: documents + 1)."""
     n = len(data)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
-    first = np.empty(n, bool)
-    first[0] = True
-    np.logical_not(word[:-1], out=first[1:])
-    first[offsets[:-1][offsets[:-1] < n]] = True
-    last = np.empty(n, bool)
-    last[-1] = True
-    np.logical_not(word[1:], out=last[:-1])
-    last[offsets[1:][offsets[1:] > 0] - 1] = True
-    starts = np.flatnonzero(word & first)
-    ends = np.flatnonzero(word & last) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    cuts = np.unique(offsets)
+    starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo in range(0, n, CHUNK_BYTES):  # in steps, so that a very long document takes no more than its own bytes and words
+        hi = min(n, lo + CHUNK_BYTES)
+        word = np.zeros(hi - lo + 2, bool)  # from the byte before lo to the byte after the last
+        a, b = max(lo - 1, 0), min(hi + 1, n)
+        word[a - lo + 1 : b - lo + 1] = ~SPACE[data[a:b]]
+        here, before, after = word[1:-1], word[:-2].copy(), word[2:].copy()
+        inner = cuts[np.searchsorted(cuts, lo) : np.searchsorted(cuts, hi, "right")] - lo
+        before[inner[inner < hi - lo]] = False
+        after[inner[inner > 0] - 1] = False
+        starts.append(np.flatnonzero(here & ~before) + lo)
+        ends.append(np.flatnonzero(here & ~after) + lo + 1)
+    first = np.concatenate(starts)
+    return first, np.concatenate(ends), np.searchsorted(first, offsets)
 
 
 def span_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    if not len(starts):
-        return np.empty(0, U64)
-    up, down = _powers(len(lowered) + 1)
-    sums = np.empty(len(lowered) + 1, U64)
-    sums[0] = 0
-    np.cumsum(_BYTE[lowered] * up[: len(lowered)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hashes of byte spans that follow each other without overlap; polynomials over the places in a span, in blocks of fixed size."""
+    out, i, n = np.empty(len(starts), U64), 0, len(starts)
+    sums = np.zeros(_BLOCK + 1, U64)
+    while i < n:
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + _BLOCK, "right"))
+        if j <= i:
+            out[i] = _long_hash(lowered[base : int(ends[i])])
+            i += 1
+            continue
+        block = lowered[base : int(ends[j - 1])]
+        np.cumsum(_BYTE[block] * _UP[: len(block)], out=sums[1 : len(block) + 1])
+        s = starts[i:j] - base
+        out[i:j] = (sums[ends[i:j] - base] - sums[s]) * _DOWN[s]
+        i = j
+    return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def _long_hash(span: np.ndarray) -> np.uint64:
+    total, mask = 0, (1 << 64) - 1
+    for lo in range(0, len(span), _BLOCK):
+        block = span[lo : lo + _BLOCK]
+        total += int((_BYTE[block] * _UP[: len(block)]).sum(dtype=U64)) * pow(_P, lo, 1 << 64)
+    return U64(total & mask)
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

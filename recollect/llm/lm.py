@@ -1,23 +1,29 @@
-"""Language-model scoring with a probabilistic suffix tree over the symbols of words.
-
-Counting: every task counts its words; Spark sums them into one table of words, whose size follows the corpus.
-Tree: contexts are the last 0 to 6 bytes inside a word (a word starts and ends with a space symbol, and a document's
-end is a symbol in the place of a word). A context stays if its share of all symbols is at least min_share and its
-next-symbol distribution differs enough from its parent's (count-weighted divergence in bits), or if a longer one
-needs it. As shares of one depth add up to 1, the tree has at most 7 / min_share contexts and as many entries,
-whatever the corpus size, and can be broadcast. Distributions are smoothed towards the parent's.
-Words seen in learning keep their own counts, less a discount of 0.75 each; the mass so freed is spread over all
-spellings by the tree. What the tree gives to spellings never seen is the probability of the unknown word, one token
-for all of them, as it is in the base: over the known words, the end and the unknown word, probabilities sum to 1.
-Scoring: each position takes its longest kept suffix state. A word's score depends on the word alone, so each distinct
-word is scored once; words with at least 1 / 2**20 of all tokens (so at most 2**20 words) are broadcast to the
-documents, all others are joined by hash.
-Words are known by 64-bit hashes in that join.
+"""Language-model scoring with a probabilistic suffix tree over tokens.
+
+Tokens are a document's words, A-Z lower-cased, and one end; contexts are the tokens before a token, at most `depth` of
+them, a text's start counting as one. An n-gram (w1..wk) is known by a 64-bit key; it stands both for the entry "wk
+after the context w1..wk-1" and for the context w1..wk.
+
+Learning, one level of the tree at a time, each a pass over the documents to learn from:
+* Tasks count the n-grams of their own texts and send them in blobs, one for each of many hash buckets; the contexts that
+  hold most are dealt out by their next token as well. Buckets grow in number with the tokens, so none grows with the table.
+* Entries of at least `min_count` occurrences (fewer allow no test) are joined to their context and to the same entry one
+  level up. Which n-grams can have so many is known from the level before, in a bitmap of fixed size that never says no
+  to one that has.
+* A context stays if its next-token distribution diverges from its parent's by `min_bits`, weighted by its count. It
+  gives its entries their own discounted shares, and leaves the rest of its mass to the parent's distribution of all
+  other tokens. Nothing depends on shares of the corpus or on a largest size: the tree grows with the input.
+
+Scoring: a token's probability is that of its longest kept context. In logarithms that is a sum with one term for each
+n-gram of the text, so that a text's score is the sum of the values of its n-grams. The commonest words and entries are
+broadcast (HOT_WORDS and HOT_GRAMS rows at most); texts are joined with all others by key, where a bitmap of fixed size
+does not rule them out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,256 +33,301 @@ from pyspark.sql import functions as F
 from recollect.llm import _text as T
 from recollect.llm._common import fold, save
 
-DEPTH, SPACE, END = 6, 0x20, 0x0A
-FREQUENT = 1 << 20
+#: Keys of the start and the end of a text.
+START, END = np.uint64(0x9D5C0F3A71B8E264), np.uint64(0x3B1F6E85D2C7A940)
+#: Rows broadcast for scoring, at most.
+HOT_WORDS, HOT_GRAMS = 1 << 20, 1 << 21
+#: Tokens counted at once in a task, tokens for each bucket, occurrences from which a context is dealt out by next token.
+STEP, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 18
+#: Bits of the bitmaps, as a power of 2.
+BITS = 26
+#: Taken from the count of each entry of a context and left to its parent.
 DISCOUNT = 0.75
+U64 = np.uint64
 
 
-def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The spans as a binary array."""
-    n = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts, n)
-    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[at])]).cast(pa.binary())
+def _under(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The key of the n-gram of a context and its next token."""
+    return ((context << U64(21)) | (context >> U64(43))) ^ token
 
 
-def word_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
-    """word (binary; null: the end of a document), c (in documents to learn from), a (in all)."""
+def _under_sql(context: str, token: str) -> str:
+    return f"((shiftleft({context}, 21) | shiftrightunsigned({context}, 43)) ^ {token})"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = T.texts(b.column(0))
-            learned = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            words, c, a = [], [], []
-            for i, j, part, off in T.pieces(data, offsets, 8 * T.CHUNK_BYTES):
-                low = T.LOWER[part]
-                starts, ends, at = T.word_spans(part, off)
-                hashes, first, inverse = np.unique(T.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
-                words.append(_spelled(low, starts[first], ends[first]))
-                c.append(np.bincount(inverse, np.repeat(learned[i:j], np.diff(at)), minlength=len(hashes)))
-                a.append(np.bincount(inverse, minlength=len(hashes)))
-            words.append(pa.nulls(1, pa.binary()))
-            c.append([learned.sum()])
-            a.append([len(learned)])
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(words), pa.array(np.concatenate(c).astype(np.int64)), pa.array(np.concatenate(a).astype(np.int64))], names=["word", "c", "a"])
-
-    counted = docs.select(F.col(text_col).cast("string"), learn.alias("learn")).mapInArrow(run, "word binary, c long, a long")
-    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
-
-
-def _symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words as symbols with a space before and after: bytes, index in the word, word number, and the offsets of the words."""
-    data, offsets = T.texts(words.cast(pa.large_binary()).view(pa.large_string()))
-    n = np.diff(offsets) + 2
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    out = np.full(bounds[-1], SPACE, np.uint64)
-    word = np.repeat(np.arange(len(n)), n)
-    index = np.arange(bounds[-1]) - bounds[:-1][word]
-    inner = (index > 0) & (index < n[word] - 1)
-    out[inner] = data
-    return out, index, word, bounds
-
-
-def _contexts(symbols: np.ndarray, index: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each depth: the positions to predict that have so many symbols before them, and their contexts' keys."""
-    ctx = np.zeros(len(symbols), np.uint64)
-    for d in range(DEPTH + 1):
-        if d:
-            ctx[d:] |= symbols[:-d] << np.uint64(8 * (d - 1))
-        at = np.flatnonzero(index >= max(d, 1))
-        yield d, at, np.uint64(d << 48) | ctx[at]
-
-
-def context_counts(words: DataFrame) -> DataFrame:
-    """key (depth, context and next symbol in one long), n: occurrences in the words to learn from."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Grams:
+    """The n-grams that end at each token of some documents: tokens, their documents, and by level (contexts, keys, valid)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int):
+        starts, ends, at = T.word_spans(data, offsets)
+        n = np.diff(at)
+        self.doc = np.repeat(np.arange(len(n)), n + 1)
+        self.tokens = np.empty(len(self.doc), U64)
+        last = at[1:] + np.arange(len(n))
+        word = np.ones(len(self.doc), bool)
+        word[last] = False
+        self.tokens[word] = T.span_hashes(T.LOWER[data], starts, ends)
+        self.tokens[last] = END
+        index = np.arange(len(self.doc)) - np.repeat(last - n, n + 1)
+        self.levels = [(np.zeros(len(self.doc), U64), self.tokens, np.ones(len(self.doc), bool))]
+        for d in range(1, depth + 1):
+            before = np.empty_like(self.tokens)
+            before[1:] = self.levels[-1][1][:-1]
+            if d == 1:
+                before[index == 0] = START
+            self.levels.append((before, _under(before, self.tokens), index >= d - 1))
+
+
+class Bitmap:
+    """A set of keys, in 2**BITS bits: has() is true for each key of the set, and for few others as long as it is small."""
+
+    def __init__(self, keys: DataFrame):
+        at = f"shiftrightunsigned(key, {64 - BITS})"
+        rows = keys.groupBy(F.expr(f"shiftrightunsigned({at}, 6)").alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 AS INT)))").alias("bits")).toPandas()  # 2**(BITS - 6) rows at most
+        self.words = np.zeros(1 << (BITS - 6), U64)
+        self.words[rows["i"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(U64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> U64(64 - BITS)
+        return (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
+
+
+BLOBS = "bucket int, context binary, runs binary, token binary, n binary"
+
+
+def _blob(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Slices of an array as binaries."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int64)), pa.py_buffer(x)]).cast(pa.binary())
+
+
+def counted(learned: DataFrame, level: int, buckets: int, hot: tuple[np.ndarray, np.ndarray], above, min_count: int) -> DataFrame:
+    """Entries (context, token, key, n) of one level with at least min_count occurrences in a column of texts.
+
+    hot: contexts (sorted) and the number of parts in which they are dealt out. above: the broadcast Bitmap of the level
+    before, or None.
+    """
+    sent = learned.sparkSession.sparkContext.broadcast(hot)
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        context, token = (np.concatenate(x) for x in zip(*held))
+        key = _under(context, token)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+        n = np.diff(np.append(first, len(key))).astype(np.uint32)
+        context, token = context[order[first]], token[order[first]]
+        names, parts = sent.value
+        fan = np.ones(len(token), U64)
+        if len(names):
+            at = np.minimum(np.searchsorted(names, context), len(names) - 1)
+            fan = np.where(names[at] == context, parts[at], fan)
+        bucket = (T.mix(context + T.mix(token) % fan * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
+        order = np.lexsort((context, bucket))
+        context, token, n, bucket = context[order], token[order], n[order], bucket[order]
+        new = np.concatenate([[True], (np.diff(bucket) != 0) | (context[1:] != context[:-1])])
+        run = np.flatnonzero(new)
+        runs = np.diff(np.append(run, len(token))).astype(np.uint32)
+        own, cut = np.unique(bucket, return_index=True)
+        cuts = np.append(cut, len(token))
+        at = np.searchsorted(run, cuts)
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), _blob(context[run], at), _blob(runs, at), _blob(token, cuts), _blob(n, cuts)], names=["bucket", "context", "runs", "token", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= 200_000:
-                yield count(held)
-                held, size = [], 0
+            data, offsets = T.texts(b.column(0))
+            for _, _, part, off in T.pieces(data, offsets):
+                g = Grams(part, off, level)
+                context, key, valid = g.levels[level]
+                if above is not None:
+                    # the context and the entry one level up must both have been kept there
+                    valid = valid & above.value.has(context)
+                    valid[valid] = above.value.has(g.levels[level - 1][1][valid])
+                held.append((context[valid], g.tokens[valid]))
+                size += len(held[-1][0])
+                if size >= STEP:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for b in batches:
+            for i, own in enumerate(b.column(0).to_pylist()):
+                if own != bucket and held:
+                    yield merged(held)
+                    held = []
+                bucket = own
+                context, runs, token, n = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((1, U64), (2, np.uint32), (3, U64), (4, np.uint32)))
+                held.append((np.repeat(context, runs), token, n))
         if held:
-            yield count(held)
-
-    def count(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(batches).combine_chunks()
-        symbols, index, word, _ = _symbols(t.column(0).chunk(0) if t.num_rows else pa.array([], pa.binary()))
-        weight = t.column(1).to_numpy()
-        keys, n = [], []
-        for _, at, ctx in _contexts(symbols, index):
-            k, inverse = np.unique((ctx << np.uint64(8)) | symbols[at], return_inverse=True)
-            keys.append(k)
-            n.append(np.bincount(inverse, weight[word[at]], minlength=len(k)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64))], names=["key", "n"])
-
-    return words.filter("c > 0 and word is not null").select("word", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class SuffixTree:
-    """Entries (context, next symbol) with log10 probabilities, and states (contexts) with log10 back-off weights."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, min_bits: float = 16.0, smoothing: float = 2.0):
-        order = np.argsort(keys)
-        keys, n = keys[order], counts[order].astype(float)
-        ctx = keys >> np.uint64(8)
-        states, first, of = np.unique(ctx, return_index=True, return_inverse=True)
-        total = np.bincount(of, n, minlength=len(states)) if len(keys) else np.zeros(0)
-        depth = (states >> np.uint64(48)).astype(int)
-        low = (np.uint64(1) << (np.uint64(8) * np.maximum(depth - 1, 0).astype(np.uint64))) - np.uint64(1)
-        up_key = ((np.maximum(depth - 1, 0).astype(np.uint64)) << np.uint64(48)) | (states & low)
-        up = np.searchsorted(states, up_key)
-        root = n[of == 0].sum() if len(states) and depth[0] == 0 else 0.0
-        self.unseen = np.log10(0.5 / (root + 128.5))
-        p, bits = np.zeros(len(keys)), np.zeros(len(states))
-        for d in range(DEPTH + 1):
-            rows = np.flatnonzero(depth[of] == d)
-            if d == 0:
-                p[rows] = (n[rows] + 0.5) / (root + 128.5)
-                continue
-            s = of[rows]
-            above = p[np.searchsorted(keys, (up_key[s] << np.uint64(8)) | (keys[rows] & np.uint64(255)))]
-            p[rows] = (n[rows] + smoothing * above) / (total[s] + smoothing)
-            bits += np.bincount(s, n[rows] * np.log2(n[rows] / total[s] / above), minlength=len(states))
-        kept = (bits >= min_bits) | (depth == 0)
-        for d in range(DEPTH, 0, -1):
-            kept[up[kept & (depth == d)]] = True
-        self.states, self.back = states[kept], np.log10(smoothing / (total[kept] + smoothing))
-        if len(self.back):
-            self.back[0] = 0.0
-        self.keys, self.logp = keys[kept[of]], np.log10(p[kept[of]])
-
-    def _find(self, where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(where):
-            return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
-        at = np.minimum(np.searchsorted(where, what), len(where) - 1)
-        return at, where[at] == what
-
-    def score_symbols(self, symbols: np.ndarray, index: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after its longest kept suffix (0 at the first of each word)."""
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        alive = np.ones(len(symbols), bool)
-        for _, at, ctx in _contexts(symbols, index):
-            on = alive[at]
-            at, ctx = at[on], ctx[on]
-            state, ok = self._find(self.states, ctx)
-            alive[:] = False
-            alive[at[ok]] = True
-            found.append((at[ok], ctx[ok], state[ok]))
-        out, done = np.zeros(len(symbols)), np.zeros(len(symbols), bool)
-        for at, ctx, state in reversed(found):
-            on = ~done[at]
-            at, ctx, state = at[on], ctx[on], state[on]
-            row, ok = self._find(self.keys, (ctx << np.uint64(8)) | symbols[at])
-            out[at[ok]] += self.logp[row[ok]]
-            out[at[~ok]] += self.back[state[~ok]]
-            done[at[ok]] = True
-        out[~done & (index > 0)] += self.unseen
-        return out
-
-    def score_words(self, words: pa.Array) -> np.ndarray:
-        symbols, index, _, bounds = _symbols(words)
-        if not len(words):
-            return np.zeros(0)
-        return np.add.reduceat(self.score_symbols(symbols, index), bounds[:-1])
-
-    def score_end(self) -> float:
-        return float(self.score_symbols(np.array([SPACE, END], np.uint64), np.arange(2))[1])
-
-
-def fit(words: DataFrame, ends: int, min_share: float = 2e-6) -> SuffixTree:
-    """The tree of a table of words and the number of document ends learned from."""
-    counts = save(context_counts(words), "contexts")
-    total = counts.filter(F.shiftright("key", 56) == 0).agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") >= max(1.0, min_share * total)).toPandas()  # at most 7 / min_share rows
-    keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    if ends:
-        mine = [np.uint64(END), np.uint64((1 << 56) | (SPACE << 8) | END)]
-        keys, n = np.concatenate([keys, np.array(mine, np.uint64)]), np.concatenate([n, [ends, ends]])
-    return SuffixTree(keys, n)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, min_share: float = 2e-6) -> DataFrame:
+            yield merged(held)
+
+    def merged(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        context, token, n = (np.concatenate(x) for x in zip(*held))
+        key = _under(context, token)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        kept = n >= min_count
+        rows = order[first[kept]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[rows].view(np.int64)) for x in (context, token, key)), pa.array(n[kept])], names=["context", "token", "key", "n"])
+
+    dealt = learned.mapInArrow(count, BLOBS).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(merge, "context long, token long, key long, n long")
+
+
+def _step(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) * 8).cast("int")
+
+
+def _hot_step(rows: DataFrame, limit: int) -> int:
+    """The smallest step of counts from which on there are no more than limit rows."""
+    steps, at = sorted(((r["s"], r["count"]) for r in rows.groupBy(_step(F.col("n")).alias("s")).count().collect()), reverse=True), 1 << 30  # 512 rows at most
+    for s, count in steps:
+        limit -= count
+        if limit < 0:
+            break
+        at = s
+    return at
+
+
+def _large(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of at least SPLIT occurrences (the 65536 largest), and in how many parts to deal them out. Which these are changes no count."""
+    found = rows.filter(F.col("n") >= SPLIT).orderBy(F.desc("n"), "key").limit(1 << 16).select("key", "n").toPandas()
+    keys = found["key"].to_numpy(np.int64).view(U64)
+    order = np.argsort(keys)
+    return keys[order], (found["n"].to_numpy(np.int64)[order] // SPLIT + 1).astype(U64)
+
+
+class Tree:
+    """What was learned: the tables words (key, n, value) and grams (key, n, value), the value of a text's start, train_tokens, distinct words and the value of an unknown word."""
+
+    def __init__(self, docs: DataFrame, text_col: str, learn: Column, depth: int, min_count: int, min_bits: float):
+        spark = docs.sparkSession
+        learned = docs.filter(learn).select(F.col(text_col).cast("string").alias("text"))
+        # every context of level 0 is the empty one (key 0), dealt out over all buckets by token
+        about = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        words = save(counted(learned, 0, about // (6 * BUCKET) + 1, (np.zeros(1, U64), np.array([1 << 62], U64)), None, 1), "words")
+        total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.max(F.when(F.col("key") == int(END.view(np.int64)), F.col("n"))).alias("texts")).first()
+        self.n, self.v, texts = total["n"] or 0, total["v"], total["texts"] or 0
+        self.taken = min(max(total["n1"] / (total["n1"] + 2 * total["n2"]), 0.1), 0.9) if total["n1"] else 0.1
+        self.unknown = float(np.log10(self.taken * self.v / self.n)) if self.n else 0.0
+        base = words.select("key", F.lit(0).cast("long").alias("up"), "n", F.log10((F.col("n") - self.taken) / float(self.n or 1)).alias("lp"), F.lit(0.0).alias("gain"))
+        start = spark.createDataFrame([(int(START.view(np.int64)), 0, texts, 0.0, 0.0)], base.schema)
+        levels, backs = [base], []
+        buckets = self.n // BUCKET + 1
+        for d in range(1, depth + 1):
+            prev = levels[-1].filter(F.col("n") >= min_count)
+            prev = prev.unionByName(start.filter(F.col("n") >= min_count)) if d == 1 else prev
+            above = spark.sparkContext.broadcast(Bitmap(prev))
+            entries = counted(learned, d, buckets, _large(prev), above, min_count)
+            level, back = self._level(entries, prev, d, min_bits)
+            levels.append(level)
+            backs.append(back)
+        own = lambda k: levels[k].join(backs[k].select(F.col("context").alias("key"), "back"), "key", "left") if k < depth else levels[k].withColumn("back", F.lit(0.0))
+        value = F.coalesce("back", F.lit(0.0))
+        self.words = save(own(0).select("key", "n", (F.col("lp") + value).alias("value")), "word-values")
+        grams = [own(k).select("key", "n", (F.col("gain") + value).alias("value")).filter("value <> 0") for k in range(1, depth + 1)]
+        self.grams = save(reduce(DataFrame.unionByName, grams, base.limit(0).select("key", "n", F.lit(0.0).alias("value"))), "gram-values")
+        first = backs[0].filter(F.col("context") == int(START.view(np.int64))).first() if depth else None
+        self.start = first["back"] if first else 0.0
+
+    def _level(self, entries: DataFrame, prev: DataFrame, d: int, min_bits: float) -> tuple[DataFrame, DataFrame]:
+        """(key, up, n, lp, gain) of a level's entries, and (context, back) of its kept contexts. up: the key of the entry one level up."""
+        entries = entries.join(prev.select(F.col("key").alias("context"), F.col("n").alias("total"), F.col("up").alias("over")), "context")
+        entries = entries.withColumn("up", F.col("token") if d == 1 else F.expr(_under_sql("over", "token"))).drop("over")
+        entries = save(entries.join(prev.select(F.col("key").alias("up"), F.col("lp").alias("lp_up")), "up"), "entries")
+        share, above = (F.col("n") - DISCOUNT) / F.col("total"), F.pow(F.lit(10.0), "lp_up")
+        contexts = entries.groupBy("context").agg(F.max("total").alias("total"), F.sum("n").alias("n"), F.sum(share).alias("own"), F.sum(above).alias("above"), F.sum(F.col("n") * F.log2(share / above)).alias("bits"))
+        left = F.greatest(1 - F.col("own"), F.lit(1e-12)) / F.greatest(1 - F.col("above"), F.lit(1e-12))
+        contexts = contexts.withColumn("back", F.log10(left)).filter(F.col("bits") + (F.col("total") - F.col("n")) * F.log2(left) >= min_bits)
+        back = save(contexts.select("context", "back"), "contexts")
+        lp = F.when(F.col("back").isNull(), F.col("lp_up")).otherwise(F.log10(share))
+        gain = F.when(F.col("back").isNull(), F.lit(0.0)).otherwise(F.log10(share) - F.col("back") - F.col("lp_up"))
+        return save(entries.join(back, "context", "left").select("key", "up", "n", lp.alias("lp"), gain.alias("gain")), "level"), back
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, depth: int = 2, min_count: int = 5, min_bits: float = 16.0, hot: tuple[int, int] = (HOT_WORDS, HOT_GRAMS)) -> DataFrame:
     """Scores of all texts under the suffix tree and under a smoothed word-frequency base, both learned where learn is true.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are a document's words, A-Z
-    lower-cased, and one end. score is the tree's log10 probability of those tokens. A null text is empty (one token).
-    A null id is held out. Repeated rows are scored each. With nothing to learn from, train_tokens is 0 and scores rest
-    on smoothing alone. Other columns are ignored; an empty table gives no rows.
+    lower-cased, and one end. score is the tree's log10 probability of those tokens; all words never seen in learning
+    are one token, as they are in the base, and over the known words, the end and that token probabilities sum to 1
+    after any context. A null text is empty (one token). A null id is held out. Repeated rows are learned from and scored
+    each. With nothing to learn from, train_tokens is 0, every token is the unknown one, and score is 0. Other columns are
+    ignored; an empty table gives no rows. Words are known by 64-bit hashes. depth 0 gives the root alone.
     """
-    learn = fold(id_col, 10) != 0 if learn is None else learn
+    learn = fold(id_col, 10) != 0 if learn is None else F.coalesce(learn, F.lit(False))
     spark = docs.sparkSession
-    words = save(word_counts(docs, text_col, learn), "words")
-    total = words.agg(F.sum("c").alias("n"), F.sum("a").alias("a"), F.count_if(F.col("c") > 0).alias("v"), F.max(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
-    n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
-    tree = spark.sparkContext.broadcast(fit(words, ends, min_share))
-    under = n + 0.1 * (v + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spelled = b.column(0)
-            data, offsets = T.texts(spelled.cast(pa.large_binary()).view(pa.large_string()))
-            hashes = T.span_hashes(data, offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), b.column(1), b.column(2), pa.array(tree.value.score_words(spelled))], names=["hash", "c", "a", "tree"])
-
-    scored = save(words.filter("word is not null").select("word", "c", "a").mapInArrow(run, "hash long, c long, a long, tree double"), "scored")
-    spelled = scored.agg(F.sum(F.when(F.col("c") > 0, F.pow(F.lit(10.0), "tree")))).first()[0] or 0.0
-    freed, end_tree = (DISCOUNT * v / n if n else 1.0), 10 ** tree.value.score_end() if ends else 0.0
-    unknown = max(freed * (1 - spelled - end_tree), 1e-12)
-
-    def probability(c: Column, tree: Column) -> Column:
-        return F.when(c > 0, F.greatest(c - DISCOUNT, F.lit(0.0)) / F.lit(float(n or 1)) + F.lit(freed) * tree).otherwise(F.lit(unknown))
-
-    c = F.col("c")
-    scored = scored.select("hash", (c > 0).alias("known"), "a", F.log10((c + 0.1) / F.lit(under)).alias("base"), F.log10(probability(c, F.pow(F.lit(10.0), "tree"))).alias("lp"))
-    often = scored.filter(F.col("a") >= max(1.0, (total["a"] or 0) / FREQUENT)).orderBy("hash").toPandas()  # at most FREQUENT rows
-    frequent = spark.sparkContext.broadcast(tuple(often[k].to_numpy() for k in ("hash", "known", "base", "lp")))
-    end = (1 if ends else 0, float(np.log10((ends + 0.1) / under)), float(np.log10(max(ends - DISCOUNT, 0) / n + freed * end_tree if ends else unknown)))
-    return _documents(docs, id_col, text_col, learn, frequent, end, scored, n)
+    tree = Tree(docs, text_col, learn, depth, min_count, min_bits)
+    steps = [_hot_step(t, limit) for t, limit in zip((tree.words, tree.grams), hot)]
+    often = [t.filter(_step(F.col("n")) >= s).toPandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(U64)) for t, s in zip((tree.words, tree.grams), steps)]  # at most as many rows as hot says
+    rare = [t.filter(_step(F.col("n")) < s) for t, s in zip((tree.words, tree.grams), steps)]
+    array = lambda t, k, of=np.int64: np.ascontiguousarray(t[k].to_numpy(of))
+    words = (array(often[0], "key").view(U64), array(often[0], "n"), array(often[0], "value", float))
+    grams = (array(often[1], "key").view(U64), array(often[1], "value", float))
+    known = spark.sparkContext.broadcast((words, grams, Bitmap(tree.grams.select("key")), Bitmap(rare[1].select("key"))))
+    under, start = tree.n + 0.1 * (tree.v + 1), tree.start
 
-
-def _documents(docs, id_col, text_col, learn, frequent, end, scored, train_tokens) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known_hash, known, base, lp = frequent.value
+        (word_keys, word_n, word_value), (gram_keys, gram_value), any_gram, rare_gram = known.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             data, offsets = T.texts(b.column(1))
             for i, j, part, off in T.pieces(data, offsets):
-                starts, ends, at = T.word_spans(part, off)
-                h = T.span_hashes(T.LOWER[part], starts, ends).view(np.int64)
-                k = np.minimum(np.searchsorted(known_hash, h), max(len(known_hash) - 1, 0))
-                hit = known_hash[k] == h if len(known_hash) else np.zeros(len(h), bool)
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                ids = row + np.arange(j - i)
-                row += j - i
-                near, k = doc[hit], k[hit]
-                sums = [np.bincount(near, x[k], minlength=j - i) + e for x, e in zip((known, base, lp), end)]
-                far_h, far_id = h[~hit], ids[doc[~hit]]
-                m = len(far_h)
+                g, m = Grams(part, off, depth), j - i
+                ids = row + np.arange(m)
+                row += m
+                at, hit = _find(word_keys, g.tokens)
+                near, n = g.doc[hit], word_n[at[hit]]
+                counts = np.bincount(g.doc, minlength=m), np.bincount(near, minlength=m)
+                base = np.bincount(near, np.log10((n + 0.1) / under), minlength=m)
+                value = np.zeros(len(g.doc))  # by token first: terms of a token and the next cancel out
+                value[hit] = word_value[at[hit]]
+                far = [(ids[g.doc[~hit]], g.tokens[~hit], True)]
+                for _, keys, valid in g.levels[1:]:
+                    on = np.flatnonzero(valid)
+                    on = on[any_gram.has(keys[on])]
+                    at, hit = _find(gram_keys, keys[on])
+                    value[on[hit]] += gram_value[at[hit]]
+                    on = on[~hit]
+                    on = on[rare_gram.has(keys[on])]
+                    far.append((ids[g.doc[on]], keys[on], False))
+                rest = sum(len(x[0]) for x in far)
+                pad = lambda x, of=np.int64: np.concatenate([x.astype(of), np.zeros(rest, of)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([ids, far_id])),
-                        pa.array(np.concatenate([T.mix(ids).view(np.int64), far_h])),
-                        pa.array(np.concatenate([np.ones(j - i, bool), np.zeros(m, bool)])),
-                        pa.concat_arrays([b.column(0).slice(i, j - i), pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([b.column(2).slice(i, j - i), pa.nulls(m, pa.bool_())]),
-                        pa.array(np.concatenate([np.diff(at) + 1, np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([sums[0].astype(np.int64), np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([sums[1], np.zeros(m)])),
-                        pa.array(np.concatenate([sums[2], np.zeros(m)])),
+                        pa.array(np.concatenate([ids, *(x[0] for x in far)])),
+                        pa.array(np.concatenate([T.mix(ids), *(x[1] for x in far)]).view(np.int64)),
+                        pa.array(np.concatenate([np.zeros(m, np.int8), *(np.full(len(x[0]), 1 if x[2] else 2, np.int8) for x in far)])),
+                        pa.concat_arrays([b.column(0).slice(i, m), pa.nulls(rest, pa.int64())]),
+                        pa.concat_arrays([b.column(2).slice(i, m), pa.nulls(rest, pa.bool_())]),
+                        pa.array(pad(counts[0])),
+                        pa.array(pad(counts[1])),
+                        pa.array(pad(base, float)),
+                        pa.array(pad(np.bincount(g.doc, value, minlength=m) + start, float)),
                     ],
-                    names=["row", "hash", "whole", "doc_id", "held_out", "n", "known", "base", "lp"],
+                    names=["row", "key", "kind", "doc_id", "held_out", "n_tokens", "n_known", "base", "value"],
                 )
 
-    parts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), (~learn).alias("held_out")).mapInArrow(run, "row long, hash long, whole boolean, doc_id long, held_out boolean, n long, known long, base double, lp double")
-    words = scored.select("hash", F.col("known").cast("long").alias("w_known"), F.col("base").alias("w_base"), F.col("lp").alias("w_lp"))
-    joined = parts.join(words, "hash", "left")
-
-    def both(own: str, word: str) -> Column:
-        return F.sum(F.when(F.col("whole"), F.col(own)).otherwise(F.col(word)))
-
-    return joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), both("known", "w_known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), both("base", "w_base").alias("base_score"), both("lp", "w_lp").alias("score")).drop("row")
+    parts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), (~learn).alias("held_out")).mapInArrow(run, "row long, key long, kind byte, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double")
+    found = rare[0].select(F.lit(1).cast("byte").alias("kind"), "key", "n", F.col("value").alias("found")).unionByName(rare[1].select(F.lit(2).cast("byte").alias("kind"), "key", F.lit(None).cast("long").alias("n"), F.col("value").alias("found")))
+    joined = parts.join(found, ["key", "kind"], "left")
+    word = F.col("kind") == 1
+    base = F.when(word, F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(float(under)))).otherwise(F.col("base"))
+    value = F.when(word, F.coalesce("found", F.lit(tree.unknown))).when(F.col("kind") == 2, F.coalesce("found", F.lit(0.0))).otherwise(F.col("value"))
+    seen = F.when(word, F.col("n").isNotNull().cast("long")).otherwise(F.col("n_known"))
+    out = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(seen).alias("n_known"), F.sum(base).alias("base_score"), F.sum(value).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether the values are there."""
+    if not len(where):
+        return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
+    at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+    return at, where[at] == what

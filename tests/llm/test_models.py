@@ -1,10 +1,12 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import langid, lm, quality
 
@@ -128,63 +130,97 @@ def test_language_without_learning(spark, docs):
     assert {r["lang_pred"] for r in langid.identify(docs.select("doc_id", "text"), model, spans=False).collect()} == {"und"}
 
 
-def test_lm_counts_and_base(spark, docs):
-    got = {r["doc_id"]: r for r in lm.score(docs.select("doc_id", "text", "lang").withColumnRenamed("lang", "score")).collect()}
-    texts = {r["doc_id"]: words(r["text"]) + [None] for r in docs.collect()}
-    out = {i: i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    c = Counter(w for i, t in texts.items() if not out[i] for w in t)
-    n, v = sum(c.values()), len(c)
-    assert set(got) == set(texts)
-    for i, t in texts.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert r["score"] <= 0
-
-
-def test_lm_tokens_sum_to_one(spark):
-    rng = random.Random(2)
-    train = [(i, " ".join(rng.choice(["ab", "abc", "b", "cab"]) for _ in range(20))) for i in range(60)]
-    singles = [(100_000 + k, w) for k, w in enumerate(["ab", "abc", "b", "cab", "zz"])]
-    df = spark.createDataFrame(train + singles + [(200_000, "")], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
-    got = {r["doc_id"]: r["score"] for r in lm.score(df, learn=F.col("doc_id") < 1000).collect()}
-    end = got[200_000]
-    assert abs(sum(10 ** (got[i] - end) for i, _ in singles) + 10**end - 1) < 1e-9
-
-
-def test_suffix_tree_against_plain_version():
-    import pyarrow as pa
-
-    text = ["abab", "abba", "ab", "b", "abab"]
-    counts = Counter()
-    for w in text:
-        s = " " + w + " "
-        for t in range(1, len(s)):
-            for d in range(0, min(t, lm.DEPTH) + 1):
-                counts[s[t - d : t], s[t]] += 1
-    key = lambda c, x: (len(c) << 56) | (int.from_bytes(c.encode(), "big") << 8) | ord(x)
-    tree = lm.SuffixTree(np.array([key(*k) for k in counts], np.uint64), np.array(list(counts.values())), min_bits=-1e9)
-    total = Counter()
-    for (c, _), n in counts.items():
-        total[c] += n
-
-    def p(c, x):
-        if not c:
-            return (counts[c, x] + 0.5) / (total[c] + 128.5)
-        return (counts[c, x] + 2.0 * p(c[1:], x)) / (total[c] + 2.0) if total[c] else p(c[1:], x)
-
-    for w in ["abab", "ba", "zq", ""]:
-        s = " " + w + " "
-        want = sum(math.log10(p(s[max(0, t - lm.DEPTH) : t], s[t])) for t in range(1, len(s)))
-        assert math.isclose(tree.score_words(pa.array([w.encode()], pa.binary()))[0], want, rel_tol=1e-9)
+class PlainTree:
+    """The suffix tree with dictionaries, for a list of token lists."""
+
+    def __init__(self, texts, depth, min_count=5, min_bits=16.0):
+        self.depth, grams = depth, [Counter() for _ in range(depth + 1)]
+        for t in texts:
+            for i in range(len(t)):
+                for d in range(min(depth, i + 1) + 1):
+                    grams[d][tuple((["<", *t])[i + 1 - d : i + 2])] += 1
+        self.c = {k[0]: n for k, n in grams[0].items()}
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        once, twice = (sum(n == k for n in self.c.values()) for k in (1, 2))
+        self.taken = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.1
+        self.own, self.back = {}, {}
+        totals = {**{(w,): n for w, n in self.c.items()}, ("<",): len(texts)}
+        for d in range(1, depth + 1):
+            by = {}
+            for k, n in grams[d].items():
+                if n >= min_count:
+                    by.setdefault(k[:-1], {})[k[-1]] = n
+            new = {}
+            for s, found in by.items():
+                above = {x: self.p(s[1:], x) for x in found}
+                share = {x: (n - lm.DISCOUNT) / totals[s] for x, n in found.items()}
+                left = max(1 - sum(share.values()), 1e-12) / max(1 - sum(above.values()), 1e-12)
+                if sum(n * math.log2(share[x] / above[x]) for x, n in found.items()) + (totals[s] - sum(found.values())) * math.log2(left) >= min_bits:
+                    new[s] = share, left
+            for s, (share, left) in new.items():
+                self.own[s], self.back[s] = share, left
+            totals |= grams[d]
+
+    def p(self, s, x):
+        """After the longest kept suffix of s."""
+        if not s:
+            return (self.c[x] - self.taken) / self.n if x in self.c else self.taken * self.v / self.n
+        if s not in self.own:
+            return self.p(s[1:], x)
+        return self.own[s].get(x) or self.back[s] * self.p(s[1:], x)
+
+    def score(self, t):
+        full = ["<", *t]
+        return sum(math.log10(self.p(tuple(full[max(0, i + 1 - self.depth) : i + 1]), x)) for i, x in enumerate(t))
+
+
+@pytest.mark.parametrize(("depth", "hot"), [(0, (1 << 20, 1 << 21)), (1, (4, 0)), (2, (1 << 20, 1 << 21)), (2, (2, 5)), (3, (0, 0))])
+def test_lm_against_plain_tree(spark, docs, depth, hot):
+    rng = random.Random(8)
+    more = [(2000 + i, " ".join(rng.choice(["A b c d", "b a", "x b c e", "q%d" % rng.randrange(300), "the of and"]) for _ in range(12)), None, None) for i in range(150)]
+    df = docs.unionByName(spark.createDataFrame(more + more[:3], docs.schema)).select("doc_id", "text", F.col("lang").alias("score"))
+    rows = df.collect()
+    out = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    tree = PlainTree([words(r["text"]) + [None] for r in rows if not out(r["doc_id"])], depth)
+    assert depth == 0 or (tree.own and any(len(s) == depth for s in tree.own))
+    got = lm.score(df, depth=depth, hot=hot).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in rows)
+    got = {r["doc_id"]: r for r in got}
+    for r in rows:
+        t, g = words(r["text"]) + [None], got[r["doc_id"]]
+        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (out(r["doc_id"]), len(t), sum(w in tree.c for w in t), tree.n)
+        assert math.isclose(g["base_score"], sum(math.log10((tree.c.get(w, 0) + 0.1) / (tree.n + 0.1 * (tree.v + 1))) for w in t), rel_tol=1e-9)
+        assert math.isclose(g["score"], tree.score(t), rel_tol=1e-9, abs_tol=1e-10 * len(t))  # terms of neighbours cancel out
+
+
+def test_lm_tokens_sum_to_one(spark, docs):
+    tree = PlainTree([words(r["text"]) + [None] for r in docs.collect()] * 2, 2)
+    assert len(tree.own) > 20
+    for s in [(), ("zz",), *tree.own]:
+        assert abs(sum(tree.p(s, x) for x in [*tree.c, "zz"]) - 1) < 1e-9
+
+
+def test_lm_contexts_help_held_out_texts(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tree, root = ({h: (s, b) for h, s, b in lm.score(df, depth=d).groupBy("held_out").agg(F.sum("score"), F.sum("base_score")).collect()} for d in (2, 0))
+    for h in (True, False):
+        assert tree[h][0] > root[h][0] and tree[h][0] > tree[h][1]
+
+
+def test_lm_in_many_small_steps(spark, docs, monkeypatch):
+    df = docs.select("doc_id", "text")
+    want = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "BUCKET", 500)
+    monkeypatch.setattr(lm, "SPLIT", 100)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in want)
 
 
 def test_lm_with_nothing_to_learn(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    r = lm.score(df, learn=F.lit(False)).first()
-    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0)
+    for learn in (F.lit(False), F.lit(None).cast("boolean")):
+        r = lm.score(df, learn=learn).first()
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) == (3, 0, 0, 0.0)
     assert lm.score(df.limit(0)).collect() == []
