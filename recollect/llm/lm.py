@@ -78,14 +78,20 @@ class Grams:
             self.levels.append((before, _under(before, self.tokens), index >= d - 1))
 
 
+def _arrays(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded size, on the driver."""
+    return [c.to_numpy() for c in rows.toArrow().columns]
+
+
 class Bitmap:
     """A set of keys, in 2**BITS bits: has() is true for each key of the set, and for few others as long as it is small."""
 
     def __init__(self, keys: DataFrame):
         at = f"shiftrightunsigned(key, {64 - BITS})"
-        rows = keys.groupBy(F.expr(f"shiftrightunsigned({at}, 6)").alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 AS INT)))").alias("bits")).toPandas()  # 2**(BITS - 6) rows at most
+        rows = keys.groupBy(F.expr(f"shiftrightunsigned({at}, 6)").alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 AS INT)))").alias("bits"))  # 2**(BITS - 6) rows at most
+        i, bits = _arrays(rows)
         self.words = np.zeros(1 << (BITS - 6), U64)
-        self.words[rows["i"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(U64)
+        self.words[i] = bits.view(U64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys >> U64(64 - BITS)
@@ -195,10 +201,9 @@ def _hot_step(rows: DataFrame, limit: int) -> int:
 
 def _large(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of at least SPLIT occurrences (the 65536 largest), and in how many parts to deal them out. Which these are changes no count."""
-    found = rows.filter(F.col("n") >= SPLIT).orderBy(F.desc("n"), "key").limit(1 << 16).select("key", "n").toPandas()
-    keys = found["key"].to_numpy(np.int64).view(U64)
-    order = np.argsort(keys)
-    return keys[order], (found["n"].to_numpy(np.int64)[order] // SPLIT + 1).astype(U64)
+    keys, n = _arrays(rows.filter(F.col("n") >= SPLIT).orderBy(F.desc("n"), "key").limit(1 << 16).select("key", "n"))
+    order = np.argsort(keys.view(U64))
+    return keys.view(U64)[order], (n[order] // SPLIT + 1).astype(U64)
 
 
 class Tree:
@@ -228,7 +233,9 @@ class Tree:
             backs.append(back)
         own = lambda k: levels[k].join(backs[k].select(F.col("context").alias("key"), "back"), "key", "left") if k < depth else levels[k].withColumn("back", F.lit(0.0))
         value = F.coalesce("back", F.lit(0.0))
-        self.words = save(own(0).select("key", "n", (F.col("lp") + value).alias("value")), "word-values")
+        # a word of few occurrences is no context
+        often = own(0).filter(F.col("n") >= min_count).select("key", "n", (F.col("lp") + value).alias("value"))
+        self.words = save(often.unionByName(base.filter(F.col("n") < min_count).select("key", "n", F.col("lp").alias("value"))), "word-values")
         grams = [own(k).select("key", "n", (F.col("gain") + value).alias("value")).filter("value <> 0") for k in range(1, depth + 1)]
         self.grams = save(reduce(DataFrame.unionByName, grams, base.limit(0).select("key", "n", F.lit(0.0).alias("value"))), "gram-values")
         first = backs[0].filter(F.col("context") == int(START.view(np.int64))).first() if depth else None
@@ -263,11 +270,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
     spark = docs.sparkSession
     tree = Tree(docs, text_col, learn, depth, min_count, min_bits)
     steps = [_hot_step(t, limit) for t, limit in zip((tree.words, tree.grams), hot)]
-    often = [t.filter(_step(F.col("n")) >= s).toPandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(U64)) for t, s in zip((tree.words, tree.grams), steps)]  # at most as many rows as hot says
+    often = [_arrays(t.filter(_step(F.col("n")) >= s).select("key", *cols)) for t, s, cols in zip((tree.words, tree.grams), steps, (("n", "value"), ("value",)))]  # at most as many rows as hot says
     rare = [t.filter(_step(F.col("n")) < s) for t, s in zip((tree.words, tree.grams), steps)]
-    array = lambda t, k, of=np.int64: np.ascontiguousarray(t[k].to_numpy(of))
-    words = (array(often[0], "key").view(U64), array(often[0], "n"), array(often[0], "value", float))
-    grams = (array(often[1], "key").view(U64), array(often[1], "value", float))
+    words, grams = ([x[order] for x in (t[0].view(U64), *t[1:])] for t in often for order in [np.argsort(t[0].view(U64))])
+    del often
     known = spark.sparkContext.broadcast((words, grams, Bitmap(tree.grams.select("key")), Bitmap(rare[1].select("key"))))
     under, start = tree.n + 0.1 * (tree.v + 1), tree.start
 
