@@ -16,8 +16,8 @@ Learning, one level of the tree at a time, each a pass over the documents to lea
 
 Scoring: a token's probability is that of its longest kept context. In logarithms that is a sum with one term for each
 n-gram of the text, so that a text's score is the sum of the values of its n-grams. The commonest words and entries are
-broadcast (HOT_WORDS and HOT_GRAMS rows at most); texts are joined with all others by key, where a bitmap of fixed size
-does not rule them out.
+broadcast (HOT_WORDS and HOT_GRAMS rows at most). All others meet the texts' n-grams, where a bitmap of fixed size does
+not rule these out, in hash buckets again, and their sums go back to the texts.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from recollect.llm._common import fold, save
 #: Keys of the start and the end of a text.
 START, END = np.uint64(0x9D5C0F3A71B8E264), np.uint64(0x3B1F6E85D2C7A940)
 #: Rows broadcast for scoring, at most.
-HOT_WORDS, HOT_GRAMS = 1 << 20, 1 << 21
+HOT_WORDS, HOT_GRAMS = 1 << 17, 1 << 18
 #: Tokens counted at once in a task, tokens for each bucket, occurrences from which a context is dealt out by next token.
 STEP, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 18
 #: Bits of the bitmaps, as a power of 2.
@@ -107,6 +107,16 @@ def _blob(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int64)), pa.py_buffer(x)]).cast(pa.binary())
 
 
+def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted rows, and where their rows begin and end."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[first], np.append(first, len(bucket))
+
+
+def _read(b: pa.RecordBatch, i: int, **columns) -> list[np.ndarray]:
+    return [np.frombuffer(b.column(b.schema.get_field_index(k))[i].as_buffer(), t) for k, t in columns.items()]
+
+
 def counted(learned: DataFrame, level: int, buckets: int, hot: tuple[np.ndarray, np.ndarray], above, min_count: int) -> DataFrame:
     """Entries (context, token, key, n) of one level with at least min_count occurrences in a column of texts.
 
@@ -117,24 +127,24 @@ def counted(learned: DataFrame, level: int, buckets: int, hot: tuple[np.ndarray,
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         context, token = (np.concatenate(x) for x in zip(*held))
-        key = _under(context, token)
-        order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
-        n = np.diff(np.append(first, len(key))).astype(np.uint32)
-        context, token = context[order[first]], token[order[first]]
         names, parts = sent.value
         fan = np.ones(len(token), U64)
         if len(names):
             at = np.minimum(np.searchsorted(names, context), len(names) - 1)
             fan = np.where(names[at] == context, parts[at], fan)
-        bucket = (T.mix(context + T.mix(token) % fan * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
-        order = np.lexsort((context, bucket))
-        context, token, n, bucket = context[order], token[order], n[order], bucket[order]
-        new = np.concatenate([[True], (np.diff(bucket) != 0) | (context[1:] != context[:-1])])
-        run = np.flatnonzero(new)
+        mixed = T.mix(token)
+        bucket = T.mix(context + mixed % fan * U64(0x9E3779B97F4A7C15)) % U64(buckets)
+        # by bucket, context, token, of which some bits of a hash are enough: if others come between, equal entries go as two
+        bits = (64 - buckets.bit_length()) // 2
+        order = np.argsort((bucket << U64(2 * bits)) | (T.mix(context) >> U64(64 - bits) << U64(bits)) | (mixed >> U64(64 - bits)))
+        context, token, bucket = context[order], token[order], bucket[order]
+        other = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1])])
+        first = np.flatnonzero(other | np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.append(first, len(token))).astype(np.uint32)
+        context, token, bucket = context[first], token[first], bucket[first]
+        run = np.flatnonzero(other[first])
         runs = np.diff(np.append(run, len(token))).astype(np.uint32)
-        own, cut = np.unique(bucket, return_index=True)
-        cuts = np.append(cut, len(token))
+        own, cuts = _cuts(bucket)
         at = np.searchsorted(run, cuts)
         return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), _blob(context[run], at), _blob(runs, at), _blob(token, cuts), _blob(n, cuts)], names=["bucket", "context", "runs", "token", "n"])
 
@@ -165,7 +175,7 @@ def counted(learned: DataFrame, level: int, buckets: int, hot: tuple[np.ndarray,
                     yield merged(held)
                     held = []
                 bucket = own
-                context, runs, token, n = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((1, U64), (2, np.uint32), (3, U64), (4, np.uint32)))
+                context, runs, token, n = _read(b, i, context=U64, runs=np.uint32, token=U64, n=np.uint32)
                 held.append((np.repeat(context, runs), token, n))
         if held:
             yield merged(held)
@@ -275,60 +285,141 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
     words, grams = ([x[order] for x in (t[0].view(U64), *t[1:])] for t in often for order in [np.argsort(t[0].view(U64))])
     del often
     known = spark.sparkContext.broadcast((words, grams, Bitmap(tree.grams.select("key")), Bitmap(rare[1].select("key"))))
-    under, start = tree.n + 0.1 * (tree.v + 1), tree.start
+    buckets, under = tree.n // (4 * BUCKET) + 1, tree.n + 0.1 * (tree.v + 1)
+    given = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), (~learn).alias("held_out"))
+    values = rare[0].select("key", "n", "value").unionByName(rare[1].select("key", F.lit(0).cast("long").alias("n"), "value"))
+    met = _values(values, buckets).unionByName(_lookups(given, known, depth, tree.start, under, buckets), allowMissingColumns=True)
+    met = met.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(_sums(tree.unknown, under), CHUNKS)
+    out = met.repartition("chunk").sortWithinPartitions("chunk", "side").mapInArrow(_texts, TEXTS)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+#: Rare values (side 0), the rows of a chunk of texts (1) and its n-grams to look up (2), by bucket; docs counts from 0 in the chunk.
+VALUES = "bucket int, side byte, key binary, n binary, value binary"
+LOOKUPS = "bucket int, side byte, chunk long, key binary, docs binary, words int, ids array<long>, out array<boolean>, tokens binary, known binary, base binary, value binary"
+CHUNKS = "chunk long, side byte, docs binary, ids array<long>, out array<boolean>, tokens binary, known binary, base binary, value binary"
+TEXTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
 
+def _values(rows: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n, value = (c.to_numpy() for c in b.columns)
+            bucket = T.mix(key.view(U64)) % U64(buckets)
+            order = np.argsort(bucket)
+            own, cuts = _cuts(bucket[order])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.zeros(len(own), np.int8)), *(_blob(x[order], cuts) for x in (key, n, value))], names=["bucket", "side", "key", "n", "value"])
+
+    return rows.mapInArrow(run, VALUES)
+
+
+def _lookups(given: DataFrame, known, depth: int, start: float, under: float, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         (word_keys, word_n, word_value), (gram_keys, gram_value), any_gram, rare_gram = known.value
-        row = TaskContext.get().partitionId() << 40
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             data, offsets = T.texts(b.column(1))
             for i, j, part, off in T.pieces(data, offsets):
-                g, m = Grams(part, off, depth), j - i
-                ids = row + np.arange(m)
-                row += m
+                g, m, chunk = Grams(part, off, depth), j - i, chunk + 1
                 at, hit = _find(word_keys, g.tokens)
                 near, n = g.doc[hit], word_n[at[hit]]
-                counts = np.bincount(g.doc, minlength=m), np.bincount(near, minlength=m)
-                base = np.bincount(near, np.log10((n + 0.1) / under), minlength=m)
                 value = np.zeros(len(g.doc))  # by token first: terms of a token and the next cancel out
                 value[hit] = word_value[at[hit]]
-                far = [(ids[g.doc[~hit]], g.tokens[~hit], True)]
-                for _, keys, valid in g.levels[1:]:
+                keys, docs = [g.tokens[~hit]], [g.doc[~hit]]
+                for _, key, valid in g.levels[1:]:
                     on = np.flatnonzero(valid)
-                    on = on[any_gram.has(keys[on])]
-                    at, hit = _find(gram_keys, keys[on])
+                    on = on[any_gram.has(key[on])]
+                    at, hit = _find(gram_keys, key[on])
                     value[on[hit]] += gram_value[at[hit]]
                     on = on[~hit]
-                    on = on[rare_gram.has(keys[on])]
-                    far.append((ids[g.doc[on]], keys[on], False))
-                rest = sum(len(x[0]) for x in far)
-                pad = lambda x, of=np.int64: np.concatenate([x.astype(of), np.zeros(rest, of)])
+                    on = on[rare_gram.has(key[on])]
+                    keys.append(key[on])
+                    docs.append(g.doc[on])
+                words, keys, docs = len(keys[0]), np.concatenate(keys), np.concatenate(docs).astype(np.uint32)
+                bucket = T.mix(keys) % U64(buckets)
+                order = np.argsort(bucket, kind="stable")  # words stay first
+                own, cuts = _cuts(bucket[order])
+                first = np.bincount(np.searchsorted(own, bucket[:words]), minlength=len(own))
+                none = lambda t, k=len(own): pa.nulls(k, t)
+                sums = [np.bincount(g.doc, minlength=m), np.bincount(near, minlength=m), np.bincount(near, np.log10((n + 0.1) / under), minlength=m), np.bincount(g.doc, value, minlength=m) + start]
+                whole = lambda x: pa.concat_arrays([pa.array([x.tobytes()], pa.binary()), none(pa.binary())])
+                lists = lambda c, t: pa.concat_arrays([pa.array([c.slice(i, m).to_pylist()], pa.list_(t)), none(pa.list_(t))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([ids, *(x[0] for x in far)])),
-                        pa.array(np.concatenate([T.mix(ids), *(x[1] for x in far)]).view(np.int64)),
-                        pa.array(np.concatenate([np.zeros(m, np.int8), *(np.full(len(x[0]), 1 if x[2] else 2, np.int8) for x in far)])),
-                        pa.concat_arrays([b.column(0).slice(i, m), pa.nulls(rest, pa.int64())]),
-                        pa.concat_arrays([b.column(2).slice(i, m), pa.nulls(rest, pa.bool_())]),
-                        pa.array(pad(counts[0])),
-                        pa.array(pad(counts[1])),
-                        pa.array(pad(base, float)),
-                        pa.array(pad(np.bincount(g.doc, value, minlength=m) + start, float)),
+                        pa.array(np.append(chunk % buckets, own.astype(np.int64)).astype(np.int32)),
+                        pa.array(np.append(1, np.full(len(own), 2)).astype(np.int8)),
+                        pa.array(np.full(len(own) + 1, chunk)),
+                        *(pa.concat_arrays([pa.nulls(1, pa.binary()), _blob(x[order], cuts)]) for x in (keys, docs)),
+                        pa.array(np.append(0, first).astype(np.int32)),
+                        lists(b.column(0), pa.int64()),
+                        lists(b.column(2), pa.bool_()),
+                        *(whole(x.astype(t)) for x, t in zip(sums, (np.int64, np.int64, float, float))),
                     ],
-                    names=["row", "key", "kind", "doc_id", "held_out", "n_tokens", "n_known", "base", "value"],
+                    names=[c.split(" ")[0] for c in LOOKUPS.split(", ")],
                 )
 
-    parts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), (~learn).alias("held_out")).mapInArrow(run, "row long, key long, kind byte, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double")
-    found = rare[0].select(F.lit(1).cast("byte").alias("kind"), "key", "n", F.col("value").alias("found")).unionByName(rare[1].select(F.lit(2).cast("byte").alias("kind"), "key", F.lit(None).cast("long").alias("n"), F.col("value").alias("found")))
-    joined = parts.join(found, ["key", "kind"], "left")
-    word = F.col("kind") == 1
-    base = F.when(word, F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(float(under)))).otherwise(F.col("base"))
-    value = F.when(word, F.coalesce("found", F.lit(tree.unknown))).when(F.col("kind") == 2, F.coalesce("found", F.lit(0.0))).otherwise(F.col("value"))
-    seen = F.when(word, F.col("n").isNotNull().cast("long")).otherwise(F.col("n_known"))
-    out = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(seen).alias("n_known"), F.sum(base).alias("base_score"), F.sum(value).alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
+    return given.mapInArrow(run, LOOKUPS)
+
+
+def _sums(unknown: float, under: float):
+    """Bucket by bucket, its rare values first: for each chunk the sums of its documents over the n-grams in this bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, table = None, [], None
+        for b in batches:
+            names, rows = b.schema.names, []
+            for i, (own, side, chunk, words) in enumerate(zip(*(b.column(names.index(k)).to_pylist() for k in ("bucket", "side", "chunk", "words")))):
+                if own != bucket:
+                    bucket, held, table = own, [], None
+                if side == 0:
+                    held.append(_read(b, i, key=U64, n=np.int64, value=float))
+                    continue
+                if side == 1:
+                    rows.append({k: b.column(names.index(k))[i].as_py() for k in ("chunk", "side", "ids", "out", "tokens", "known", "base", "value")})
+                    continue
+                if table is None:
+                    table = [np.concatenate(x) for x in zip(*held)] if held else [np.empty(0, U64), np.empty(0, np.int64), np.empty(0)]
+                    order = np.argsort(table[0])
+                    table, held = [x[order] for x in table], []
+                key, docs = _read(b, i, key=U64, docs=np.uint32)
+                at, hit = _find(table[0], key)
+                n, value = np.zeros(len(key), np.int64), np.zeros(len(key))
+                value[:words] = unknown
+                n[hit], value[hit] = table[1][at[hit]], table[2][at[hit]]
+                own_docs, of = np.unique(docs, return_inverse=True)
+                known, base = np.bincount(of[:words], n[:words] > 0, len(own_docs)), np.bincount(of[:words], np.log10((n[:words] + 0.1) / under), len(own_docs))
+                rows.append({"chunk": chunk, "side": 2, "docs": own_docs.tobytes(), "known": known.astype(np.int64).tobytes(), "base": base.tobytes(), "value": np.bincount(of, value, len(own_docs)).tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, _CHUNKS)
+
+    return run
+
+
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("side", pa.int8()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64())), ("out", pa.list_(pa.bool_())), *((k, pa.binary()) for k in ("tokens", "known", "base", "value"))])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each chunk's documents, added up."""
+    held = None
+
+    def done() -> pa.RecordBatch:
+        ids, out, tokens, known, base, value = held
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), *map(pa.array, (tokens, known, base, value))], names=[c.split(" ")[0] for c in TEXTS.split(", ")])
+
+    for b in batches:
+        for i, side in enumerate(b.column(1).to_pylist()):
+            known, base, value = _read(b, i, known=np.int64, base=float, value=float)
+            if side == 1:
+                if held:
+                    yield done()
+                held = [b.column(3)[i].as_py(), b.column(4)[i].as_py(), _read(b, i, tokens=np.int64)[0], known.copy(), base.copy(), value.copy()]
+                continue
+            docs = _read(b, i, docs=np.uint32)[0]
+            for total, part in zip(held[3:], (known, base, value)):
+                total[docs] += part
+    if held:
+        yield done()
 
 
 def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
