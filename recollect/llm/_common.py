@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recollect.functions.shared import save, shared_dir
+from recollect.functions.shared import release, save, shared_dir
 
-__all__ = ["fold", "save", "shared_dir"]
+__all__ = ["fold", "release", "save", "shared_dir"]
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:

@@ -49,14 +49,15 @@ def texts(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string())
+    if not pa.types.is_string(col.type):
+        col = col.cast(pa.large_string())
     n = len(col)
     if not n:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     if col.null_count:
         col = pa.compute.fill_null(col, "")
     _, off, data = col.buffers()
-    offsets = np.frombuffer(off, np.int64)[col.offset : col.offset + n + 1]
+    offsets = np.frombuffer(off, np.int32 if pa.types.is_string(col.type) else np.int64)[col.offset : col.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 

@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import _text as T
-from recollect.llm._common import fold, save
+from recollect.llm._common import fold, release, save
 
 #: Keys of the start and the end of a text.
 START, END = np.uint64(0x9D5C0F3A71B8E264), np.uint64(0x3B1F6E85D2C7A940)
 #: Rows broadcast for scoring, at most.
-HOT_WORDS, HOT_GRAMS = 1 << 17, 1 << 18
+HOT_WORDS, HOT_GRAMS = 1 << 19, 1 << 20
 #: Tokens counted at once in a task, tokens for each bucket, occurrences from which a context is dealt out by next token.
 STEP, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 18
 #: Bits of the bitmaps, as a power of 2.
@@ -127,16 +127,21 @@ def counted(learned: DataFrame, level: int, buckets: int, hot: tuple[np.ndarray,
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         context, token = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         names, parts = sent.value
-        fan = np.ones(len(token), U64)
-        if len(names):
-            at = np.minimum(np.searchsorted(names, context), len(names) - 1)
-            fan = np.where(names[at] == context, parts[at], fan)
-        mixed = T.mix(token)
-        bucket = T.mix(context + mixed % fan * U64(0x9E3779B97F4A7C15)) % U64(buckets)
+        mixed, own = T.mix(token), context.copy()
+        at, large = _find(names, context)
+        large = np.flatnonzero(large)
+        own[large] += mixed[large] % parts[at[large]] * U64(0x9E3779B97F4A7C15)
+        bucket = T.mix(own) % U64(buckets)
+        del at, own
         # by bucket, context, token, of which some bits of a hash are enough: if others come between, equal entries go as two
         bits = (64 - buckets.bit_length()) // 2
-        order = np.argsort((bucket << U64(2 * bits)) | (T.mix(context) >> U64(64 - bits) << U64(bits)) | (mixed >> U64(64 - bits)))
+        mixed >>= U64(64 - bits)
+        mixed |= T.mix(context) >> U64(64 - bits) << U64(bits)
+        mixed |= bucket << U64(2 * bits)
+        order = np.argsort(mixed)
+        del mixed
         context, token, bucket = context[order], token[order], bucket[order]
         other = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1])])
         first = np.flatnonzero(other | np.concatenate([[True], token[1:] != token[:-1]]))
@@ -250,6 +255,7 @@ class Tree:
         self.grams = save(reduce(DataFrame.unionByName, grams, base.limit(0).select("key", "n", F.lit(0.0).alias("value"))), "gram-values")
         first = backs[0].filter(F.col("context") == int(START.view(np.int64))).first() if depth else None
         self.start = first["back"] if first else 0.0
+        release(words, *levels[1:], *backs)
 
     def _level(self, entries: DataFrame, prev: DataFrame, d: int, min_bits: float) -> tuple[DataFrame, DataFrame]:
         """(key, up, n, lp, gain) of a level's entries, and (context, back) of its kept contexts. up: the key of the entry one level up."""
@@ -263,7 +269,9 @@ class Tree:
         back = save(contexts.select("context", "back"), "contexts")
         lp = F.when(F.col("back").isNull(), F.col("lp_up")).otherwise(F.log10(share))
         gain = F.when(F.col("back").isNull(), F.lit(0.0)).otherwise(F.log10(share) - F.col("back") - F.col("lp_up"))
-        return save(entries.join(back, "context", "left").select("key", "up", "n", lp.alias("lp"), gain.alias("gain")), "level"), back
+        level = save(entries.join(back, "context", "left").select("key", "up", "n", lp.alias("lp"), gain.alias("gain")), "level")
+        release(entries)
+        return level, back
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, depth: int = 2, min_count: int = 5, min_bits: float = 16.0, hot: tuple[int, int] = (HOT_WORDS, HOT_GRAMS)) -> DataFrame:
