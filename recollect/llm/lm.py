@@ -23,6 +23,7 @@ not rule these out, in hash buckets again, and their sums go back to the texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from functools import reduce
 
 import numpy as np
@@ -36,7 +37,7 @@ from recollect.llm._common import fold, release, save
 #: Keys of the start and the end of a text.
 START, END = np.uint64(0x9D5C0F3A71B8E264), np.uint64(0x3B1F6E85D2C7A940)
 #: Rows broadcast for scoring, at most.
-HOT_WORDS, HOT_GRAMS = 1 << 19, 1 << 20
+HOT_WORDS, HOT_GRAMS = 1 << 20, 1 << 21
 #: Tokens counted at once in a task, tokens for each bucket, occurrences from which a context is dealt out by next token.
 STEP, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 18
 #: Bits of the bitmaps, as a power of 2.
@@ -93,6 +94,13 @@ class Bitmap:
         self.words = np.zeros(1 << (BITS - 6), U64)
         self.words[i] = bits.view(U64)
 
+    def plus(self, keys: np.ndarray) -> Bitmap:
+        out = copy(self)
+        at = keys >> U64(64 - BITS)
+        out.words = self.words.copy()
+        np.bitwise_or.at(out.words, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+        return out
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys >> U64(64 - BITS)
         return (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
@@ -292,7 +300,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
     rare = [t.filter(_step(F.col("n")) < s) for t, s in zip((tree.words, tree.grams), steps)]
     words, grams = ([x[order] for x in (t[0].view(U64), *t[1:])] for t in often for order in [np.argsort(t[0].view(U64))])
     del often
-    known = spark.sparkContext.broadcast((words, grams, Bitmap(tree.grams.select("key")), Bitmap(rare[1].select("key"))))
+    rare_gram = Bitmap(rare[1].select("key"))
+    known = spark.sparkContext.broadcast((words, grams, rare_gram.plus(grams[0]), rare_gram))
     buckets, under = tree.n // (4 * BUCKET) + 1, tree.n + 0.1 * (tree.v + 1)
     given = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), (~learn).alias("held_out"))
     values = rare[0].select("key", "n", "value").unionByName(rare[1].select("key", F.lit(0).cast("long").alias("n"), "value"))
