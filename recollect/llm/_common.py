@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.shared import release, save, shared_dir
 
-__all__ = ["fold", "release", "save", "shared_dir"]
+__all__ = ["fold", "numbered", "release", "save", "shared_dir"]
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as held out (0)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % mod, F.lit(0))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places: for functions on Arrow batches, which no name of the input can then disturb."""
+    return df.toDF(*map(str, range(len(df.columns))))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import _text as T
-from recollect.llm._common import fold
+from recollect.llm._common import fold, numbered
 
 BUCKETS, GRAMS, SWITCH = 1 << 15, 4, 6.0
 #: Letters of a word that count for its score at most.
@@ -234,7 +234,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
     """Adds lang_pred, score (the label's share of the letters, 0 to 1) and, if asked for, lang_spans (byte start, byte end, lang)
     and explained (share of the letters that stand in words that some learned language explains, whichever it is, 0 to 1).
 
-    lang_pred is `und`, with score 0, if the text is null or has no letter, or if nothing was learned.
+    Columns of docs with the added names are replaced, all others stay. Repeated rows are labelled each; an empty table
+    gives no rows. lang_pred is `und`, with score 0, if the text is null or has no letter, or if nothing was learned.
     """
     kept = [f for f in docs.schema if f.name not in ("lang_pred", "score", *(["explained"] if shares else []), "lang_spans")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -261,8 +262,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
             cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), *([pa.array(known, pa.float64())] if shares else [])]
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "lang_pred", "score", *(["explained"] if shares else []), *(["lang_spans"] if spans else [])])
+            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in kept), "lang_pred", "score", *(["explained"] if shares else []), *(["lang_spans"] if spans else [])])
 
-    given = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).cast("string").alias("_text"))
+    given = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text_col}`").cast("string"))
     out = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double", *(["explained double"] if shares else []), *(["lang_spans array<struct<start:long,end:long,lang:string>>"] if spans else [])]
-    return given.mapInArrow(run, ", ".join(out))
+    return numbered(given).mapInArrow(run, ", ".join(out))

@@ -90,5 +90,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def blocks(mixed: DataFrame) -> DataFrame:
-    """The mixture itself: a row for each copy, with its block (from 1); order by block, order_key reads the permutations."""
-    return mixed.filter("copies > 0").withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    """The mixture itself: a row for each copy, with its block (from 1) and its place in the block's own permutation (order_key).
+
+    The first block has the permutation of copies(); the last, cut block of a source holds the head of that one.
+    """
+    out = mixed.filter("copies > 0").withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    again = F.conv(F.substring(F.md5(F.concat_ws(":", "order_key", "block").cast("binary")), 1, 15), 16, 10).cast("long")
+    return out.withColumn("order_key", F.when(F.col("block") == 1, F.col("order_key")).otherwise(again))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import _text as T
-from recollect.llm._common import fold
+from recollect.llm._common import fold, numbered
 
 WIDTH, FILTERS, CHUNK = 4, 12, 256
 
@@ -139,18 +139,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1, higher: label 1 likelier) to docs. A null or empty text gets the network's base rate."""
-    fields = docs.schema
+    """Adds score (0 to 1, higher: label 1 likelier) to docs, in place of a column of that name; all other columns stay.
+
+    A null or empty text gets the network's base rate. Repeated rows are scored each; an empty table gives no rows.
+    """
+    kept = [f for f in docs.schema if f.name != "score"]
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = T.texts(b.column(b.schema.get_field_index("_text")))
+            data, offsets = T.texts(b.column(b.num_columns - 1))
             z = [sent.value.logits(part, off) for _, _, part, off in T.pieces(data, offsets)]
             s = 1 / (1 + np.exp(-np.clip(np.concatenate(z) if z else np.zeros(0), -60, 60)))
-            own = [k for k in range(b.num_columns) if b.schema.names[k] != "_text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), pa.array(s, pa.float64())], names=[*(b.schema.names[k] for k in own), "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*(f.name for f in kept), "score"])
 
-    given = docs.withColumn("_text", F.col(text_col).cast("string"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "score") + (", " if fields else "") + "score double"
-    return given.drop("score").mapInArrow(run, out)
+    given = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text_col}`").cast("string"))
+    return numbered(given).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"]))

@@ -37,8 +37,8 @@ def encoder(path: str) -> tuple:
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-    for piece, i in ranks.items():
+    lengths = np.zeros(max(*ranks.values(), END_MARK_ID) + 1, np.int64)
+    for piece, i in [*ranks.items(), (END_MARK, END_MARK_ID)]:
         lengths[i] = len(piece)
     enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return enc.encode_ordinary, lengths
@@ -81,8 +81,9 @@ def record_sections(source: str | None, lang: str | None, text: str | None) -> l
     return [("source", (source or "") + "\n"), ("lang", (lang or "") + "\n"), ("title", title + newline), ("body", body)]
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("source", "lang", "text"), sections: Callable[..., list[tuple[str, str]]] = record_sections, rule: str = "start", vocabulary: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("source", "lang", "text"), sections: Callable[..., list[tuple[str, str]]] = record_sections, rule: str = "start", vocabulary: str | None = None, end_mark: bool = False) -> DataFrame:
     """Tokens of each section of each document, the document being encoded once as the concatenation of its sections.
+    With end_mark, a literal end mark is its one id.
 
     Returns doc_id, section, section_no, start_byte, end_byte, n_tokens, n_crossing (tokens counted here that also
     cover bytes of other sections). The counts of a document's sections add up to its tokens.
@@ -100,8 +101,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ..
             out: list[list] = [[] for _ in range(7)]
             for i, row in zip(ids, rows):
                 parts = sections(*row)
+                whole = "".join(p for _, p in parts)
                 ends = np.cumsum([len(p.encode("utf-8", "replace")) for _, p in parts])
-                spans = np.cumsum(lengths[np.array(encode("".join(p for _, p in parts)), np.int64)])
+                spans = np.cumsum(lengths[np.array(encode_marked(encode, whole) if end_mark else encode(whole), np.int64)])
                 at = attribute(spans, ends, rule)
                 first = np.concatenate([[0], spans[:-1]])
                 crossing = np.searchsorted(ends, first, "right") != np.searchsorted(ends, spans - 1, "right")

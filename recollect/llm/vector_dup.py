@@ -79,7 +79,7 @@ class _Cell:
 
     def __init__(self, dim: int, block: int, threshold: float):
         self.edges, self.block, self.threshold = block_bounds(dim), block, threshold
-        self.budget = 2 * (1 - threshold) * np.diff(self.edges) / dim
+        self.budget = 2 * (1 - threshold) * np.diff(self.edges) / dim * (1 + 1e-9)  # rounding excludes no pair at the threshold itself
         self.turn = rotation(dim)
         self.ids, self.n, self.vec, self.turned = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, dim)), np.empty((0, dim))
 
@@ -130,7 +130,7 @@ class _Cell:
         cosine = np.empty(len(a))
         for i in range(0, len(a), 65536):
             cosine[i : i + 65536] = V.dots(unit[at[0, i : i + 65536]], unit[at[1, i : i + 65536]])
-        keep = cosine >= self.threshold - 1e-15
+        keep = cosine >= self.threshold
         return a[keep], b[keep]
 
     def _distance(self, turned: np.ndarray, lo: int, hi: int, to: int, k: int) -> np.ndarray:
@@ -176,15 +176,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     component_id is the smallest id reachable by links, kept marks it. Vectors that are null, zero or hold null or
     non-finite components, vectors of different lengths, and rows with a null label or id link with nothing; every row
-    is returned. Rows that repeat an id count as rows of their own. Other columns are ignored.
+    is returned. Rows that repeat an id count as rows of their own, each with its vector's links. Other columns are ignored;
+    an empty table gives no rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), V.doubles(vectors, vec_col).alias("vec"))
     good = V.usable("vec") & F.col("id").isNotNull() & F.col("label").isNotNull()
     keyed = rows.withColumn("key", F.when(good, F.md5(F.concat_ws(",", F.transform("vec", lambda x: (x + 0.0).cast("string"))).cast("binary"))))
-    classes = keyed.filter("key is not null").groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    classes = save(classes.select("id", "label", "n", "vec", "key"), "classes")
+    classes = keyed.filter("key is not null").groupBy("label", "key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    classes = save(classes.withColumn("id", F.xxhash64("label", "key")), "classes")  # a class is known by its vector: ids may repeat
     placed = classes.select("id", "label", "n", "vec").mapInArrow(placements(threshold), "label long, dim long, block long, x long, y long, probe boolean, id long, n long, vec array<double>")
     placed, cell = save(placed, "placed"), ["label", "dim", "block", "x", "y"]
     many = placed.filter("not probe").groupBy(*cell).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1")
@@ -195,8 +196,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     met = save(dealt.mapInArrow(_join(threshold), "id long, links long, peer long"), "met")
     links = met.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(met.filter("peer is not null").select(F.col("id").alias("src"), F.col("peer").alias("dst")))
-    named = classes.join(links, "id", "left").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = named.select("label", "key", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    named = classes.join(links, "id", "left").join(labels.select(F.col("node").alias("id"), F.col("component").alias("top")), "id", "left").drop("vec")
+    least = named.filter("top is not null").groupBy("top").agg(F.min("least").alias("component"))
+    named = named.join(least, "top", "left")
+    named = named.select("label", "key", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
     out = keyed.select("id", "label", "key").join(named, ["label", "key"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

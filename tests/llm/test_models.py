@@ -43,6 +43,21 @@ def test_quality_on_held_out_rows(spark, docs):
     assert all((got[i] >= 0.3) == bool(q) for i, _, _, q in corpus() if held(i))
 
 
+def test_quality_keeps_other_columns(spark, docs):
+    net = quality.train(docs.drop("quality"), docs.select("doc_id", "quality"))
+    odd = docs.select("doc_id", "text", F.lit("x").alias("_text"), F.lit(3).alias("score"), F.lit(1).alias("a.b"))
+    got = quality.score(odd, net)
+    assert got.columns == ["doc_id", "text", "_text", "a.b", "score"]
+    plain = {r["doc_id"]: r["score"] for r in quality.score(docs.select("doc_id", "text"), net).collect()}
+    assert {r["doc_id"]: (r["score"], r["_text"]) for r in got.collect()} == {i: (s, "x") for i, s in plain.items()}
+
+
+def test_language_keeps_other_columns(spark, docs):
+    odd = docs.select("doc_id", "text", F.lit("x").alias("_text"), F.lit(3).alias("score"), F.lit(1).alias("lang_pred"))
+    got = langid.identify(odd, langid.train(docs), spans=False)
+    assert got.columns == ["doc_id", "text", "_text", "lang_pred", "score"] and {r["_text"] for r in got.collect()} == {"x"}
+
+
 def test_quality_sees_the_whole_text(spark):
     rows = [(b"plain words here " * 5, 1), (b"plain words here " * 5 + b"%%%%%%%%", 0)] * 20
     net = quality.fit(rows)

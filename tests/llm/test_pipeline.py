@@ -50,3 +50,22 @@ def test_language_filter_keeps_mixed_texts_of_known_languages(spark):
 def test_queries_run_on_the_smallest_tables(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert df.count() > 0
+
+
+def test_near_dedup_keeps_other_texts_of_an_id(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c d e f g h", "en", "s", 1), (1, "a b c d e f g h", "en", "r", 1), (1, "other words of another kind altogether", "en", "s", 1), (2, "A b c d e f g h", None, None, None), (3, None, None, None, None), (None, "x", None, None, None), (None, "x", None, None, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["source"] or "") for r in got) == [(0, "x", ""), (0, "x", ""), (1, "a b c d e f g h", "r"), (1, "other words of another kind altogether", "s"), (3, "", "")]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_nulls_empty_tables_and_extra_columns(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (5_000, "", None, None, 0)], docs.schema))
+    more = docs.withColumn("score", F.lit("x")).withColumn("_text", F.lit("y")).withColumn("length", F.lit(1)).withColumn("copies", F.lit(2))
+    for df in (docs, more, docs.limit(0)):
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns or stage is corpus_pipeline.packing_stage
+        assert df is docs or df is more or got.count() == 0
+        got.collect()

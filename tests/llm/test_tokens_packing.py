@@ -113,3 +113,28 @@ def test_boundary_rules():
     assert [tokens.attribute(spans, bounds, r).tolist() for r in tokens.RULES] == [[0, 0, 1], [0, 1, 2], [0, 1, 1]]
     spans, bounds = np.array([4]), np.array([2, 2, 4])
     assert [tokens.attribute(spans, bounds, r).tolist() for r in tokens.RULES] == [[0], [2], [0]]
+
+
+@pytest.mark.parametrize("rule", ["start", "end"])
+def test_counts_of_fields_against_the_tokenizer_offsets(spark, rule):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*(x for x in TEXTS if x != "\t \x00end"), "title <|endoftext|>\nbody  text", "é\n漢字 mixed\n\n", "no title"]
+    df = spark.createDataFrame([(i, f"src{i}", "en" if i % 2 else None, x) for i, x in enumerate(texts)], "doc_id long, source string, lang string, text string")
+    got = {(r["doc_id"], r["section_no"]): r for r in tokens.token_counts(df, rule=rule, end_mark=True).collect()}
+    for i, x in enumerate(texts):
+        parts = [p for _, p in tokens.record_sections(f"src{i}", "en" if i % 2 else None, x)]
+        whole, at = "".join(parts), 0
+        size = [len(p.encode()) for p in parts]
+        ids = t.encode(whole, add_special_tokens=False).ids
+        spans = [len(tokens.END_MARK) if k == tokens.END_MARK_ID else len(t.id_to_token(k)) for k in ids]  # a byte-level token has a character for each byte
+        assert sum(spans) == sum(size)
+        n, crossing, where = [0] * 4, [0] * 4, lambda b: next(k for k in range(4) if b < sum(size[: k + 1]))
+        for w in spans:
+            first, last = where(at), where(at + w - 1)
+            own = first if rule == "start" else last
+            n[own] += 1
+            crossing[own] += first != last
+            at += w
+        for k in range(4):
+            r = got[i, k]
+            assert (r["n_tokens"], r["n_crossing"], r["start_byte"], r["end_byte"]) == (n[k], crossing[k], sum(size[:k]), sum(size[: k + 1]))

@@ -78,3 +78,23 @@ def test_hot_cell_in_chunks(spark, monkeypatch):
 
 def test_no_vectors(spark):
     assert vector_dup.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_vectors_that_share_an_id(spark):
+    data = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 1), (3, [1.0, 0.05], 1), (0, [0.0, -1.0], 1), (2, [1.0, 0.1], 2)]
+    got = sorted(tuple(r) for r in vector_dup.near_vectors(spark.createDataFrame(data, SCHEMA)).collect())
+    assert got == [(0, 0, 0, True), (1, 0, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (3, 2, 1, False)]
+
+
+def test_none_below_the_threshold(spark):
+    for t in (0.6, 0.8):  # cosines of 0.6 and 0.8 in whole numbers, to the last bit
+        got = {r["vec_id"]: r["n_links"] for r in vector_dup.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [3.0, 4.0], 1)], SCHEMA), threshold=t).collect()}
+        assert got == ({1: 1, 2: 1} if t == 0.6 else {1: 0, 2: 0})
+    above = float(np.nextafter(0.6, 1))
+    assert {r["n_links"] for r in vector_dup.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [3.0, 4.0], 1)], SCHEMA), threshold=above).collect()} == {0}
+
+
+def test_operators_ignore_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3, 4, 5) for i in range(6)], SCHEMA + ", id int, score int, key int, links int")
+    assert ann.nearest(df, df.filter("vec_id = 2")).count() == 5
+    assert vector_dup.near_vectors(df).count() == 6
