@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import langid, mixing, near_dup, quality, queries
@@ -35,10 +35,12 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each class of near-duplicates; of rows that repeat an id, one. Null ids stay."""
+    """Keeps the document of the smallest id of each class of near-duplicates; of rows that repeat an id and its text, the first
+    by the other columns. Null ids stay."""
     kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    same = Window.partitionBy("doc_id", F.md5("text")).orderBy(*(F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")))
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("place among the same", F.row_number().over(same)).filter("`place among the same` = 1")
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
