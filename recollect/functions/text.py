@@ -50,8 +50,8 @@ def node_display(name: Column, file: Column, start: Column, end: Column) -> Colu
 
 
 def plain_text(content: Column) -> Column:
-    """Text of UTF-8 bytes without a byte-order mark."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    """Text of UTF-8 bytes without a byte-order mark; null if they are not UTF-8."""
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
 
 
 def html_text(html: Column) -> Column:

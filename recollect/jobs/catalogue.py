@@ -70,6 +70,21 @@ def concepts(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.col("p_type").alias("signature"), F.lit("").alias("description"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"), F.substring_index("p_type", " ", 1).alias("kind"))
 
 
+_INDEXED: dict[tuple, lexical.Index] = {}
+
+
+def index(spark: SparkSession, sf: str) -> lexical.Index:
+    """The inverted index of documents, written to the shared folder by a session's first search of these files."""
+    import uuid
+
+    from recollect.functions.shared import shared_dir
+
+    key = (spark.sparkContext.applicationId, *sorted(table(spark, sf, "documents").inputFiles()))
+    if key not in _INDEXED:
+        _INDEXED[key] = lexical.write_index(chunks(spark, sf), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", ("workspace_id",))
+    return _INDEXED[key]
+
+
 TOK = r"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')"
 TERMS = "(SELECT unnest(['license', 'from', 'thing', 'that']) AS term)"
 BM25 = f"""
@@ -119,12 +134,18 @@ def page_source_kind(spark, sf):
 
 @query(BM25 + "SELECT chunk_id, score FROM r ORDER BY score DESC, chunk_id LIMIT 20")
 def fts_bm25_topk(spark, sf):
-    return lexical.bm25(scope.scoped(chunks(spark, sf), "en"), QUERY, 20)
+    return lexical.search(index(spark, sf).of("en"), QUERY, 20)
 
 
 @query(BM25 + "SELECT chunk_id, score FROM r WHERE source = 'src0' ORDER BY score DESC, chunk_id LIMIT 20")
 def fts_bm25_scoped(spark, sf):
-    return lexical.bm25(scope.scoped(chunks(spark, sf), "en"), QUERY, 20, keep=F.col("workspace_id") == WORKSPACE)
+    return lexical.search(index(spark, sf).of("en"), QUERY, 20, keep=F.col("workspace_id") == WORKSPACE)
+
+
+@query(BM25 + "SELECT chunk_id, score FROM r ORDER BY score DESC, chunk_id LIMIT 20")
+def fts_bm25_unindexed(spark, sf):
+    """The same search straight from the texts."""
+    return lexical.bm25(scope.scoped(chunks(spark, sf), "en"), QUERY, 20)
 
 
 BATCH = f"""
@@ -141,7 +162,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 
 def batch_hits(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.bm25_batch(chunks(spark, sf), asked, 5)
+    return lexical.search_batch(index(spark, sf), asked, 5)
 
 
 @query(BATCH + "SELECT query_id, chunk_id, rank::INT AS rank, score FROM h")
@@ -244,8 +265,7 @@ def rerank_overlap(spark, sf):
 
 
 def sized_hits(spark, sf) -> DataFrame:
-    c = chunks(spark, sf)
-    return fts_bm25_topk(spark, sf).join(c.select("chunk_id", F.size(X.tokens(F.col("text"))).alias("n_tokens")), "chunk_id")
+    return fts_bm25_topk(spark, sf).join(index(spark, sf).lengths.select("chunk_id", F.col("dl").alias("n_tokens")), "chunk_id")
 
 
 HITS = BM25 + ", h AS (SELECT chunk_id, score, len(toks)::BIGINT AS n_tokens FROM (SELECT chunk_id, score FROM r ORDER BY score DESC, chunk_id LIMIT 20) JOIN t USING (chunk_id))"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.shared import save
-from recollect.functions.text import content_hash, is_source_label, tokens
+from recollect.functions.text import content_hash, is_source_label
 from recollect.operators import context, embedding, fusion, ingest, lexical, lifecycle, scope, vector
 from recollect.sources import files
 from recollect.sources.store import Store
@@ -62,9 +62,13 @@ class Engine:
         stamp = {"tenant_id": F.lit(self.tenant), "workspace_id": F.lit(workspace), "agent_id": F.lit(agent), "source": F.lit(source), "created_at": F.lit(now).cast("timestamp")}
         cut = ingest.chunk_ids(ingest.windows(new))
         chunks = self._embedded(cut.withColumns(stamp).withColumn("embedding_model_version", F.lit(self.model)))
-        old = stored_chunks if on_conflict == "append" else stored_chunks.join(new.select("doc_id"), "doc_id", "left_anti")
         result = save(report, "report")  # fixed before the store changes beneath it
-        self.store.commit(chunks=old.unionByName(chunks, allowMissingColumns=True), docs=ingest.upsert(stored, new.select("doc_id", "title", "content_hash").withColumns(stamp), "doc_id"))
+        docs_now = ingest.upsert(stored, new.select("doc_id", "title", "content_hash").withColumns(stamp), "doc_id")
+        if on_conflict == "append":
+            self.store.commit(added={"chunks": chunks}, docs=docs_now)
+        else:
+            old = stored_chunks.join(new.select("doc_id"), "doc_id", "left_anti")
+            self.store.commit(chunks=old.unionByName(chunks, allowMissingColumns=True), docs=docs_now)
         return result
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
@@ -85,6 +89,18 @@ class Engine:
 
     # Retrieve
 
+    def index(self) -> lexical.Index:
+        """The inverted index of the newest version's chunks; built by the first search of a version and read by all others."""
+        there = self.store.versions()
+        if not there:
+            raise NotFound("NOT_FOUND: the store is empty")
+        path = f"{self.store.home}/index/v{there[-1]}"
+        done = self.store._path(f"{path}/stats/_SUCCESS")
+        if not self.store._fs.exists(done):
+            self.store._fs.delete(self.store._path(f"{self.store.home}/index"), True)
+            return lexical.write_index(self._chunks(), path, ("workspace_id", "doc_id", "source"))
+        return lexical.read_index(self.spark, path)
+
     def search(self, query: str, workspace: str, top_k: int = 20, hybrid: bool = False, rerank: bool = False, doc_id: str | None = None, source: str | None = None, rrf_k: float = 60.0, filter_mode: str = "post") -> DataFrame:
         """chunk_id and score, best first. A blank query gives none; rerank applies to hybrid search only."""
         k = scope.top_k_or_default(top_k)
@@ -94,9 +110,12 @@ class Engine:
             if value is not None:
                 keep = (F.col(name) == value) if keep is None else keep & (F.col(name) == value)
         inside = F.col("workspace_id") == workspace
+        if not self.store.versions():
+            return self.spark.createDataFrame([], "chunk_id string, score double")
+        index = self.index()
         if not hybrid or not query.strip():
-            return lexical.bm25(self._chunks(), query, k, keep=inside if keep is None else inside & keep)
-        legs = lexical.bm25(self._chunks(), query, k, keep=inside), vector.knn(chunks, embedding.embed(query, self.dim), k)
+            return lexical.search(index, query, k, keep=inside if keep is None else inside & keep)
+        legs = lexical.search(index, query, k, keep=inside), vector.knn(chunks, embedding.embed(query, self.dim), k)
         hits = fusion.hybrid(*legs, max(k, 10) if rerank else k, chunks, rrf_k, keep, filter_mode)
         return fusion.rerank(hits, chunks, query, k) if rerank else hits
 
@@ -109,7 +128,9 @@ class Engine:
 
     def context_fit(self, query: str, workspace: str, budget: int, top_k: int = 20, hybrid: bool = False) -> DataFrame:
         """chunk_id, value, n_tokens, running: what to put into a prompt of budget tokens."""
-        sizes = self._chunks(workspace).select("chunk_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+        if not self.store.versions():
+            return self.spark.createDataFrame([], "chunk_id string, value double, n_tokens int, running long")
+        sizes = self.index().lengths.select("chunk_id", F.col("dl").alias("n_tokens"))
         return context.fit(self.search(query, workspace, top_k, hybrid).join(sizes, "chunk_id"), budget, context.feedback_bonus(self.store.read("feedback")))
 
     # Feedback and lifecycle

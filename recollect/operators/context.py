@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 0.5
+#: Hits that a prompt is filled from.
+HITS = 100
 
 
 def feedback_bonus(feedback: DataFrame, id_col: str = "chunk_id", score_col: str = "score") -> DataFrame:
@@ -19,7 +21,7 @@ def orphans(feedback: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") ->
 
 
 def fit(hits: DataFrame, budget: int, bonus: DataFrame | None = None, id_col: str = "chunk_id") -> DataFrame:
-    """The longest prefix of hits (chunk_id, score, n_tokens; at most 100 rows), by score plus bonus, within budget tokens.
+    """The longest prefix of hits (chunk_id, score, n_tokens; the HITS best count), by score plus bonus, within budget tokens.
 
     Ends at the first hit that doesn't fit. Returns chunk_id, value, n_tokens, running.
     """
@@ -27,7 +29,7 @@ def fit(hits: DataFrame, budget: int, bonus: DataFrame | None = None, id_col: st
     if bonus is not None:
         valued = hits.join(bonus.select(id_col, "bonus"), id_col, "left").withColumn("value", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6))
     order = Window.orderBy(F.desc("value"), id_col).rowsBetween(Window.unboundedPreceding, 0)
-    return valued.withColumn("running", F.sum("n_tokens").over(order)).filter(F.col("running") <= budget).select(id_col, "value", "n_tokens", "running")
+    return valued.orderBy(F.desc("value"), id_col).limit(HITS).withColumn("running", F.sum("n_tokens").over(order)).filter(F.col("running") <= budget).select(id_col, "value", "n_tokens", "running")
 
 
 def fit_reason(hits: DataFrame, budget: int, id_col: str = "chunk_id") -> DataFrame:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import tokens
 
+#: Rows of a leg that take part.
+LEG = 100
+
 
 def ranked(leg: DataFrame, id_col: str = "chunk_id", score_col: str = "score") -> DataFrame:
-    """Rank from 1 by score, ties to the smaller id. leg: at most 100 rows."""
-    return leg.select(id_col, F.row_number().over(Window.orderBy(F.desc(score_col), id_col)).alias("rank"))
+    """Rank from 1 by score, ties to the smaller id, of the LEG best rows of a leg."""
+    return leg.orderBy(F.desc(score_col), id_col).limit(LEG).select(id_col, F.row_number().over(Window.orderBy(F.desc(score_col), id_col)).alias("rank"))
 
 
 def rrf(legs: list[DataFrame], k: float = 60.0, id_col: str = "chunk_id") -> DataFrame:

@@ -1,12 +1,15 @@
 """BM25 over folded tokens. Corpus statistics are the tenant's, filters apply before the limit.
 
-One query reads the text column once for statistics and once for scores and moves no text: term counts of a row are
-taken inside the row. A batch of queries meets an inverted table of only the queries' terms.
+Texts that are searched often are indexed once (write_index): an inverted table in order of tenant and term, so that a query
+reads the row groups of its terms only, each text's length, and each tenant's statistics. Without an index, one query
+reads the text column once for statistics and once for scores and moves no text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import tokens
@@ -46,19 +49,79 @@ def bm25(docs: DataFrame, query: str, k: int, id_col: str = "chunk_id", text_col
     return held.filter("_keep").filter(any_term).join(F.broadcast(stats)).select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """chunk_id, term, tf, dl: the inverted table; write it bucketed by term to serve many queries."""
-    each = docs.select(id_col, tokens(F.col(text_col)).alias("_t")).select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return each.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", *carry: str) -> DataFrame:
+    """chunk_id, term, tf, dl and the columns to carry: the inverted table."""
+    each = docs.select(id_col, *carry, tokens(F.col(text_col)).alias("_t")).select(id_col, *carry, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    return each.groupBy(id_col, *carry, "term", "dl").agg(F.count("*").alias("tf"))
+
+
+@dataclass
+class Index:
+    """postings: tenant, term, chunk_id, tf, dl and what filters need; lengths: tenant, chunk_id, dl; stats: tenant, n, total (of dl)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+    def of(self, tenant: str | None) -> "Index":
+        """The part of one tenant; None: all."""
+        if tenant is None:
+            return self
+        return Index(*(t.filter(F.col("tenant_id") == tenant) for t in (self.postings, self.lengths, self.stats)))
+
+    def totals(self) -> DataFrame:
+        """One row: n, avgdl."""
+        return self.stats.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+
+
+def write_index(docs: DataFrame, path: str, carry: tuple[str, ...] = (), id_col: str = "chunk_id", text_col: str = "text", tenant_col: str = "tenant_id") -> Index:
+    """Index the texts of docs under path. carry: columns that searches filter by. Ranges split a term that many texts share."""
+    rows = docs.select(F.col(id_col).alias("chunk_id"), F.col(tenant_col).alias("tenant_id"), *carry, tokens(F.col(text_col)).alias("_t"))
+    each = rows.select("chunk_id", "tenant_id", *carry, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    table = each.groupBy("chunk_id", "tenant_id", *carry, "term", "dl").agg(F.count("*").alias("tf"))
+    order = ["tenant_id", "term", "chunk_id"]
+    table.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    rows.select("chunk_id", "tenant_id", F.size("_t").alias("dl")).write.parquet(f"{path}/lengths")
+    lengths = docs.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.groupBy("tenant_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).write.parquet(f"{path}/stats")
+    return read_index(docs.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+
+
+def search(index: Index, query: str, k: int, keep: Column | None = None, id_col: str = "chunk_id") -> DataFrame:
+    """As bm25(), from an index: chunk_id and score of the k best rows that keep holds for."""
+    terms = query_terms(query, index.postings)
+    held = index.postings.filter(F.col("term").isin(terms)) if terms else index.postings.limit(0)
+    counts = held.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    hits = (held if keep is None else held.filter(keep)).join(F.broadcast(counts), "term").join(F.broadcast(index.totals()))
+    scored = hits.groupBy("chunk_id").agg(F.round(F.sum(idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
+    return scored.select(F.col("chunk_id").alias(id_col), "score").orderBy(F.desc("score"), id_col).limit(k)
+
+
+def search_batch(index: Index, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """query_id, rank, chunk_id, score of the k best rows for each query. Ranks are cut in every task before rows meet by query."""
+    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    terms = asked.select("term").distinct()
+    held = index.postings.join(terms, "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    weighed = held.join(df, "term").join(F.broadcast(index.totals())).select("chunk_id", "term", (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
+    scored = asked.join(weighed, "term").groupBy(query_id, "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return _best(scored, k, query_id)
+
+
+def _best(scored: DataFrame, k: int, query_id: str, id_col: str = "chunk_id") -> DataFrame:
+    best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
-    """query_id, rank, chunk_id, score of the k best rows for each query."""
+    """query_id, rank, chunk_id, score of the k best rows for each query, from the texts."""
     asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     wanted = postings(docs, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
     stats = docs.select(F.size(tokens(F.col(text_col))).alias("_dl")).agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weighed = wanted.join(df, "term").join(F.broadcast(stats)).select(id_col, "term", (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
-    scored = asked.join(weighed, "term").groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score"))
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _best(asked.join(weighed, "term").groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score")), k, query_id, id_col)

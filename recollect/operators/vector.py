@@ -34,9 +34,22 @@ def cosine_rank(vectors: DataFrame, query: list[float], k: int, id_col: str = "c
     return vectors.select(id_col, F.round(cosine(F.col(vec_col), literal(query)), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: Queries that are broadcast at once.
+BLOCK = 1024
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "vector", query_id: str = "query_id", query_vec: str = "query_vector") -> DataFrame:
-    """The k nearest for each of a stated set of queries, which is sent to all rows."""
-    pairs = vectors.filter(F.col(vec_col).isNotNull()).join(queries.select(query_id, query_vec), F.size(vec_col) == F.size(query_vec))
-    scored = pairs.select(query_id, id_col, F.round(squared_l2(F.col(vec_col), F.col(query_vec)), 6).alias("distance"))
-    best = Window.partitionBy(query_id).orderBy("distance", id_col)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    """The k nearest for each of a stated set of queries, which is sent to all rows, BLOCK queries at a time.
+
+    Every task cuts to its k best for a query before rows meet by query.
+    """
+    asked = queries.select(query_id, query_vec)
+    blocks = -(-asked.count() // BLOCK) or 1
+    best, out = Window.partitionBy(query_id).orderBy("distance", id_col), None
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+        pairs = vectors.filter(F.col(vec_col).isNotNull()).join(F.broadcast(some), F.size(vec_col) == F.size(query_vec))
+        scored = pairs.select(query_id, id_col, F.round(squared_l2(F.col(vec_col), F.col(query_vec)), 6).alias("distance"))
+        ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out

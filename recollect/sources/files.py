@@ -13,16 +13,20 @@ LARGEST = 10 << 20
 def bulk(spark: SparkSession, root: str) -> DataFrame:
     """Files under root, each once: file, status (ok or failed), reason, source, text.
 
-    Too large, unknown and blank files fail by row; files of no bytes are never listed by the reader and give no row.
+    Too large, unknown, blank files and those that are not UTF-8 fail by row; the others' text is read. Contents of files
+    beyond LARGEST are never read. Files of no bytes are never listed by the reader and give no row.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     kind = source_kind(F.col("path"))
     known = F.coalesce(kind.isin("text", "markdown", "document:html", "document:htm", "document:csv"), F.lit(False))
-    plain = plain_text(F.col("content"))
-    text = F.when(known & (F.col("length") <= LARGEST), F.when(kind.isin("document:html", "document:htm"), html_text(plain)).otherwise(plain))
-    rows = read.select(F.col("path").alias("file"), "length", kind.alias("source"), known.alias("_known"), text.alias("text"))
-    reason = F.when(F.col("length") > LARGEST, "RESOURCE_EXHAUSTED").when(~F.col("_known"), "UNSUPPORTED_FORMAT").when(~F.col("text").rlike(r"\S"), "EMPTY_TEXT")
-    return rows.select("file", F.when(reason.isNull(), "ok").otherwise("failed").alias("status"), reason.alias("reason"), "source", F.when(reason.isNull(), F.col("text")).alias("text"))
+    refused = F.when(F.col("length") > LARGEST, "RESOURCE_EXHAUSTED").when(~known, "UNSUPPORTED_FORMAT")
+    text = F.col("text")
+    read = listed.filter(F.col("length") <= LARGEST).filter(known).withColumn("plain", plain_text(F.col("content")))
+    read = read.select("path", kind.alias("source"), F.when(kind.isin("document:html", "document:htm"), html_text(F.col("plain"))).otherwise(F.col("plain")).alias("text"))
+    reason = F.when(text.isNull(), "MALFORMED_TEXT").when(~text.rlike(r"\S"), "EMPTY_TEXT")
+    good = read.select(F.col("path").alias("file"), F.when(reason.isNull(), "ok").otherwise("failed").alias("status"), reason.alias("reason"), "source", F.when(reason.isNull(), text).alias("text"))
+    bad = listed.select("path", "length").filter(refused.isNotNull())
+    return good.unionByName(bad.select(F.col("path").alias("file"), F.lit("failed").alias("status"), refused.alias("reason"), kind.alias("source"), F.lit(None).cast("string").alias("text")))
 
 
 def export_lines(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """A versioned store of a tenant's tables: immutable Parquet snapshots and a manifest for each version.
 
-A commit writes the changed tables to new folders and then publishes a manifest by rename, so that readers see all
-tables of a version or none. Unchanged tables are shared between versions. There is one writer for each tenant.
+A commit writes the changed tables, or the rows to append, to new folders and then publishes a manifest by rename, so that
+readers see all tables of a version or none. A manifest names the folders of each table; versions share them. There is one
+writer for each tenant.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "chunks": "chunk_id string, tenant_id string, workspace_id string, agent_id string, doc_id string, text string, source string, vector array<float>, embedding_model_version string, created_at timestamp",
@@ -31,8 +33,13 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict[str, str]:
-        """Folder of each table at a version; ValueError for one that was pruned or never was."""
+    def timeline(self) -> DataFrame:
+        """version, published (timestamp) of the versions there are."""
+        rows = [(v, self._fs.getFileStatus(self._path(f"{self.home}/manifests/v{v}.json")).getModificationTime()) for v in self.versions()]
+        return self.spark.createDataFrame(rows, "version long, ms long").select("version", F.timestamp_millis("ms").alias("published"))
+
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        """Folders of each table at a version; ValueError for one that was pruned or never was."""
         there = self.versions()
         version = version if version is not None else (there[-1] if there else 0)
         if version == 0 and not there:
@@ -46,55 +53,58 @@ class Store:
             stream.close()
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        folder = self.manifest(version).get(table)
-        if folder is None:
+        folders = self.manifest(version).get(table)
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.home}/{folder}")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*(f"{self.home}/{f}" for f in folders))
 
-    def commit(self, files: int | None = None, **tables: DataFrame) -> int:
-        """The new version after writing these tables whole."""
+    def commit(self, files: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
+        """The new version after writing these tables whole and adding rows to others. files: into how many files a table goes."""
         there = self.versions()
         version, folders = (there[-1] if there else 0) + 1, self.manifest()
-        for name, df in tables.items():
-            folders[name] = f"data/v{version}/{name}"
-            columns = [f.split()[0] for f in SCHEMAS[name].split(", ")]
-            out = df.select(*columns)
-            (out.coalesce(files) if files else out).write.mode("overwrite").parquet(f"{self.home}/{folders[name]}")
+        for name, df in [*tables.items(), *(added or {}).items()]:
+            folder = f"data/v{version}/{name}"
+            out = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split(" ", 1) for f in SCHEMAS[name].split(", "))))
+            if files and name in files:
+                out = out.repartition(files[name])
+            out.write.mode("overwrite").parquet(f"{self.home}/{folder}")
+            folders[name] = [*(folders.get(name, []) if name not in tables else []), folder]
         target = f"{self.home}/manifests/v{version}.json"
         stream = self._fs.create(self._path(target + ".tmp"), True)
         stream.write(bytearray(json.dumps(folders).encode()))
         stream.close()
-        self._fs.rename(self._path(target + ".tmp"), self._path(target))
+        if not self._fs.rename(self._path(target + ".tmp"), self._path(target)):
+            raise OSError(f"version {version} could not be published")
         return version
 
     def append(self, table: str, rows: DataFrame) -> int:
-        return self.commit(**{table: self.read(table).unionByName(rows, allowMissingColumns=True)})
+        """Writes the rows only."""
+        return self.commit(added={table: rows})
 
     def delete_doc(self, doc_id: str) -> int:
         """Chunks, docs row and feedback of a document."""
-        from pyspark.sql import functions as F
-
         from recollect.operators.lifecycle import surviving_feedback, survivors
 
         where, chunks = F.col("doc_id") == doc_id, self.read("chunks")
         return self.commit(chunks=survivors(chunks, where), docs=survivors(self.read("docs"), where), feedback=surviving_feedback(self.read("feedback"), chunks, where))
 
-    def compact(self, files: int = 1) -> int:
-        """The newest version rewritten into fewer files; empty tables are left alone."""
-        full = {t: df for t in self.manifest() if not (df := self.read(t)).isEmpty()}
-        return self.commit(files=files, **full)
+    def compact(self, file_bytes: int = 256 << 20) -> int:
+        """The newest version rewritten into files of about file_bytes; empty tables are left alone."""
+        size = lambda folders: sum(self._fs.getContentSummary(self._path(f"{self.home}/{f}")).getLength() for f in folders)
+        found = self.manifest()
+        full = {t: df for t in found if not (df := self.read(t)).isEmpty()}
+        return self.commit(files={t: size(found[t]) // file_bytes + 1 for t in full}, **full)
 
     def prune(self) -> int:
         """Drop all versions but the newest, and folders no longer used. Returns the bytes freed."""
         there = self.versions()
-        used = set(self.manifest().values())
+        used = {f for folders in self.manifest().values() for f in folders}
         freed = 0
-        for v in there[:-1]:
-            for folder in self.manifest(v).values():
-                path = self._path(f"{self.home}/{folder}")
-                if folder not in used and self._fs.exists(path):
-                    freed += self._fs.getContentSummary(path).getLength()
-                    self._fs.delete(path, True)
+        for folder in {f for v in there[:-1] for folders in self.manifest(v).values() for f in folders} - used:
+            path = self._path(f"{self.home}/{folder}")
+            if self._fs.exists(path):
+                freed += self._fs.getContentSummary(path).getLength()
+                self._fs.delete(path, True)
         for v in there[:-1]:
             self._fs.delete(self._path(f"{self.home}/manifests/v{v}.json"), False)
         return freed

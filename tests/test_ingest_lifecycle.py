@@ -132,3 +132,28 @@ def test_audit_log(spark, tmp_path):
     assert spark.read.text(f"file://{tmp_path}/kept").count() == 2
     lines = {r[0] for r in audit.metrics_text(audit.outcome_counts(audit.read(spark, path).filter("action is not null"))).collect()}
     assert 'operations_total{action="search",outcome="ok"} 1' in lines
+
+
+def test_append_writes_only_its_rows(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}", "t")
+    rows = lambda *ids: spark.createDataFrame([(i, "t") for i in ids], "chunk_id string, tenant_id string")
+    s.append("chunks", rows("a", "b"))
+    s.append("chunks", rows("c"))
+    s.append("chunks", rows("d"))
+    assert [len(s.manifest(v)["chunks"]) for v in (1, 2, 3)] == [1, 2, 3]
+    assert spark.read.parquet(f"{s.home}/data/v2/chunks").count() == 1
+    assert [s.read("chunks", v).count() for v in (1, 2, 3)] == [2, 3, 4]
+    assert [r["version"] for r in s.timeline().orderBy("published", "version").collect()] == [1, 2, 3]
+    s.compact()
+    assert len(s.manifest()["chunks"]) == 1 and s.read("chunks").count() == 4 and s.prune() > 0 and s.read("chunks").count() == 4
+    s.compact(file_bytes=1)
+    assert len(s.read("chunks").inputFiles()) > 1
+
+
+def test_bulk_survives_bad_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, content in [("a.txt", b"fine"), ("b.md", b"\xff\xfe bad"), ("sub/c.html", b"<p>x</p>"), ("d.txt", b" \n"), ("e.pdf", b"%PDF"), ("f.txt", b"\xef\xbb\xbfwith mark"), ("g", b"no kind")]:
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "h.txt").write_bytes(b"x" * (files.LARGEST + 1))
+    got = {r["file"].rsplit("/", 1)[1]: (r["status"], r["reason"], r["text"]) for r in files.bulk(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("ok", None, "fine"), "b.md": ("failed", "MALFORMED_TEXT", None), "c.html": ("ok", None, "x"), "d.txt": ("failed", "EMPTY_TEXT", None), "e.pdf": ("failed", "UNSUPPORTED_FORMAT", None), "f.txt": ("ok", None, "with mark"), "g": ("failed", "UNSUPPORTED_FORMAT", None), "h.txt": ("failed", "RESOURCE_EXHAUSTED", None)}

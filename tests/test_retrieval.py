@@ -86,3 +86,31 @@ def test_stub_embedding_is_normalised_and_deterministic(spark):
     d = spark.createDataFrame([(1, "Hola mundo"), (2, "hola  MUNDO"), (3, None)], "doc_id long, text string")
     v = {r[0]: r[1] for r in embedding.stub_embed(d).collect()}
     assert v[1] == v[2] and abs(sum(x * x for x in v[1]) - 1) < 1e-6 and set(v[3]) == {0.0}
+
+
+def test_index_agrees_with_texts(spark, docs, tmp_path):
+    index = lexical.write_index(docs, f"file://{tmp_path}/i", ("workspace_id",))
+    for query in ("árbol", "roja casa arbol", " !", "nothing"):
+        for keep in (None, F.col("workspace_id") == "x"):
+            want = lexical.bm25(docs, query, 10, keep=keep).collect()
+            assert lexical.search(index.of("a"), query, 10, keep).collect() == want == lexical.search(index, query, 10, keep).collect()
+    assert lexical.search(index.of("b"), "casa", 10).collect() == []
+    asked = spark.createDataFrame([(7, "árbol"), (8, "roja casa"), (9, "")], "query_id long, query string")
+    key = lambda r: (r["query_id"], r["rank"], r["chunk_id"], r["score"])
+    assert sorted(map(key, lexical.search_batch(index, asked, 2).collect())) == sorted(map(key, lexical.bm25_batch(docs, asked, 2).collect()))
+    plan = lexical.search(index.of("a"), "árbol casa", 10)._jdf.queryExecution().toString()
+    assert "In(term" in plan and "text" not in plan.split("ReadSchema")[1].split(">")[0]
+    empty = lexical.write_index(docs.limit(0), f"file://{tmp_path}/e")
+    assert lexical.search(empty, "casa", 5).collect() == []
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)]
+    v = spark.createDataFrame(rows + [(99, None), (98, [1.0])], "chunk_id long, vector array<float>")
+    asked = v.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["distance"]) for r in df.collect())
+    whole = key(vector.knn_batch(v, asked, 4))
+    want = [(q, k + 1, i, d) for q, (x, y) in rows[:20] for k, (d, i) in enumerate(sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, (a, b) in rows)[:4])]
+    monkeypatch.setattr(vector, "BLOCK", 6)
+    assert key(vector.knn_batch(v, asked, 4)) == whole == sorted(want)
+    assert vector.knn_batch(v, asked.limit(0), 4).collect() == []
