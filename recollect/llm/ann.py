@@ -101,62 +101,78 @@ def region_boxes(splits: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarra
     return np.array(lo[len(splits) :]), np.array(hi[len(splits) :])
 
 
-def search(ids: np.ndarray, points: np.ndarray, projected: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, q_projected: np.ndarray, least: np.ndarray, k: int, quantile: float, ceiling: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, inner product) of up to k best points of one shard for each query.
-
-    least: inner products known to be reached k times elsewhere. ceiling: the largest squared norm.
-    """
-    order = np.argsort(ids, kind="stable")
-    ids, points, projected = ids[order], points[order], projected[order]
-    leaves = kd_leaves(projected, LEAF)
-    lo, hi = (np.array([f(projected[r], axis=0) for r in leaves]) for f in (np.min, np.max))
-    square = V.dots(queries, queries)
-    far = np.zeros((len(queries), len(leaves)))
-    for d in range(DIMS):
-        gap = np.maximum(np.maximum(lo[:, d] - q_projected[:, d, None], q_projected[:, d, None] - hi[:, d]), 0)
-        far += gap * gap
-    turn = np.argsort(far, axis=1)
-    far = np.take_along_axis(far, turn, axis=1)
-    best = np.full((len(queries), k), -np.inf)
-    who = np.full((len(queries), k), -1, np.int64)
-    kth = least.copy()
-    live = np.arange(len(queries))
-    for step in range(len(leaves)):
-        reach = quantile * np.maximum(ceiling + square[live] - 2 * kth[live], 0) * (1 + 1e-9) + 1e-12
-        live = live[far[live, step] <= np.where(np.isfinite(kth[live]), reach, np.inf)]
-        if not len(live):
-            break
-        for leaf in np.unique(turn[live, step]):
-            mine, rows = live[turn[live, step] == leaf], np.sort(leaves[leaf])
-            rough = queries[mine] @ points[rows].T
-            rough[q_ids[mine][:, None] == ids[rows][None, :]] = -np.inf
-            a, b = np.nonzero((rough >= kth[mine][:, None] - 1e-9) & (rough > -np.inf))
-            if not len(a):
-                continue
-            exact = V.dots(queries[mine[a]], points[rows[b]])
-            for i in np.unique(a):
-                at = a == i
-                q = mine[i]
-                s, n = np.concatenate([best[q], exact[at]]), np.concatenate([who[q], ids[rows[b[at]]]])
-                top = np.lexsort((n, -s))[:k]
-                best[q], who[q] = s[top], n[top]
-                kth[q] = max(kth[q], best[q, -1])
-    at = np.nonzero(who >= 0)
-    return at[0], who[at], best[at]
-
-
-def _search_groups(k: int, quantile: float, ceiling: float):
+class Shard:
+    """The points of one shard in a kd-tree."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, projected: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.points, projected = ids[order], points[order], projected[order]
+        self.leaves = [np.sort(r) for r in kd_leaves(projected, LEAF)]
+        self.lo, self.hi = (np.array([f(projected[r], axis=0) for r in self.leaves]) for f in (np.min, np.max))
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, q_projected: np.ndarray, least: np.ndarray, k: int, quantile: float, ceiling: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, inner product) of up to k best points for each query.
+
+        least: inner products known to be reached k times elsewhere. ceiling: the largest squared norm.
+        """
+        square = V.dots(queries, queries)
+        far = np.zeros((len(queries), len(self.leaves)))
+        for d in range(DIMS):
+            gap = np.maximum(np.maximum(self.lo[:, d] - q_projected[:, d, None], q_projected[:, d, None] - self.hi[:, d]), 0)
+            far += gap * gap
+        turn = np.argsort(far, axis=1)
+        far = np.take_along_axis(far, turn, axis=1)
+        best = np.full((len(queries), k), -np.inf)
+        who = np.full((len(queries), k), -1, np.int64)
+        kth = least.copy()
+        live = np.arange(len(queries))
+        for step in range(len(self.leaves)):
+            reach = quantile * np.maximum(ceiling + square[live] - 2 * kth[live], 0) * (1 + 1e-9) + 1e-12
+            live = live[far[live, step] <= np.where(np.isfinite(kth[live]), reach, np.inf)]
+            if not len(live):
+                break
+            for leaf in np.unique(turn[live, step]):
+                mine, rows = live[turn[live, step] == leaf], self.leaves[leaf]
+                rough = queries[mine] @ self.points[rows].T
+                rough[q_ids[mine][:, None] == self.ids[rows][None, :]] = -np.inf
+                a, b = np.nonzero((rough >= kth[mine][:, None] - 1e-9) & (rough > -np.inf))
+                if not len(a):
+                    continue
+                exact = V.dots(queries[mine[a]], self.points[rows[b]])
+                cuts = np.flatnonzero(np.diff(a, prepend=-1))
+                for lo, hi in zip(cuts, [*cuts[1:], len(a)]):
+                    q = mine[a[lo]]
+                    s, n = np.concatenate([best[q], exact[lo:hi]]), np.concatenate([who[q], self.ids[rows[b[lo:hi]]]])
+                    top = np.lexsort((n, -s))[:k]
+                    best[q], who[q] = s[top], n[top]
+                    kth[q] = max(kth[q], best[q, -1])
+        at = np.nonzero(who >= 0)
+        return at[0], who[at], best[at]
+
+
+def _search_groups(k: int, quantile: float, ceiling: float, block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by shard and query block: region, salt, block, query (false first), id, vec, projected, least."""
-        for g in groups(batches, 3):
-            own = np.array(g.column(3).to_pylist(), bool)
-            if own.all() or not own.any():
-                continue
-            ids, vec, proj = g.column(4).to_numpy(), V.matrix(g.column(5)), V.matrix(g.column(6))
-            least = np.nan_to_num(g.column(7).to_numpy(zero_copy_only=False)[own].astype(float), nan=-np.inf)
-            q = np.flatnonzero(own)
-            row, found, score = search(ids[~own], vec[~own], proj[~own], ids[q], vec[q], proj[q], least, k, quantile, ceiling)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q][row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+        """Rows sorted by shard, its points before its queries: region, salt, share, query, id, vec, projected, least. Queries pass by in blocks."""
+        name, held, shard = None, [], None
+        for b in batches:
+            for g in groups([b], 4):
+                own, query = tuple(g.column(c)[0].as_py() for c in range(3)), g.column(3)[0].as_py()
+                if own != name:
+                    name, held, shard = own, [], None
+                if not query:
+                    held.append(g)
+                    continue
+                if shard is None:
+                    if not held:
+                        continue
+                    p, held = pa.concat_batches(held), []
+                    shard = Shard(p.column(4).to_numpy(), V.matrix(p.column(5)), V.matrix(p.column(6)))
+                for lo in range(0, g.num_rows, block_rows):
+                    q = g.slice(lo, block_rows)
+                    ids, vec, proj = q.column(4).to_numpy(), V.matrix(q.column(5)), V.matrix(q.column(6))
+                    least = np.nan_to_num(q.column(7).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+                    row, found, score = shard.search(ids, vec, proj, least, k, quantile, ceiling)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -167,7 +183,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBa
     for b in batches:
         if not b.num_rows:
             continue
-        key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(keys)])
+        key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(keys)])
         cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             part = b.slice(lo, hi - lo)
@@ -179,12 +195,14 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, confidence: float = 0.98, sample_rows: int = 20_000, shard_rows: int = 8192, block_rows: int = 4096, regions: int = 16, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, confidence: float = 0.98, sample_rows: int = 20_000, shard_rows: int = 8192, block_rows: int = 4096, regions: int | None = None, share_rows: int = 262_144, seed: int = 5) -> DataFrame:
     """The k rows of vectors with the largest inner product for each row of queries, but for the row of the query's id.
 
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller id. Null or zero vectors and those
     with null or non-finite components take no part, nor do rows with a null id or of another length than most; of
-    repeated ids one row counts. Fewer candidates than k are all returned; an empty table gives no rows.
+    repeated ids one row counts. Fewer candidates than k are all returned; an empty table gives no rows. Other columns are
+    ignored. regions: by default as many as shards, between 16 and 1024. A shard of more than share_rows queries is searched
+    by several tasks, each with its points and a share of the queries.
     """
     spark = vectors.sparkSession
 
@@ -209,6 +227,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         return run
 
     indexed = save(points.filter(F.size("vec") == dim).mapInArrow(project(False), "id long, vec array<double>, proj array<double>"), "points")
+    regions = regions or min(max(1 << (count // shard_rows).bit_length(), 16), 1024)
     sample = indexed.orderBy(F.xxhash64("id")).limit(sample_rows).select("proj").toPandas()["proj"]
     splits = kd_splits(np.array(sample.tolist()), regions)
     lower, upper = region_boxes(splits)
@@ -219,18 +238,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
 
     asked = ready(queries).filter(F.size("vec") == dim).mapInArrow(project(True), "id long, vec array<double>, proj array<double>").withColumn("region", region("proj"))
     asked = save(asked, "queries")
-    blocks = max(1, -(-asked.count() // block_rows))
     placed = save(indexed.withColumn("region", region("proj")), "placed")
     salts = placed.groupBy("region").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("salts"))  # at most as many rows as regions
     shards = placed.join(F.broadcast(salts), "region").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = ["region", "salt", "block", "query", "id", "vec", "proj", "least"]
-    there = shards.withColumn("query", F.lit(False)).withColumn("least", F.lit(None).cast("double")).select(*rows)
+    rows = ["region", "salt", "share", "query", "id", "vec", "proj", "least"]
 
     def found(to: DataFrame) -> DataFrame:
-        sent = to.join(F.broadcast(salts), "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("query", F.lit(True)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select(*rows)
-        dealt = there.unionByName(sent).repartition("region", "salt", "block").sortWithinPartitions("region", "salt", "block")
-        return dealt.mapInArrow(_search_groups(k, quantile, ceiling), "query_id long, vec_id long, score double")
+        shares = to.groupBy("region").agg(F.ceil(F.count("*") / share_rows).cast("int").alias("shares"))  # at most as many rows as regions
+        there = shards.join(F.broadcast(shares), "region").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        there = there.withColumn("query", F.lit(False)).withColumn("least", F.lit(None).cast("double")).select(*rows)
+        sent = to.join(F.broadcast(salts), "region").join(F.broadcast(shares), "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        sent = sent.withColumn("query", F.lit(True)).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).select(*rows)
+        dealt = there.unionByName(sent).repartition("region", "salt", "share").sortWithinPartitions("region", "salt", "share", "query")
+        return dealt.mapInArrow(_search_groups(k, quantile, ceiling, block_rows), "query_id long, vec_id long, score double")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -248,6 +268,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         ok = ((gap * gap).sum(axis=2) <= np.where(np.isnan(s), np.inf, reach)[:, None]) & (np.arange(len(lower))[None] != own.to_numpy()[:, None])
         return proj.__class__([np.flatnonzero(r).tolist() for r in ok])
 
-    out = asked.join(bounds, "id", "left").withColumn("region", F.explode(passing("proj", "vec", "least", "region")))
+    out = save(asked.join(bounds, "id", "left").withColumn("region", F.explode(passing("proj", "vec", "least", "region"))), "sent")
     both = home.drop("rank").unionByName(found(out))
     return ranked(both).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -54,7 +55,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return out.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_first")
 
 
-def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 100_000, compression: str = "none") -> None:
+def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 10_000, compression: str = "none") -> None:
     """Write the records of plan_records as WARC/1.1 files under path. Line breaks in a url are percent-encoded. compression: none or gzip."""
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -91,7 +92,8 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
-        self.target = int(options.get("partitionbytes", 64 << 20))
+        self.target = int(options.get("partitionbytes", 16 << 20))
+        self.strict = options.get("mode", "failfast").lower() != "permissive"
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -132,7 +134,7 @@ class WarcReader(DataSourceReader):
         for name in partition.names:
             with fs.open_input_file(name) as raw:
                 stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 20)
-                while (record := self._record(stream, name, compare)) is not None:
+                while (record := self._next(stream, name, compare)) is not None:
                     if not record:
                         continue
                     for col, value in zip(rows, record):
@@ -144,6 +146,22 @@ class WarcReader(DataSourceReader):
         if rows[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
+    def _next(self, stream: io.BufferedReader, name: str, compare: dict) -> tuple | None:
+        """As _record(); a broken record or archive raises, or, in permissive mode, is passed over up to the next record there is."""
+        try:
+            return self._record(stream, name, compare)
+        except (ValueError, EOFError, OSError, zlib.error):
+            if self.strict:
+                raise
+        try:
+            while line := stream.readline():
+                if line.startswith(b"WARC/"):
+                    stream.seek(-len(line), io.SEEK_CUR)
+                    return ()
+        except (EOFError, OSError, zlib.error):
+            pass
+        return None
+
     def _record(self, stream: io.BufferedReader, name: str, compare: dict) -> tuple | None:
         """The next record; () if the tests leave it out; None at the end of the file."""
         offset = stream.tell()
@@ -157,6 +175,8 @@ class WarcReader(DataSourceReader):
             raise ValueError(f"no WARC record at {offset} of {name}")
         head = _fields(stream)
         length = int(head.get("content-length", 0))
+        if length < 0:
+            raise ValueError(f"negative length at {offset} of {name}")
         values = {k: head.get(v.lower()) for k, v in HEADERS.items()} | {"content_length": length}
         for field, test, value in self.tests:
             have = values[field]
@@ -173,6 +193,8 @@ class WarcReader(DataSourceReader):
             used = 0
         if self.payload and values["record_type"] != "revisit":
             payload = stream.read(length - used)
+            if len(payload) < length - used:
+                raise EOFError(f"record cut off at {offset} of {name}")
         else:
             stream.seek(length - used, io.SEEK_CUR)
         return (*values.values(), size, payload, name, offset)
@@ -207,8 +229,12 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records under path. Filters on header columns are pushed into the source; payload=False leaves payloads null."""
+def read_warc(spark: SparkSession, path: str, payload: bool = True, mode: str = "failfast") -> DataFrame:
+    """The records under path. Filters on header columns are pushed into the source; payload=False leaves payloads null.
+
+    A record whose header is broken, or a file cut off or damaged, raises (failfast) or loses what can't be read (permissive).
+    Switches on filter push-down to Python sources in the session.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("mode", mode).load(path)

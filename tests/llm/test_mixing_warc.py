@@ -98,3 +98,21 @@ def test_small_payloads_are_never_revisits(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert {r["record_type"] for r in warc.plan_records(df, min_bytes=5).collect()} == {"response"}
     assert warc.plan_records(df.limit(0)).collect() == []
+
+
+def test_broken_archives(spark, archive, tmp_path):
+    import glob
+    import gzip
+
+    whole = b"".join(open(f, "rb").read() for f in sorted(glob.glob(archive.removeprefix("file://") + "/part-*")))
+    (tmp_path / "a.warc").write_bytes(b"noise\r\nmore\r\n" + whole)
+    (tmp_path / "b.warc").write_bytes(whole.replace(b"Content-Length: ", b"Content-Length: x", 1))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(whole)[:-20])
+    (tmp_path / "d.warc").write_bytes(whole[: len(whole) // 2])
+    n = len(PAGES)
+    for name, least in (("a.warc", n), ("b.warc", n - 1), ("c.warc.gz", 1), ("d.warc", 1)):
+        path = f"file://{tmp_path}/{name}"
+        with pytest.raises(Exception):
+            warc.read_warc(spark, path).collect()
+        got = {r["record_id"] for r in warc.read_warc(spark, path, mode="permissive").collect()}
+        assert least <= len(got) <= n

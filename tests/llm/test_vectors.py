@@ -27,7 +27,7 @@ def test_search_finds_at_least_nine_in_ten(spark):
     data = rows(cloud())
     df = spark.createDataFrame(data + ODD + [(9007, [1.0, 2.0], 1)], SCHEMA)
     got = {}
-    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), shard_rows=100, regions=4, block_rows=11).collect():
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), shard_rows=100, regions=4, block_rows=3, share_rows=5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     x, hit, total = np.array([v for _, v, _ in data]), 0, 0
     assert set(got) == set(range(0, 600, 20))
