@@ -133,7 +133,7 @@ class WarcReader(DataSourceReader):
         held = 0
         for name in partition.names:
             with fs.open_input_file(name) as raw:
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 20)
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 16)
                 while (record := self._next(stream, name, compare)) is not None:
                     if not record:
                         continue
