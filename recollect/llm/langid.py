@@ -28,7 +28,7 @@ LETTERS = 12
 #: Share of the letters learned from that stand in words below a language's floor.
 BELOW_FLOOR = 0.01
 #: Words labelled together (of whole pieces of text).
-STEP_WORDS = 1_500_000
+STEP_WORDS = 1_000_000
 
 SCRIPTS = ("latin", "greek", "cyrillic", "near_east", "south_asian", "east_asian", "hangul", "other")
 #: Script ranges by code point (fixed values): first, last, index in SCRIPTS; a later range overrules an earlier one. Letters outside are "other".
@@ -249,11 +249,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
             known: list[float] = []
             found: list[list] = []
             held, words = [], 0
-            for _, _, part, off in T.pieces(data, offsets):
+            for _, _, part, off in T.pieces(data, offsets, T.CHUNK_BYTES // 2):
                 starts, ends, at = T.word_spans(part, off)
                 low = T.LOWER[part]
                 count, script = letters(part, starts, ends)
-                held.append((off, starts, ends, at, count, word_scores(m, low, starts, ends, T.span_hashes(low, starts, ends), count, script)))
+                scores = word_scores(m, low, starts, ends, T.span_hashes(low, starts, ends), count, script)
+                held.append((off, *(x.astype(np.int32) for x in (starts, ends)), at, count.astype(np.int32), scores))
                 words += len(starts)
                 if words >= STEP_WORDS:
                     _label(m, held, names, score, known, found, spans, shares)
