@@ -46,23 +46,84 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataF
     return seen.join(first, "node", "left_anti")
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (source, target) joined by a path: for a module graph, small by construction. Path lengths double each round."""
-    pairs = save(edges.select("source", "target").distinct(), "pairs")
-    while True:
-        longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source").alias("source"), F.col("b.target").alias("target"))
-        more = save(pairs.unionByName(longer).distinct(), "pairs")
-        if more.count() == pairs.count():
-            return more
-        pairs = more
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those from nodes that nothing leads to, or to nodes that lead nowhere, until none is left."""
+    n = edges.count()
+    while n:
+        ends = edges.select(F.col("target").alias("source")).distinct()
+        starts = edges.select(F.col("source").alias("target")).distinct()
+        edges = save(edges.join(ends, "source", "left_semi").join(starts, "target", "left_semi").select("source", "target"), "trimmed")
+        n, before = edges.count(), n
+        if n == before:
+            break
+    return edges
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node and colour, the smallest node that leads to it (itself included). Only nodes whose colour fell tell their targets."""
+    state = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    state = save(state.select("node", F.col("node").alias("colour"), F.lit(True).alias("fell")), "colours")
+    while not state.filter("fell").isEmpty():
+        told = edges.join(state.filter("fell"), F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("_told"))
+        lower = F.coalesce(F.col("_told") < F.col("colour"), F.lit(False))
+        state = save(state.join(told, "node", "left").select("node", F.least("colour", "_told").alias("colour"), lower.alias("fell")), "colours")
+    return state.select("node", "colour")
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle and the smallest member of their strongly connected component: node, component."""
-    pairs = closure(edges)
-    back = pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    mutual = pairs.join(back, ["source", "target"])
-    return mutual.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("component"))
+    """Nodes on a cycle and the smallest member of their strongly connected component: node, component.
+
+    Nodes off all cycles are trimmed from the ends; then each node is coloured by the smallest node that leads to it, and the
+    nodes of a colour that lead back to that one are its component. The edges left inside colours go round again. The
+    state is a row for each node or edge, never one for each pair of nodes. Edges with a null end are no edges.
+    """
+    live = save(edges.select("source", "target").dropna().distinct(), "edges")
+    loops = live.filter("source = target").select(F.col("source").alias("component"))
+    found = live.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
+    while True:
+        live = _trimmed(live)
+        if live.isEmpty():
+            break
+        colours = _coloured(live)
+        a, b = (colours.select(F.col("node").alias(end), F.col("colour").alias(c)) for end, c in (("source", "_a"), ("target", "_b")))
+        inner = save(live.join(a, "source").join(b, "target").filter("_a = _b").select("source", "target"), "inner")
+        roots = colours.filter("node = colour").select("node")
+        back = reach(reversed_edges(inner), roots).unionByName(roots)
+        members = save(colours.join(back, "node", "left_semi").select("node", F.col("colour").alias("component")), "members")
+        found = found.unionByName(members)
+        gone = members.select("node")
+        live = save(inner.join(gone, inner["source"] == gone["node"], "left_anti").join(gone, F.col("target") == gone["node"], "left_anti"), "edges")
+    real = found.filter("node <> component").select("component").unionByName(loops).distinct()
+    return found.join(real, "component", "left_semi").select("node", "component")
+
+
+def cycle_paths(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """component and path: of each component of cycle_members a shortest cycle through its smallest node, which is first and last.
+
+    A breadth-first search from the smallest nodes, in all components at once; a node is reached from the smallest of the
+    nodes that lead to it a step earlier, and the cycle closes from the smallest of the nearest nodes that lead back.
+    """
+    keyed = lambda end, c: members.select(F.col("node").alias(end), F.col("component").alias(c))
+    inner = edges.select("source", "target").distinct().join(keyed("source", "component"), "source").join(keyed("target", "_c"), "target")
+    inner = save(inner.filter("component = _c").select("component", "source", "target"), "inner")
+    level = inner.select("component", F.col("component").alias("node")).distinct()
+    seen = level = save(level.withColumn("parent", F.lit(None).cast(level.schema["node"].dataType)), "level")
+    closed = None
+    while not level.isEmpty():
+        ahead = level.join(inner.withColumnRenamed("source", "node"), ["component", "node"]).groupBy("component", F.col("target").alias("at")).agg(F.min("node").alias("parent"))
+        ahead = save(ahead.withColumnRenamed("at", "node"), "ahead")
+        home = ahead.filter("node = component").select("component", F.col("parent").alias("at"))
+        closed = home if closed is None else closed.unionByName(home)
+        level = save(ahead.join(home, "component", "left_anti").join(seen, ["component", "node"], "left_anti").select("component", "node", "parent"), "level")
+        seen = seen.unionByName(level)
+    if closed is None:
+        return inner.select("component", F.array("component").alias("path")).limit(0)
+    walk = closed.withColumn("path", F.array("component"))
+    while True:
+        step = walk.join(seen.withColumnRenamed("node", "at"), ["component", "at"], "left")
+        walk = save(step.select("component", F.col("parent").alias("at"), F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")).alias("path")), "walk")
+        if walk.filter("at is not null").isEmpty():
+            return walk.select("component", "path")
 
 
 def module_edges(edges: DataFrame, modules: DataFrame, imports: DataFrame | None = None) -> DataFrame:
@@ -79,10 +140,10 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def dependency_lines(edges: DataFrame, cycles: DataFrame) -> DataFrame:
-    """`a -> b` for each module edge, then `cycle: n` for each member of a cycle: part, line."""
+    """`a -> b` for each module edge, then `cycle: a -> b -> a` for each of cycle_paths, both in order: part, line."""
     a = edges.select(F.lit(0).alias("part"), F.concat(F.col("source").cast("string"), F.lit(" -> "), F.col("target").cast("string")).alias("line"))
-    b = cycles.select(F.lit(1).alias("part"), F.concat(F.lit("cycle: "), F.col("node").cast("string")).alias("line"))
-    return a.unionByName(b)
+    b = cycles.select(F.lit(1).alias("part"), F.concat(F.lit("cycle: "), F.array_join(F.col("path").cast("array<string>"), " -> ")).alias("line"))
+    return a.unionByName(b).orderBy("part", "line")
 
 
 def fan_in(edges: DataFrame, k: int | None = None) -> DataFrame:

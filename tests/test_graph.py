@@ -19,10 +19,42 @@ def test_chain_diamond_cycle_and_loop(spark):
 
 
 def test_cycle_members_and_lines(spark):
-    e = edges(spark, [(3, 2), (2, 3), (3, 4), (4, 5), (5, 4), (9, 3)])
+    e = edges(spark, [(3, 2), (2, 3), (3, 4), (4, 5), (5, 4), (9, 3), (4, None)])
     members = graph.cycle_members(e)
     assert sorted(tuple(r) for r in members.collect()) == [(2, 2), (3, 2), (4, 4), (5, 4)]
-    assert {r["line"] for r in graph.dependency_lines(e, members).collect()} >= {"3 -> 2", "cycle: 5"}
+    lines = [r["line"] for r in graph.dependency_lines(e.dropna(), graph.cycle_paths(e, members)).collect()]
+    assert lines == ["2 -> 3", "3 -> 2", "3 -> 4", "4 -> 5", "5 -> 4", "9 -> 3", "cycle: 2 -> 3 -> 2", "cycle: 4 -> 5 -> 4"]
+
+
+def test_cycles_on_random_graphs(spark):
+    import random
+
+    for seed, n, m in ((1, 12, 14), (2, 16, 20), (3, 9, 9)):
+        r = random.Random(seed)
+        rows = sorted({(r.randrange(n), r.randrange(n)) for _ in range(m)})
+        out = {v: {t for s, t in rows if s == v} for v in range(n)}
+        dist = {}  # (v, w): least number of steps, at least 1
+        for v in range(n):
+            level, step = out[v], 1
+            while level:
+                dist.update({(v, w): step for w in level})
+                level, step = {t for w in level for t in out[w] if (v, t) not in dist}, step + 1
+        want = {v: min([w for w in range(n) if (v, w) in dist and (w, v) in dist]) for v in range(n) if (v, v) in dist}
+        e = edges(spark, rows)
+        members = graph.cycle_members(e)
+        assert {x["node"]: x["component"] for x in members.collect()} == want
+        paths = {x["component"]: x["path"] for x in graph.cycle_paths(e, members).collect()}
+        assert set(paths) == set(want.values())
+        for c, path in paths.items():
+            assert path[0] == path[-1] == c and len(path) == dist[c, c] + 1 and min(path) == c
+            assert all(b in out[a] for a, b in zip(path, path[1:]))
+
+
+def test_no_cycles(spark):
+    for rows in ([], [(1, 2), (2, 3), (1, 3)]):
+        e = edges(spark, rows)
+        members = graph.cycle_members(e)
+        assert members.collect() == [] and graph.cycle_paths(e, members).collect() == []
 
 
 def test_build_edges(spark):
