@@ -426,6 +426,20 @@ def retention_change(spark, sf):
     return evaluation.counts_by(table(spark, sf, "part").select(lifecycle.retention_change(days).alias("change")), "change")
 
 
+@query("SELECT e.event_id, e.event_type FROM events e LEFT JOIN (SELECT event_type, CAST(count(*) % 40 AS INT) AS days FROM events WHERE event_type <> 'click' GROUP BY event_type) p USING (event_type) WHERE coalesce(p.days, 30) > 0 AND e.ts < TIMESTAMP '2024-01-31' - to_days(coalesce(p.days, 30))")
+def retention_all_tenants(spark, sf):
+    """A policy for each tenant (here: kind of event) but one, which follows the default."""
+    policy = table(spark, sf, "events").filter("event_type <> 'click'").groupBy(F.col("event_type").alias("tenant")).agg((F.count("*") % 40).alias("days"))
+    return lifecycle.expired_by_tenant(log(spark, sf), policy, NOW, 30, "event_type", "ts").select("event_id", "event_type")
+
+
+@query("SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def metadata_entries(spark, sf):
+    """A row for each key of an event's metadata."""
+    entries = F.explode(F.from_json("props", "map<string,string>"))
+    return table(spark, sf, "events").select("event_id", entries.alias("key", "value"))
+
+
 # Statistics and export
 
 
@@ -516,6 +530,27 @@ def code_literal_search(spark, sf):
     return code.literal_search(concepts(spark, sf), "small", 100)
 
 
+def sited(spark, sf) -> DataFrame:
+    return concepts(spark, sf).withColumn("end_line", F.col("start_line") + 9)
+
+
+def symbols(spark, sf) -> DataFrame:
+    """The symbols of all projects (here: brands)."""
+    return code.symbol_rows(sited(spark, sf), "t", "", NOW).drop("project_id").withColumn("project_id", F.regexp_extract("location", "^(.*)#L", 1))
+
+
+@query("SELECT p_name AS symbol_name, p_brand AS project_id, p_brand || '#L' || p_size || '-L' || (p_size + 9) AS location FROM part WHERE p_brand <> 'Brand#8' UNION ALL SELECT upper(p_name), 'Brand#8', p_brand || '#L' || p_size || '-L' || (p_size + 9) FROM part WHERE p_brand = 'Brand#8' AND p_size > 25")
+def symbols_replaced(spark, sf):
+    """A project is indexed again with fewer concepts, and other names."""
+    again = sited(spark, sf).filter("file = 'Brand#8' and start_line > 25").withColumn("name", F.upper("name"))
+    return code.replace_project(symbols(spark, sf), "Brand#8", code.symbol_rows(again, "t", "Brand#8", NOW)).select("symbol_name", "project_id", "location")
+
+
+@query("SELECT p_name AS symbol_name, split_part(p_type, ' ', 1) AS kind, p_type AS signature, p_brand || '#L' || p_size || '-L' || (p_size + 9) AS location FROM part WHERE p_brand = 'Brand#8' AND p_name = 'red plate'")
+def symbol_lookup(spark, sf):
+    return code.lookup_symbols(symbols(spark, sf), "Brand#8", "red plate").select("symbol_name", "kind", "signature", "location")
+
+
 EDGES = "e AS (SELECT DISTINCT l_suppkey % 50 AS source, (7 * l_partkey + l_suppkey) % 211 AS target FROM lineitem WHERE l_suppkey % 50 <> (7 * l_partkey + l_suppkey) % 211)"
 
 
@@ -550,6 +585,28 @@ def impact_deep(spark, sf):
     return graph.reach(graph.reversed_edges(graph.build_edges(o)), start(spark, 1))
 
 
+SHOWN = "p_name || ' (' || p_brand || '#L' || p_size || '-L' || (p_size + 9) || ')'"
+
+
+@query(f"WITH {EDGES}, s AS (SELECT p_partkey AS node FROM part WHERE p_name = 'red plate'), one AS (SELECT source AS node FROM e WHERE target IN (SELECT node FROM s)), two AS (SELECT e.source AS node FROM e JOIN one ON e.target = one.node) SELECT p_partkey AS id, {SHOWN} AS display FROM part WHERE p_partkey IN (SELECT node FROM one UNION SELECT node FROM two) AND p_partkey NOT IN (SELECT node FROM s)")
+def callers_by_name(spark, sf):
+    """Everything that leads to any definition of a name in two calls."""
+    return code.related(graph.build_edges(call_edges(spark, sf)), sited(spark, sf), "red plate", 2)
+
+
+@query(f"WITH {EDGES}, s AS (SELECT p_partkey AS node FROM part WHERE p_name = 'small widget') SELECT p_partkey AS id, {SHOWN} AS display FROM part WHERE p_partkey IN (SELECT target FROM e WHERE source IN (SELECT node FROM s)) AND p_partkey NOT IN (SELECT node FROM s)")
+def callees_by_name(spark, sf):
+    return code.related(graph.build_edges(call_edges(spark, sf)), sited(spark, sf), "small widget", 1, callers=False)
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, p_name AS name, split_part(p_type, ' ', 1) AS kind, p_brand AS file, lower(p_name) AS n, lower(p_brand || '.' || p_name) AS q, lower(p_type) AS s FROM part),
+b AS (SELECT *, CASE WHEN n = 'ring' THEN 0 WHEN starts_with(n, 'ring') THEN 1 WHEN contains(n, 'ring') THEN 2 WHEN contains(q, 'ring') THEN 3 WHEN contains(s, 'ring') THEN 4 END AS bucket FROM c)
+SELECT row_number() OVER (ORDER BY bucket, id)::INT AS place, id, name, kind, file FROM b WHERE bucket IS NOT NULL ORDER BY place LIMIT 100""")
+def code_search_without_vectors(spark, sf):
+    """Code search falls back to literal matches."""
+    return summary.search(concepts(spark, sf), "ring", 100)
+
+
 MODULES = "x AS (SELECT DISTINCT a.s_nationkey::BIGINT AS source, b.s_nationkey::BIGINT AS target FROM (SELECT l_suppkey AS s, (7 * l_partkey + l_suppkey) % 97 + 1 AS t FROM lineitem) l JOIN supplier a ON a.s_suppkey = l.s JOIN supplier b ON b.s_suppkey = l.t WHERE a.s_nationkey <> b.s_nationkey)"
 CLOSED = f"WITH RECURSIVE {MODULES}, p AS (SELECT source, target FROM x UNION SELECT p.source, x.target FROM p JOIN x ON p.target = x.source), c AS (SELECT a.source AS node, min(a.target) AS component FROM p a JOIN p b ON a.source = b.target AND a.target = b.source GROUP BY a.source)"
 

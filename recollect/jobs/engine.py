@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.shared import save
 from recollect.functions.text import content_hash, is_source_label
-from recollect.operators import context, embedding, fusion, ingest, lexical, lifecycle, scope, vector
+from recollect.operators import code, context, embedding, fusion, graph, ingest, lexical, lifecycle, scope, summary, vector
 from recollect.sources import files
 from recollect.sources.store import Store
 
@@ -157,6 +157,51 @@ class Engine:
         self.store.commit(chunks=lifecycle.survivors(chunks, where), docs=lifecycle.survivors(docs, where), feedback=lifecycle.surviving_feedback(marks, chunks, where))
         return {k: counts[k] for k in ("n_chunks", "n_docs", "n_feedback")}
 
+    def delete_tenant(self) -> dict[str, int]:
+        """Empty all four tables of the tenant in one version; older versions stay until prune. Returns the removed rows."""
+        tables = {t: self.store.read(t) for t in ("chunks", "docs", "feedback", "symbols")}
+        removed = {f"n_{t}": df.count() for t, df in tables.items()}
+        self.store.commit(**{t: df.limit(0) for t, df in tables.items()})
+        return removed
+
+    # Code projects: concepts has id, name, qualified_name, signature, description, kind, file, start_line, end_line
+
+    def index_project(self, project: str, concepts: DataFrame, calls: DataFrame, now: str) -> dict[str, int]:
+        """Store a project's concepts, resolved call edges and vectors, and replace its symbols. Indexing again leaves nothing old.
+
+        calls: source and target ids as they were found; those to or from unknown concepts and loops are no edges. Without
+        concepts nothing is written.
+        """
+        concepts = save(concepts, "concepts")
+        n = concepts.count()
+        if not n:
+            return {"n_concepts": 0, "n_edges": 0}
+        home = f"{self.store.home}/projects/{project}"
+        edges = graph.build_edges(calls.select("source", "target").join(concepts.select(F.col("id").alias("source")).distinct(), "source", "left_semi"), concepts).select("source", "target")
+        texts = concepts.select("id", code.semantic_text(F.col("name"), F.col("signature")).alias("text"))
+        for name, df in (("concepts", concepts), ("edges", edges), ("vectors", embedding.stub_embed(texts, "id", "text", self.dim))):
+            df.write.mode("overwrite").parquet(f"{home}/{name}")
+        rows = code.symbol_rows(concepts, self.tenant, project, now)
+        self.store.commit(symbols=code.replace_project(self.store.read("symbols"), project, rows))
+        return {"n_concepts": n, "n_edges": self.project_table(project, "edges").count()}
+
+    def project_table(self, project: str, name: str) -> DataFrame | None:
+        """concepts, edges or vectors of a project; None where there is no such table."""
+        path = f"{self.store.home}/projects/{project}/{name}"
+        return self.spark.read.parquet(path) if self.store._fs.exists(self.store._path(f"{path}/_SUCCESS")) else None
+
+    def _project(self, project: str, name: str) -> DataFrame:
+        found = self.project_table(project, name)
+        if found is None:
+            raise NotFound(f"NOT_FOUND: project {project}")
+        return found
+
+    def search_code(self, project: str, query: str, k: int = 20) -> DataFrame:
+        return summary.search(self._project(project, "concepts"), query, k, self.project_table(project, "vectors"))
+
+    def callers(self, project: str, name: str, depth: int | None = 1) -> DataFrame:
+        return code.related(self._project(project, "edges"), self._project(project, "concepts"), name, depth)
+
     def sweep(self, now: str, days: int = 30) -> int:
         """Drop chunks older than days (0: off) and compact only if any were. Returns how many."""
         chunks = self._chunks()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.text import node_display
+from recollect.operators import graph, lifecycle
+
 
 def first_definition(symbols: DataFrame) -> DataFrame:
     """Of each name the first definition by file, start_line and id."""
@@ -27,6 +30,38 @@ def literal_search(concepts: DataFrame, query: str, k: int = 20) -> DataFrame:
     return found.orderBy("bucket", "id").limit(min(k, 100))
 
 
+def symbol_rows(concepts: DataFrame, tenant: str, project: str, now: str) -> DataFrame:
+    """Concepts as rows of the store's symbols, stamped with tenant, project and time; location is file#Lx-Ly."""
+    place = F.format_string("%s#L%d-L%d", "file", "start_line", F.coalesce("end_line", "start_line"))
+    return concepts.select(F.col("name").alias("symbol_name"), F.lit(tenant).alias("tenant_id"), F.lit(project).alias("project_id"), "kind", place.alias("location"), "signature", F.lit(now).cast("timestamp").alias("created_at"))
+
+
+def replace_project(symbols: DataFrame, project: str, rows: DataFrame) -> DataFrame:
+    """symbols with those of a project replaced by rows; none of its old ones stays, other projects are untouched."""
+    return lifecycle.survivors(symbols, F.col("project_id") == project).unionByName(rows.select(*symbols.columns))
+
+
+def lookup_symbols(symbols: DataFrame, project: str, name: str | None = None) -> DataFrame:
+    """A project's symbols, all or those of exactly this name, by name and location."""
+    out = symbols.filter(F.col("project_id") == project)
+    return (out if name is None else out.filter(F.col("symbol_name") == name)).orderBy("symbol_name", "location")
+
+
+def definitions(concepts: DataFrame, name: str) -> DataFrame:
+    """node: the graph ids of all concepts of this name; none for an unknown one."""
+    return concepts.filter(F.col("name") == name).select(F.col("id").alias("node")).distinct()
+
+
+def related(edges: DataFrame, concepts: DataFrame, name: str, depth: int | None = 1, callers: bool = True) -> DataFrame:
+    """id and display of the concepts that call (or are called by) any definition of a name in 1 to depth steps (None: any number).
+
+    The definitions themselves are left out, as are ids without a concept.
+    """
+    found = graph.reach(graph.reversed_edges(edges) if callers else edges, definitions(concepts, name), depth)
+    shown = concepts.select("id", node_display(F.col("name"), F.col("file"), F.col("start_line"), F.coalesce("end_line", "start_line")).alias("display"))
+    return shown.join(found.withColumnRenamed("node", "id"), "id", "left_semi")
+
+
 def kind_counts(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("kind").agg(F.count("*").alias("n"))
 

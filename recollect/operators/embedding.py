@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: FNV-1a 64 (fixed values).
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -38,10 +39,12 @@ def embed(text: str | None, dim: int, per_token: int = 8) -> list[float]:
 
 
 def stub_embed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 64) -> DataFrame:
-    """id and vector of each row."""
+    """id and vector of each row; whole-number ids become long, others keep their type."""
+    kind = df.schema[id_col].dataType
+    kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b.iloc[:, 0], "vector": [embed(t, dim) for t in b.iloc[:, 1]]})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInPandas(run, "id long, vector array<float>").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string")).mapInPandas(run, f"id {kind}, vector array<float>").withColumnRenamed("id", id_col)

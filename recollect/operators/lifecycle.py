@@ -38,6 +38,17 @@ def unexpired(df: DataFrame, now: str, days: int, ts_col: str = "created_at") ->
     return df.filter(~F.coalesce(old, F.lit(False)))
 
 
+def expired_by_tenant(df: DataFrame, policy: DataFrame, now: str, default: int = 30, tenant_col: str = "tenant_id", ts_col: str = "created_at") -> DataFrame:
+    """Expired rows of all tenants in one job. policy: tenant, days, one row for each tenant; 0 is off, no row or null is default.
+
+    Columns of df as they are. Rows without a time never expire; rows without a tenant follow the default.
+    """
+    days = policy.select(F.col("tenant").alias("_tenant"), F.col("days").cast("int").alias("_days"))
+    out = df.join(days, F.col(tenant_col) == F.col("_tenant"), "left").withColumn("_days", F.coalesce("_days", F.lit(default)))
+    limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.col("_days"))
+    return out.filter((F.col("_days") > 0) & (F.col(ts_col) < limit)).select(*df.columns)
+
+
 def sweep_lines(lines: DataFrame, now: str, days: int, line_col: str = "line") -> DataFrame:
     """JSON lines whose `ts` is not older than days; malformed and undated lines stay."""
     ts = F.try_to_timestamp(F.get_json_object(line_col, "$.ts")).cast("timestamp_ntz")

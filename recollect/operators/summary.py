@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators import graph, vector
-from recollect.operators.code import kind_counts, semantic_text
+from recollect.operators.code import kind_counts, literal_search, semantic_text
 from recollect.operators.embedding import embed, stub_embed
 
 
@@ -45,6 +45,31 @@ def semantic_search(concepts: DataFrame, query: str, k: int = 20, dim: int = 64)
     return vector.cosine_rank(stub_embed(rows, "id", "text", dim), embed(query, dim), min(k, 100), "id", "vector")
 
 
+def search(concepts: DataFrame, query: str, k: int = 20, vectors: DataFrame | None = None, embed_query=embed) -> DataFrame:
+    """place (from 1), id, name, kind and file of the best k concepts (at most 100).
+
+    By cosine over stored vectors (id, vector), all of them ranked, if there are any and embed_query (text, dim) gives a
+    vector; by literal matches where vectors are None or empty or the embedder fails. Ranked ids without a concept go.
+    """
+    first = None if vectors is None else vectors.select("vector").first()
+    asked = None
+    if first is not None:
+        try:
+            asked = embed_query(query, len(first["vector"]))
+        except (OSError, RuntimeError, ValueError):  # an embedder that fails leaves literal search
+            asked = None
+    known = concepts.select("id", "name", "kind", "file")
+    if asked is None:
+        ranked = literal_search(concepts, query, k)
+        order = ["bucket", "id"]
+    else:
+        ranked = vector.cosine_rank(vectors.join(concepts.select("id"), "id", "left_semi"), asked, min(k, 100), "id", "vector")
+        order = [F.desc("score"), "id"]
+    # at most 100 rows come here
+    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return placed.join(known, "id").select("place", "id", "name", "kind", "file").orderBy("place")
+
+
 def location(file: Column, start: Column, end: Column) -> Column:
     """file#Lx-Ly, always a range."""
     return F.format_string("%s#L%d-L%d", file, start, end)

@@ -32,3 +32,10 @@ def restore(store: Store, path: str, key: bytes) -> int:
             raise ValueError("TENANT_FORBIDDEN")
         tables[name] = parsed.select("e.row.*")
     return store.commit(**tables)
+
+
+def backup_count(store: Store, root: str) -> int:
+    """Backups under root: its folders; 0 where it does not exist."""
+    path = store._path(root)
+    fs = path.getFileSystem(store.spark._jsc.hadoopConfiguration())
+    return sum(1 for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else 0
