@@ -20,6 +20,13 @@ def doubles(df: DataFrame, vec: str) -> Column:
     return F.col(vec).cast(T.ArrayType(T.DoubleType()))
 
 
+def reals(df: DataFrame, vec: str) -> Column:
+    """Floats where the column holds floats, else doubles; every zero without a sign."""
+    kind = df.schema[vec].dataType
+    kind = T.FloatType() if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.DoubleType()
+    return F.transform(F.col(vec).cast(T.ArrayType(kind)), lambda x: x + F.lit(0.0).cast(kind))
+
+
 def matrix(col: pa.Array) -> np.ndarray:
     """Rows of a column of lists of one length."""
     n = len(col)

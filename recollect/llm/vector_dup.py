@@ -2,12 +2,14 @@
 
 Unit vectors with cosine of at least t are at a squared distance of at most 2 (1 - t). After a fixed rotation they are
 cut into BLOCKS blocks of components; a pair within that distance is, in at least one block, within the block's share
-of it (in proportion to its components). So each block is range-joined on a grid over its first two components, with
-cells as wide as the block's radius: a vector meets its own cell and, as a probe, those neighbour cells after its own
-in order that its ball reaches. A pair is taken in the first block whose budget it meets and in no other, so no pair
+of it (in proportion to its components). So each block is range-joined on a grid over its first one or two components
+(two where a component spreads wider than a cell, in few dimensions), with cells as wide as the block's radius: a vector
+meets its own cell and, as a probe, those neighbour cells after its own in order that its ball reaches. A pair is taken in the first block whose budget it meets and in no other, so no pair
 counts twice and none is missed. Vectors meet in tasks, cell by cell; tasks give numbers of links and, for the
 components, at most one edge for each vector they hold. Equal vectors are joined as one, and cells of many vectors are
-cut into chunks of CHUNK anchors.
+cut into chunks of CHUNK anchors (of up to 64 dimensions; fewer with more). Places hold ids only; vectors, in the type they came in, join them on the way to their
+cells. Where vectors are spread evenly over many dimensions a cell is a constant share of its label, so the comparisons
+are then quadratic in the label's distinct vectors.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from recollect.llm import _vectors as V
 from recollect.llm._common import save
 from recollect.llm.components import connected_components, forest
 
-BLOCKS, CHUNK, ROWS = 4, 2048, 64
+BLOCKS, CHUNK, ROWS, STEP = 4, 8192, 64, 2048
 SLACK = 1e-9
 
 
@@ -43,32 +45,33 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def placements(threshold: float):
-    """Rows (id, label, n, vec) to (label, dim, block, x, y, probe, id, n, vec)."""
+    """Rows (id, label, vec) to (label, dim, block, x, y, probe, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = pa.compute.list_value_length(b.column(3)).to_numpy()
-            for dim in np.unique(sizes):
+            sizes = pa.compute.list_value_length(b.column(2)).to_numpy()
+            for dim in np.unique(sizes).tolist():
                 part = b.filter(pa.array(sizes == dim))
-                turned = _unit(V.matrix(part.column(3))) @ rotation(int(dim))
-                edges = block_bounds(int(dim))
+                turned = _unit(V.matrix(part.column(2))) @ rotation(dim)
+                edges = block_bounds(dim)
                 for k in range(len(edges) - 1):
                     width = max(np.sqrt(2 * (1 - threshold) * (edges[k + 1] - edges[k]) / dim) * (1 + 1e-6), 1e-6)
-                    at = turned[:, edges[k] : edges[k] + min(2, edges[k + 1] - edges[k])] / width
-                    if at.shape[1] == 1:
+                    axes = min(2 if width * np.sqrt(dim) < 1 else 1, edges[k + 1] - edges[k])
+                    at = turned[:, edges[k] : edges[k] + axes] / width
+                    if axes == 1:
                         at = np.hstack([at, np.zeros_like(at)])
                     cell = np.floor(at).astype(np.int64)
                     inside = at - cell
-                    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+                    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) if axes == 2 else ((0, 0), (1, 0)):
                         gap = ((1 - inside[:, 0]) * (dx == 1)) ** 2 + np.where(dy == 1, 1 - inside[:, 1], np.where(dy == -1, inside[:, 1], 0)) ** 2
                         rows = np.flatnonzero(gap <= 1)
                         if not len(rows):
                             continue
                         p = part.take(pa.array(rows))
-                        const = [pa.array(np.full(len(rows), v)) for v in (int(dim), k)]
+                        const = [pa.array(np.full(len(rows), v)) for v in (dim, k)]
                         yield pa.RecordBatch.from_arrays(
-                            [p.column(1), *const, pa.array(cell[rows, 0] + dx), pa.array(cell[rows, 1] + dy), pa.array(np.full(len(rows), bool(dx or dy))), p.column(0), p.column(2), p.column(3)],
-                            names=["label", "dim", "block", "x", "y", "probe", "id", "n", "vec"],
+                            [p.column(1), *const, pa.array(cell[rows, 0] + dx), pa.array(cell[rows, 1] + dy), pa.array(np.full(len(rows), bool(dx or dy))), p.column(0)],
+                            names=["label", "dim", "block", "x", "y", "probe", "id"],
                         )
 
     return run
@@ -162,8 +165,8 @@ def _join(threshold: float):
                     key, cell = own, _Cell(own[1], own[2], threshold)
                 if probe and not len(cell.ids):
                     continue
-                for s in range(lo, hi, CHUNK):
-                    part = b.slice(s, min(CHUNK, hi - s))
+                for s in range(lo, hi, STEP):
+                    part = b.slice(s, min(STEP, hi - s))
                     ids, n, x, y = cell.meet(part.column(7).to_numpy(), part.column(8).to_numpy(), V.matrix(part.column(9)), not probe)
                     none = pa.nulls
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, x])), pa.concat_arrays([pa.array(n), none(len(x), pa.int64())]), pa.concat_arrays([none(len(ids), pa.int64()), pa.array(y)])], names=["id", "links", "peer"])
@@ -181,18 +184,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), V.doubles(vectors, vec_col).alias("vec"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), V.reals(vectors, vec_col).alias("vec"))
     good = V.usable("vec") & F.col("id").isNotNull() & F.col("label").isNotNull()
-    keyed = rows.withColumn("key", F.when(good, F.md5(F.concat_ws(",", F.transform("vec", lambda x: (x + 0.0).cast("string"))).cast("binary"))))
-    classes = keyed.filter("key is not null").groupBy("label", "key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    key = F.concat_ws(" ", F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"))  # 128 bits
+    keyed = rows.select("id", "label", F.when(good, key).alias("key"))
+    classes = rows.filter(good).groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("key", key)
     classes = save(classes.withColumn("id", F.xxhash64("label", "key")), "classes")  # a class is known by its vector: ids may repeat
-    placed = classes.select("id", "label", "n", "vec").mapInArrow(placements(threshold), "label long, dim long, block long, x long, y long, probe boolean, id long, n long, vec array<double>")
+    placed = classes.select("id", "label", "vec").mapInArrow(placements(threshold), "label long, dim long, block long, x long, y long, probe boolean, id long")
     placed, cell = save(placed, "placed"), ["label", "dim", "block", "x", "y"]
-    many = placed.filter("not probe").groupBy(*cell).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1")
+    many = placed.filter("not probe").groupBy(*cell).agg(F.ceil(F.count("*") * F.greatest(F.col("dim") / 64, F.lit(1.0)) / CHUNK).cast("int").alias("chunks")).filter("chunks > 1")
     cut = placed.join(many, cell, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     first = F.when(F.col("probe"), F.lit(0)).otherwise(F.col("own"))
     cut = cut.withColumn("chunk", F.explode(F.sequence(first, F.col("chunks") - 1))).withColumn("probe", F.col("probe") | (F.col("chunk") != F.col("own")))
-    dealt = cut.select(*cell, "chunk", "probe", "id", "n", "vec").repartition(*cell, "chunk").sortWithinPartitions(*cell, "chunk", "probe")
+    dealt = cut.join(classes.select("id", "n", "vec"), "id").select(*cell, "chunk", "probe", "id", "n", "vec")
+    dealt = dealt.repartition(*cell, "chunk").sortWithinPartitions(*cell, "chunk", "probe")
     met = save(dealt.mapInArrow(_join(threshold), "id long, links long, peer long"), "met")
     links = met.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(met.filter("peer is not null").select(F.col("id").alias("src"), F.col("peer").alias("dst")))

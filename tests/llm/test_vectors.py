@@ -76,6 +76,13 @@ def test_hot_cell_in_chunks(spark, monkeypatch):
     check(spark, rows(cloud(400)))
 
 
+def test_many_dimensions_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(vector_dup, "CHUNK", 50)
+    x = np.random.default_rng(5).normal(size=(300, 80))
+    x[100:200] = x[7] + np.random.default_rng(6).normal(size=(100, 80)) * 0.27  # around the threshold
+    assert 100 < check(spark, [(i, [float(np.float32(c)) for c in v], i % 2 if i < 100 else 1) for i, v in enumerate(x)]) < 4900
+
+
 def test_no_vectors(spark):
     assert vector_dup.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
