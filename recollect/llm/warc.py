@@ -1,16 +1,20 @@
 """WARC archives: a writer in DataFrame operations and a Python data source that reads them back.
 
-Writing: a record is text (header, HTTP header, UTF-8 payload), so Spark's text writer with the line separator CRLF CRLF,
-which is how a WARC record ends, writes the archives to any store that Spark can write to.
+Writing: a record is text (header, HTTP header, UTF-8 payload). Plain archives are written by Spark's text writer with the
+line separator CRLF CRLF, which is how a WARC record ends. Gzipped ones are written by the data source: each record is a gzip
+member of its own, whose extra field "sl" tells its length.
 Reading: spark.read.format("warc").load(path). The source lists the files and packs them into partitions by size; it takes
 over filters on header fields (record type, ids, target, digest, length); a record's header is read first, and the
-payload of a record that the filters or payload=false leave out is skipped over, never decoded.
+payload of a record that the filters or payload=false leave out is skipped over, never decoded: in archives of such members
+its compressed bytes are skipped too. Gzipped archives of other writers are inflated whole.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -18,11 +22,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 CRLF = "\r\n"
 #: RFC 4648 base32 digits (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The first bytes of a gzip member with an extra field, and its fixed rest: no time, unknown system (RFC 1952, fixed values).
+MEMBER = b"\x1f\x8b\x08\x04"
+SL = struct.Struct("<H2sHII")  # length of the extra field, "sl", 8, bytes of the member, bytes of the record
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "date": "WARC-Date", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "content_type": "Content-Type"}
@@ -56,7 +63,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 10_000, compression: str = "none") -> None:
-    """Write the records of plan_records as WARC/1.1 files under path. Line breaks in a url are percent-encoded. compression: none or gzip."""
+    """Write the records of plan_records as WARC/1.1 files under path. Line breaks in a url are percent-encoded.
+
+    compression: none, or gzip, which makes each record a gzip member that readers can skip. A task's files get their
+    names when all tasks have ended, so a task that is run again leaves nothing twice.
+    """
+    if compression not in ("none", "gzip"):
+        raise ValueError("compression is none or gzip")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("record_type") == "revisit"
@@ -77,7 +90,100 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         F.lit(CRLF),
     )
     text = records.withColumn("_http", http).select(F.concat(head, F.col("_http"), F.when(revisit, F.lit("")).otherwise(F.col("body"))).alias("value"))
-    text.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    if compression == "none":
+        text.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    else:
+        records.sparkSession.dataSource.register(WarcSource)
+        text.write.format("warc").mode("append").option("recordsperfile", records_per_file).save(path)
+
+
+def gzip_member(record: bytes) -> bytes:
+    """record as a gzip member whose extra field tells the lengths of both."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = z.compress(record) + z.flush()
+    head = MEMBER + b"\0\0\0\0\0\xff"
+    return head + SL.pack(12, b"sl", 8, len(head) + SL.size + len(body) + 8, len(record)) + body + struct.pack("<II", zlib.crc32(record), len(record))
+
+
+def _member_length(raw: io.BufferedReader, at: int) -> int | None:
+    """Bytes of the member at a place, if it is one of gzip_member's kind."""
+    raw.seek(at)
+    head = raw.read(10 + SL.size)
+    if len(head) < 10 + SL.size or not head.startswith(MEMBER):
+        return None
+    extra, name, size, length, _ = SL.unpack(head[10:])
+    return length if (extra, name, size) == (12, b"sl", 8) and length > len(head) else None
+
+
+class _Member(io.RawIOBase):
+    """What a gzip member holds, inflated no further than it is read."""
+
+    def __init__(self, raw: io.BufferedReader, at: int, length: int):
+        raw.seek(at)
+        self.raw, self.left, self.given, self.z = raw, length, 0, zlib.decompressobj(16 + zlib.MAX_WBITS)
+
+    def readable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.given
+
+    def readinto(self, out) -> int:
+        while not self.z.eof:
+            data = self.z.unconsumed_tail
+            if not data:
+                data = self.raw.read(min(self.left, 4096))
+                self.left -= len(data)
+            plain = self.z.decompress(data, len(out))
+            if plain:
+                out[: len(plain)] = plain
+                self.given += len(plain)
+                return len(plain)
+            if not data and not self.z.eof:
+                raise EOFError("gzip member cut off")
+        return 0
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Texts of records to files of gzip members: hidden ones, which the commit gives their names."""
+
+    def __init__(self, options: dict):
+        self.path, self.most = options["path"], int(options.get("recordsperfile", 10_000))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, root = _store(self.path)
+        fs.create_dir(root, recursive=True)
+        names, out, held = [], None, 0
+        try:
+            for batch in iterator:
+                for value in batch.column(0):
+                    if out is None or held == self.most:
+                        if out is not None:
+                            out.close()
+                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                        out, held = fs.open_output_stream(f"{root}/.{names[-1]}", compression=None), 0
+                    out.write(gzip_member((value.as_py() or "").encode() + CRLF.encode() * 2))
+                    held += 1
+        finally:
+            if out is not None:
+                out.close()
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, root = _store(self.path)
+        fs.create_dir(root, recursive=True)
+        for name in (n for m in messages if m for n in m.names):
+            fs.move(f"{root}/.{name}", f"{root}/{name}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, root = _store(self.path)
+        for name in (n for m in messages if m for n in m.names):
+            fs.delete_file(f"{root}/.{name}")
 
 
 @dataclass
@@ -133,10 +239,7 @@ class WarcReader(DataSourceReader):
         held = 0
         for name in partition.names:
             with fs.open_input_file(name) as raw:
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 16)
-                while (record := self._next(stream, name, compare)) is not None:
-                    if not record:
-                        continue
+                for record in self._records(raw, name, compare):
                     for col, value in zip(rows, record):
                         col.append(value)
                     held += len(record[9] or b"") + 200
@@ -146,6 +249,41 @@ class WarcReader(DataSourceReader):
         if rows[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
+    def _records(self, raw, name: str, compare: dict) -> Iterator[tuple]:
+        """The records of a file that pass the tests."""
+        if name.endswith(".gz"):
+            end, members = raw.size(), io.BufferedReader(raw, 1 << 16)
+            if _member_length(members, 0):
+                yield from self._members(members, end, name, compare)
+                return
+            raw.seek(0)
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 16)
+        while (record := self._next(stream, name, compare)) is not None:
+            if record:
+                yield record
+
+    def _members(self, raw: io.BufferedReader, end: int, name: str, compare: dict) -> Iterator[tuple]:
+        """A record for each member; in permissive mode a broken one is passed over, and reading ends where no member begins."""
+        at = 0
+        while at < end:
+            record, length = (), _member_length(raw, at)
+            if length is None and not self.strict:
+                return
+            try:
+                if length is None or at + length > end:
+                    raise EOFError(f"no whole member at {at} of {name}")
+                stream = io.BufferedReader(_Member(raw, at, length), 4096)
+                record = self._record(stream, name, compare, at) or ()
+                if record and record[9] is not None and stream.read(5) != b"\r\n\r\n":
+                    raise ValueError(f"record of another length at {at} of {name}")
+            except (ValueError, EOFError, OSError, zlib.error):
+                if self.strict:
+                    raise
+                record = ()
+            if record:
+                yield record
+            at += length
+
     def _next(self, stream: io.BufferedReader, name: str, compare: dict) -> tuple | None:
         """As _record(); a broken record or archive raises, or, in permissive mode, is passed over up to the next record there is."""
         try:
@@ -162,12 +300,12 @@ class WarcReader(DataSourceReader):
             pass
         return None
 
-    def _record(self, stream: io.BufferedReader, name: str, compare: dict) -> tuple | None:
-        """The next record; () if the tests leave it out; None at the end of the file."""
-        offset = stream.tell()
+    def _record(self, stream: io.BufferedReader, name: str, compare: dict, base: int = 0) -> tuple | None:
+        """The next record; () if the tests leave it out; None at the end of the file. A member's rest needs no skipping."""
+        offset = base + stream.tell()
         first = stream.readline()
         while first in (b"\r\n", b"\n"):
-            offset = stream.tell()
+            offset = base + stream.tell()
             first = stream.readline()
         if not first:
             return None
@@ -181,7 +319,8 @@ class WarcReader(DataSourceReader):
         for field, test, value in self.tests:
             have = values[field]
             if have is None or test != "IsNotNull" and not compare[test](have, value):
-                stream.seek(length, io.SEEK_CUR)
+                if stream.seekable():
+                    stream.seek(length, io.SEEK_CUR)
                 return ()
         payload, size, begin = None, length, stream.tell()
         if (values["content_type"] or "").startswith("application/http"):
@@ -195,7 +334,7 @@ class WarcReader(DataSourceReader):
             payload = stream.read(length - used)
             if len(payload) < length - used:
                 raise EOFError(f"record cut off at {offset} of {name}")
-        else:
+        elif stream.seekable():
             stream.seek(length - used, io.SEEK_CUR)
         return (*values.values(), size, payload, name, offset)
 
@@ -228,6 +367,9 @@ class WarcSource(DataSource):
     def reader(self, schema) -> WarcReader:
         return WarcReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(dict(self.options))
+
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, mode: str = "failfast") -> DataFrame:
     """The records under path. Filters on header columns are pushed into the source; payload=False leaves payloads null.

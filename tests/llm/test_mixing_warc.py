@@ -94,6 +94,47 @@ def test_gzip_members(spark, archive, tmp_path):
     assert both[0] == both[1]
 
 
+def records(spark, path, **options):
+    return {(r["record_id"], r["payload_digest"], bytes(r["payload"] or b"")) for r in warc.read_warc(spark, path, **options).collect()}
+
+
+def test_a_member_for_each_record(spark, archive, tmp_path, monkeypatch):
+    import glob
+    import gzip
+
+    path, inflated = f"{tmp_path}/z", []
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    warc.write_warc(warc.plan_records(df), path, records_per_file=5, compression="gzip")
+    assert records(spark, path) == records(spark, archive)
+    files = sorted(glob.glob(path + "/part-*.warc.gz"))
+    assert sum(gzip.open(f).read().count(b"WARC/1.1\r\nWARC-Type: re") for f in files) == len(PAGES)  # any reader of gzip reads them
+    once = warc._Member.readinto
+    monkeypatch.setattr(warc._Member, "readinto", lambda self, out: (inflated.append(once(self, out)), inflated[-1])[1])
+    reader = warc.WarcReader({"path": path})
+    assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")])) == []
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 4
+    assert sum(inflated) < 4096 * len(PAGES)  # of over 300 000 bytes
+    empty = f"{tmp_path}/none"
+    warc.write_warc(warc.plan_records(df.limit(0)), empty, compression="gzip")
+    assert records(spark, empty) == set()
+
+
+def test_broken_members(spark, archive, tmp_path):
+    parts = [warc.gzip_member(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {i}\r\nContent-Length: 9\r\n\r\npayload {i}\r\n\r\n".encode()) for i in range(3)]
+    hurt = bytearray(parts[1])
+    hurt[-6] ^= 1  # its checksum
+    cases = {"a": parts[0] + bytes(hurt) + parts[2], "b": parts[0] + parts[1] + parts[2][:-9], "c": parts[0] + b"noise" + parts[2], "d": b"".join(parts)}
+    for name, data in cases.items():
+        path = f"{tmp_path}/{name}.warc.gz"
+        with open(path, "wb") as f:
+            f.write(data)
+        got = {r for r, *_ in records(spark, path, mode="permissive")}
+        assert got == {"a": {"0", "2"}, "b": {"0", "1"}, "c": {"0"}, "d": {"0", "1", "2"}}[name]
+        if name != "d":
+            with pytest.raises(Exception):
+                records(spark, path)
+
+
 def test_small_payloads_are_never_revisits(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert {r["record_type"] for r in warc.plan_records(df, min_bytes=5).collect()} == {"response"}
