@@ -37,13 +37,10 @@ SCHEMA = "record_type string, record_id string, date string, target_uri string,
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of a binary column."""
-    digest = F.sha1(payload)
-    digits = []
-    for i in range(4):  # 40 bits at a time
-        part = F.conv(F.substring(digest, 10 * i + 1, 10), 16, 10).cast("long")
-        digits += [F.substring(F.lit(BASE32), F.shiftright(part, 5 * (7 - j)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for j in range(8)]
-    return F.concat(*digits)
+    """Bare upper-case base32 SHA-1 of a binary column: 40 bits at a time, whose digits to the base of 32 are renamed."""
+    part = lambda h, i: F.lpad(F.conv(F.substring(h, 10 * i + 1, 10), 16, 32), 8, "0")
+    digits = F.transform(F.array(F.sha1(payload)), lambda h: F.concat(*(part(h, i) for i in range(4))))  # the hash is taken once
+    return F.translate(digits.getItem(0), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -228,7 +225,7 @@ class WarcReader(DataSourceReader):
                 names, size = [], 0
             names.append(x.path)
             size += x.size
-        return [*out, *([Files(names)] if names else [])]
+        return [*out, Files(names)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = _store(self.path)
