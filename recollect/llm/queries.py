@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, tokens, vector_dup, warc
+from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, sentence_pieces, tokens, vector_dup, warc
 from recollect.llm._common import fold, save, shared_dir
 
 
@@ -81,6 +81,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_pieces.encoded(table(spark, sf_dir, "documents"))
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_warc": op2_warc,
@@ -92,6 +98,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
+    "op12_sentence_pieces": op12_sentence_pieces,
 }
 
 OP4_SQL = """
