@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, sentence_pieces, tokens, vector_dup, warc
+from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, sentence_pieces, tokens, vector_dup, warc, whitening
 from recollect.llm._common import fold, save, shared_dir
 
 
@@ -81,6 +81,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings")).select("*", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")), "whitened", "explained")).alias("c"))
+    return out.select("vec_id", F.col("c.0").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentence_pieces.encoded(table(spark, sf_dir, "documents"))
     listed = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
@@ -98,6 +103,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
+    "op11_whitening": op11_whitening,
     "op12_sentence_pieces": op12_sentence_pieces,
 }
 
