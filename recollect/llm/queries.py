@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, sentence_pieces, tokens, vector_dup, warc, whitening
+from recollect.llm import ann, langid, lm, mixing, near_dup, packing, quality, repair, sentence_pieces, tokens, vector_dup, warc, whitening
 from recollect.llm._common import fold, save, shared_dir
 
 
@@ -92,6 +92,10 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations")).drop("rows")
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_warc": op2_warc,
@@ -105,6 +109,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op11_whitening": op11_whitening,
     "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 OP4_SQL = """
