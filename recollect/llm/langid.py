@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import _text as T
-from recollect.llm._common import fold, numbered
+from recollect.llm._common import bounded_sample, fold, numbered
 
 BUCKETS, GRAMS, SWITCH = 1 << 15, 4, 6.0
 #: Letters of a word that count for its score at most.
@@ -137,15 +137,18 @@ def _floor(logp: np.ndarray, texts: list[str]) -> float:
     return float(mean[order][np.searchsorted(below, BELOW_FLOOR * below[-1], "right")]) if len(mean) else 0.0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample_rows: int = 400) -> Model:
-    """Fit on at most sample_rows documents of each language, picked by a hash of the id. Rows with a null id, text or language aren't used."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample_rows: int = 400, sample_bytes: int = 64 << 20) -> Model:
+    """Fit on at most sample_rows documents of each language, and sample_bytes in all, picked by a hash of the id. Of rows that
+    repeat an id and language the least text counts. Rows with a null id, text or language aren't used."""
     learn = fold(id_col, 5) != 0 if learn is None else learn
-    some = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & learn).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_g"), F.xxhash64(F.col(id_col), F.lit(23)).alias("_h"))
-    part = F.row_number().over(Window.partitionBy("_g", F.pmod("_h", F.lit(64))).orderBy("_h", "_id"))
-    near = some.withColumn("_p", part).filter(F.col("_p") <= sample_rows)  # 64 parts of a language, each cut first
-    picked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h", "_id"))).filter(F.col("_r") <= sample_rows).select(F.col("_id"), "_g").distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(picked), "_id").select("_id", "_g", "_t").collect()
-    return fit([(r["_g"], r["_t"]) for r in sorted(rows, key=lambda r: (r["_g"], r["_id"], r["_t"] or "")) if r["_t"] is not None])
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & learn)
+    some = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("g"), F.xxhash64(F.col(id_col), F.lit(23)).alias("draw")).distinct()
+    part = F.row_number().over(Window.partitionBy("g", F.pmod("draw", F.lit(64))).orderBy("draw", "id"))
+    near = some.withColumn("p", part).filter(F.col("p") <= sample_rows)  # 64 parts of a language, each cut first
+    picked = near.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("draw", "id"))).filter(F.col("r") <= sample_rows).select("id", "g", "draw")
+    found = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("g"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), ["id", "g"])  # sample_rows for each language
+    sample = bounded_sample(found.groupBy("id", "g", "draw").agg(F.min("t").alias("t")), sample_bytes)
+    return fit([(r["g"], r["t"]) for r in sorted(sample, key=lambda r: (r["g"], r["id"], r["t"]))])
 
 
 def word_scores(model: Model, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, count: np.ndarray, script: np.ndarray) -> np.ndarray:
@@ -181,9 +184,10 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     active = np.searchsorted(-n[order], -np.arange(longest), "left")  # documents longer than t
     langs = scores.shape[1]
     best = np.zeros((len(n), langs), np.float32)
-    came = np.empty((len(scores), langs), np.uint8)
+    small = np.uint8 if langs <= 1 << 8 else np.uint16 if langs <= 1 << 16 else np.uint32
+    came = np.empty((len(scores), langs), small)
     out = np.empty(len(scores), np.int64)
-    each, number = np.arange(langs, dtype=np.uint8), np.arange(len(n))
+    each, number = np.arange(langs, dtype=small), np.arange(len(n))
     for t in range(longest):
         k = active[t]
         rows = first[:k] + t

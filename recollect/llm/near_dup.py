@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 full = np.concatenate([begin, at[-1:]])
                 if some.any():
                     mins = samples(sh, full, BANDS * ROWS)
-                    fp = np.stack([np.add.reduceat(T.mix(sh), begin), np.add.reduceat(T.mix(sh ^ _A[0]), begin)], axis=1)
+                    fp = fingerprints(sh, begin)
                     keys = band_keys(mins).view(np.int64)
                 rank = np.cumsum(some) - 1
                 yield pa.RecordBatch.from_arrays(
@@ -114,17 +114,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, shingles (binary: sorted 64-bit hashes)."""
+def fingerprints(sh: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """128 bits of each non-empty set."""
+    return np.stack([np.add.reduceat(T.mix(sh), begin), np.add.reduceat(T.mix(sh ^ _A[0]), begin)], axis=1)
+
+
+def full_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """fp, shingles (binary: sorted 64-bit hashes) of each row with a non-empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = T.texts(b.column(1))
-            for i, j, part, off in T.pieces(data, offsets):
+            data, offsets = T.texts(b.column(0))
+            for _, _, part, off in T.pieces(data, offsets):
                 sh, at = shingle_sets(part, off, words)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([sh[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "shingles"])
+                some = np.flatnonzero(np.diff(at))
+                if len(some):
+                    fp = [x.tobytes() for x in fingerprints(sh, at[some])]
+                    yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array([sh[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())], names=["fp", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp binary, shingles binary")
 
 
 def odd_sketches(sets: DataFrame) -> DataFrame:
@@ -226,18 +234,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Links join documents whose sets of lower-cased (A-Z) word shingles have 100 * intersection >= percent * union;
     component_id is the smallest doc_id reachable; kept marks it. A document of fewer words has one shingle, its whole
     sequence; one without text or words has no shingle and links with nothing. Repeated rows are returned each; rows
-    with a null id are returned in a class of their own (null). Equal sets count as one until the end, so exact copies
+    with a null id are returned in a class of their own (null). Where an id repeats with other texts, each row is linked by
+    its own text, whatever the order of rows. Equal sets count as one until the end, so exact copies
     add no comparisons. Other columns are ignored; an empty table gives no rows.
     """
-    sig = save(signatures(docs, id_col, text_col, words), "signatures")
+    sig = save(signatures(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = sig.filter("fp is not null and doc_id is not null")
-    classes = save(some.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
+    classes = some.groupBy("fp").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    classes = save(classes, "classes")  # a class is known by a row of its own, as ids may repeat
     banded = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "node")
     smallest = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = save(banded.join(smallest, "bucket"), "members")
     pairs = save(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     meeting = save(members.select("node").distinct(), "meeting")
-    sets = save(full_sets(docs.join(meeting.withColumnRenamed("node", id_col), id_col, "left_semi").select(id_col, text_col).dropDuplicates([id_col]), id_col, text_col, words), "sets")
+    need = classes.join(meeting, "node", "left_semi").select("fp", "node", "doc")
+    held = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).join(need.select("doc").distinct(), "doc", "left_semi")
+    sets = full_sets(held, "t", words).dropDuplicates(["fp"]).join(need.select("fp", F.col("node").alias("doc_id")), "fp").drop("fp")
+    sets = save(sets, "sets")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("band").alias("band")).groupBy("n", "h").agg(F.min_by("bucket", "band").alias("bucket"))  # of buckets of the same members, the first band's
     members = save(members.join(buckets.select("bucket"), "bucket", "left_semi").select("bucket", "band", "node"), "members")
     links, labels, seen, sketches = save(confirm(pairs, sets, percent), "links"), None, pairs, None
@@ -259,7 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             more = save(confirm(pairs, sets, percent), "links")
             links = links.unionByName(more)
         labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("node", "component")
-    named = classes.select("fp", "node").join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = classes.select("fp", "node", "doc").join(labels, "node", "left").withColumn("top", F.coalesce("component", "node"))
+    least = named.groupBy("top").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "top").select("fp", "component_id")
     out = sig.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.llm._common import numbered
+
 
 def _price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of the largest total dual that fits the capacity (unbounded knapsack)."""
@@ -143,31 +145,35 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pack(pieces: DataFrame, size: int = 1024, grain: int = 4, keys: tuple[str, ...] = ("doc_id", "start"), length_col: str = "length", salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, grain: int = 4, keys: tuple[str, ...] = ("doc_id", "start"), length_col: str = "length", salt_rows: int = 100_000) -> DataFrame:
     """Adds sequence_id (from 0, without gaps) and offset (of the piece in its sequence, gapless from 0) to each piece.
 
     pieces is read three times: pass a saved table. Lengths are classed by grain, rounded up, so a piece wastes less
-    than grain ids against the ideal. A class is ranked in salts parts, so one very frequent length is no single task.
-    A piece whose length is null, below 1 or above size gets nulls. Repeated rows each get a place of their own;
-    an empty table gives no rows; all columns pass through.
+    than grain ids against the ideal. A class is ranked in parts of about salt_rows rows, so one very frequent length is no
+    single task. A piece whose length is null, below 1 or above size gets nulls. Repeated rows each get a place of their own;
+    an empty table gives no rows; columns of the two added names are replaced, all others pass through under any name.
     """
     spark, units = pieces.sparkSession, size // grain
-    length = F.col(length_col)
-    classed = pieces.withColumn("_class", F.when((length >= 1) & (length <= size), F.ceil(length / grain).cast("int"))).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
-    per_salt = classed.filter("_class is not null").groupBy("_class", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r["_class"]: r["_n"] for r in per_salt.groupBy("_class").agg(F.sum("_n").alias("_n")).collect()}  # at most size / grain rows
-    table = spark.createDataFrame(slots(cutting_stock(histogram, units)), "_class int, _lo long, _hi long, _many long, _first long")
-    before = per_salt.select("_class", "_salt", (F.sum("_n").over(Window.partitionBy("_class").orderBy("_salt")) - F.col("_n")).alias("_before"))  # classes x salts rows
-    local = F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(*keys)) - 1
-    ranked = classed.withColumn("_local", local).join(F.broadcast(before), ["_class", "_salt"], "left").withColumn("_rank", F.col("_before") + F.col("_local"))
-    ranked = ranked.withColumnRenamed("_class", "_own")
-    placed = ranked.join(F.broadcast(table), (F.col("_own") == F.col("_class")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")), "left")
-    place = F.col("_rank") - F.col("_lo")
-    placed = placed.withColumn("sequence_id", F.col("_first") + F.expr("(_rank - _lo) div _many")).withColumn("_slot", place % F.col("_many"))
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("_own"), "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    good = placed.filter("sequence_id is not null").withColumn("offset", F.coalesce(F.sum(length_col).over(inside), F.lit(0)).cast("long"))
-    bad = placed.filter("sequence_id is null").withColumn("offset", F.lit(None).cast("long"))
-    return good.unionByName(bad).select(*pieces.columns, "sequence_id", "offset")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    flat, at = numbered(pieces.select(*(F.col(f"`{c}`") for c in names))), {c: f"`{k}`" for k, c in enumerate(names)}
+    length = F.col(at[length_col])
+    kind = F.when((length >= 1) & (length <= size), F.ceil(length / grain).cast("int"))
+    classed = flat.select(F.struct("*").alias("row"), kind.alias("class"), length.cast("long").alias("ids"), *(F.col(at[k]).alias(f"k{i}") for i, k in enumerate(keys)))
+    order = [f"k{i}" for i in range(len(keys))]
+    histogram = {r["class"]: r["n"] for r in classed.filter("class is not null").groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most size / grain rows
+    salts = F.array(*(F.lit(max(1, -(-histogram.get(c, 0) // salt_rows))) for c in range(1, units + 2)))
+    classed = classed.withColumn("salt", F.pmod(F.xxhash64(*order), F.element_at(salts, F.coalesce("class", F.lit(1)))).cast("int"))
+    table = spark.createDataFrame(slots(cutting_stock(histogram, units)), "own int, lo long, hi long, many long, first long")
+    per_salt = classed.filter("class is not null").groupBy("class", "salt").agg(F.count("*").alias("n"))
+    before = per_salt.select("class", "salt", (F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).alias("before"))
+    local = F.row_number().over(Window.partitionBy("class", "salt").orderBy(*order)) - 1
+    ranked = classed.filter("class is not null").withColumn("local", local).join(before, ["class", "salt"]).select("row", "class", "ids", (F.col("before") + F.col("local")).alias("rank"))
+    placed = ranked.join(F.broadcast(table), (F.col("own") == F.col("class")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))  # slots: patterns x classes
+    placed = placed.withColumn("sequence_id", F.col("first") + F.expr("(rank - lo) div many")).withColumn("slot", (F.col("rank") - F.col("lo")) % F.col("many"))
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "slot").rowsBetween(Window.unboundedPreceding, -1)
+    good = placed.select("row", "sequence_id", F.coalesce(F.sum("ids").over(inside), F.lit(0)).cast("long").alias("offset"))
+    bad = classed.filter("class is null").select("row", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    return good.unionByName(bad).select(*(F.col("row").getField(str(k)).alias(c) for k, c in enumerate(names)), "sequence_id", "offset")
 
 
 def padded_length(used: int, size: int = 1024) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import _text as T
-from recollect.llm._common import fold, numbered
+from recollect.llm._common import bounded_sample, fold, numbered
 
 WIDTH, FILTERS, CHUNK = 4, 12, 256
 
@@ -35,13 +35,25 @@ class Network:
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One logit for each document; an empty one gets the offset alone."""
-        pooled, _, doc, share, size = pool(self.table, data, offsets)
+        pooled, _, doc, share, size = pool(self.table, *filled(data, offsets))
         hidden = np.maximum(pooled + self.bias + size[:, None] * self.slope, 0)
         return np.bincount(doc, share * (hidden @ self.weight), minlength=len(offsets) - 1) + self.offset
 
 
+def filled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with those of fewer than WIDTH bytes filled up with zeros, so that none sees its neighbour."""
+    n = np.diff(offsets)
+    short = (n > 0) & (n < WIDTH)
+    if not short.any():
+        return data, offsets
+    ends = np.concatenate([[0], np.cumsum(np.where(short, WIDTH, n))])
+    out = np.zeros(ends[-1], np.uint8)
+    out[np.arange(len(data)) + np.repeat(ends[:-1] - offsets[:-1], n)] = data
+    return out, ends
+
+
 def chunks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where chunks of windows begin, how many windows each has, and the document of each. A text below WIDTH bytes has one window, padded."""
+    """Where chunks of windows begin, how many windows each has, and the document of each. Texts are filled(): none has fewer than WIDTH bytes."""
     n = np.diff(offsets)
     windows = np.where(n > 0, np.maximum(n - WIDTH + 1, 1), 0)
     count = -(-windows // CHUNK)
@@ -102,7 +114,7 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 8, batch: int = 32, rate: f
             pick = order[lo : lo + batch]
             texts = [part(rows[i][0], rng) for i in pick]
             data = np.frombuffer(b"".join(texts), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            data, offsets = filled(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
             pooled, at, doc, share, size = pool(net.table, data, offsets, where=True)
             hidden = np.maximum(pooled + net.bias + size[:, None] * net.slope, 0)
             z = np.bincount(doc, share * (hidden @ net.weight), minlength=len(pick)) + params[3][0]
@@ -121,21 +133,21 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 8, batch: int = 32, rate: f
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, sample_rows: int = 2000) -> Network:
-    """Fit on at most sample_rows labelled documents, half of each label where there are enough, picked by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, sample_rows: int = 2000, sample_bytes: int = 64 << 20) -> Network:
+    """Fit on at most sample_rows labelled documents of at most sample_bytes in all, half of each label where there are enough, picked by a hash of the id.
 
-    Rows with a null id, text or label, and those that learn leaves out, are not used.
+    Of rows that repeat an id the least text counts. Rows with a null id, text or label, and those that learn leaves out, are not used.
     """
     learn = fold(id_col, 5) != 0 if learn is None else learn
-    marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & learn)
     draw = F.xxhash64(F.col(id_col), F.lit(11))
+    marks = labels.filter(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), draw.alias("draw")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
     picked = None
     for y in (0, 1):  # each a top-k of sample_rows / 2
-        some = marks.filter(F.col("_y") == y).orderBy(draw, id_col).limit(sample_rows // 2)
+        some = marks.filter(F.col("y") == y).orderBy("draw", "id").limit(sample_rows // 2)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_t")).filter("_t is not null").join(F.broadcast(picked), id_col).select(id_col, "_t", "_y").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return fit([(r["_t"].encode(), r["_y"]) for r in rows])
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("t is not null").join(F.broadcast(picked), "id")
+    rows = bounded_sample(found.groupBy("id", "y", "draw").agg(F.min("t").alias("t")), sample_bytes)
+    return fit([(r["t"].encode(), r["y"]) for r in rows])
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:

@@ -118,9 +118,13 @@ WITH RECURSIVE d AS (
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':1'), 1, 15))::BIGINT AS order_key
   FROM documents),
 s AS (SELECT source, sum(n_tokens)::DOUBLE AS own FROM d GROUP BY source HAVING sum(n_tokens) > 0),
-p AS (SELECT source, own, own / (SELECT sum(own) FROM s) AS p FROM s),
+p AS (SELECT source, own, own / (SELECT max(own) FROM s) AS p FROM s),
+u AS (
+  SELECT 4.0::DOUBLE AS hi
+  UNION ALL
+  SELECT hi * 2 FROM u WHERE hi < 1048576 AND (SELECT ln(sum(pow(p, u.hi))) - u.hi * sum(pow(p, u.hi) * ln(p)) / sum(pow(p, u.hi)) FROM p) > 0.95 * ln((SELECT count(*) FROM p))),
 h AS (
-  SELECT 0 AS i, 0.0::DOUBLE AS lo, 4.0::DOUBLE AS hi
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, (SELECT max(hi) FROM u) AS hi
   UNION ALL
   SELECT i + 1, CASE WHEN e > t THEN (lo + hi) / 2 ELSE lo END, CASE WHEN e > t THEN hi ELSE (lo + hi) / 2 END
   FROM (SELECT h.i, h.lo, h.hi, 0.95 * ln((SELECT count(*) FROM p)) AS t,

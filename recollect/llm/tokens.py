@@ -11,6 +11,7 @@ it is ordinary text.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 RULES = ("start", "end", "most")
 #: The one added token of the vocabulary, and its id.
 END_MARK, END_MARK_ID = "<|endoftext|>", 50256
+#: Runs of so many white-space characters (Unicode's White_Space, fixed values) are encoded apart.
+LONG_RUN = 50_000
+_RUNS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def default_vocabulary() -> str:
@@ -40,8 +44,24 @@ def encoder(path: str) -> tuple:
     lengths = np.zeros(max(*ranks.values(), END_MARK_ID) + 1, np.int64)
     for piece, i in [*ranks.items(), (END_MARK, END_MARK_ID)]:
         lengths[i] = len(piece)
-    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return enc.encode_ordinary, lengths
+    words, whole = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (public_tokenizers.PATTERN, r"[\s\S]+"))
+    return lambda text: encode_runs(words, whole, text), lengths
+
+
+def encode_runs(words: Callable[[str], list[int]], whole: Callable[[str], list[int]], text: str) -> list[int]:
+    """As words(text), whose search for blanks before a word overflows its stack on very long runs of them.
+
+    Such a run is one piece of its own, up to its last blank where a word follows, so whole() encodes it and words() the rest.
+    """
+    if len(text) < LONG_RUN:
+        return words(text)
+    out, at = [], 0
+    for run in _RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += words(text[at : run.start()])
+        out += whole(text[run.start() : end])
+        at = end
+    return out + words(text[at:])
 
 
 def encode_marked(encode: Callable[[str], list[int]], text: str) -> list[int]:

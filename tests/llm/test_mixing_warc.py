@@ -30,6 +30,31 @@ def test_entropy_target_and_budget(spark):
         assert [r["copies"] for r in order] == sorted((r["copies"] for r in order), reverse=True)
 
 
+def test_targets_that_need_a_large_exponent(spark):
+    import duckdb
+
+    from recollect.llm.queries import OP4_SQL
+
+    rows = [(i, f"s{i % 4}", "w " * (26 if i % 4 == 0 else 24 if i % 4 == 3 else 25)) for i in range(40)]
+    got = {r["source"]: r["weight"] for r in mixing.copies(spark.createDataFrame(rows, "doc_id long, source string, text string"), entropy_share=0.95).collect()}
+    assert abs(-sum(w * math.log(w) for w in got.values()) - 0.95 * math.log(4)) < 1e-4
+    documents = duckdb.connect()
+    documents.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    documents.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    sql = {r[1]: r[3] for r in documents.execute(OP4_SQL).fetchall()}
+    assert all(abs(sql[s] - w) < 2e-6 for s, w in got.items())
+    even = mixing.copies(spark.createDataFrame([(i, f"s{i % 4}", "w") for i in range(8)], "doc_id long, source string, text string"), entropy_share=0.95).collect()
+    assert {(r["weight"], r["copies"]) for r in even} == {(0.25, 1)}
+
+
+def test_other_columns_of_any_name_stay(spark):
+    names = ["_s", "_b", "_full", "_own", "_upto", "p", "q", "0", "7", "a.b"]
+    df = spark.createDataFrame([(i, "x" if i % 3 else "y", "w " * i, *(f"{c} {i}" for c in names)) for i in range(20)], "doc_id long, source string, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = mixing.copies(df)
+    assert got.columns == ["doc_id", "source", "text", *names, "n_tokens", "weight", "copies", "order_key"] and got.count() == 20
+    assert all(r[c] == f"{c} {r['doc_id']}" for r in got.collect() for c in names)
+
+
 def test_repetition_limit_keeps_every_document(spark):
     got = mixing.copies(corpus(spark), entropy_share=None, max_repeats=2.0, whole_epoch=True).collect()
     assert all(r["copies"] >= 1 for r in got if r["source"] != "empty") and max(r["copies"] for r in got) == 2

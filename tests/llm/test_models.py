@@ -58,6 +58,75 @@ def test_language_keeps_other_columns(spark, docs):
     assert got.columns == ["doc_id", "text", "_text", "lang_pred", "score"] and {r["_text"] for r in got.collect()} == {"x"}
 
 
+def test_samples_are_bounded_where_an_id_repeats(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.append(rows))
+    monkeypatch.setattr(langid, "fit", lambda rows: seen.append(rows))
+    many = docs.unionByName(spark.range(20_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("z "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("quality")))
+    quality.train(many.drop("quality"), many.select("doc_id", "quality"))
+    langid.train(many)
+    learned = sum(not held(i) for i, *_ in corpus())
+    assert learned <= len(seen[0]) <= learned + 2 and learned <= len(seen[1]) <= learned + 6
+    quality.train(many.drop("quality"), many.select("doc_id", "quality"), sample_bytes=2000)
+    langid.train(many, sample_bytes=2000)
+    assert 0 < sum(len(t) for t, _ in seen[2]) <= 2000 and 0 < sum(len(t.encode()) for _, t in seen[3]) <= 2000
+
+
+def sigmoid_of_chunks(net, text):
+    """The network's probability in plain Python."""
+    windows = max(len(text) - quality.WIDTH + 1, 1) if text else 0
+    padded, logit = text + bytes(quality.WIDTH), net.offset
+    for begin in range(0, windows, quality.CHUNK):
+        size = min(windows - begin, quality.CHUNK)
+        small = math.log2(size) / math.log2(quality.CHUNK) - 1
+        z = 0.0
+        for f in range(quality.FILTERS):
+            top = max(sum(float(net.table[j, padded[w + j], f]) for j in range(quality.WIDTH)) for w in range(begin, begin + size))
+            z += max(top + float(net.bias[f]) + small * float(net.slope[f]), 0) * float(net.weight[f])
+        logit += z * size / windows
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_quality_probability_against_plain_python(spark, docs):
+    net = quality.train(docs.drop("quality"), docs.select("doc_id", "quality"))
+    texts = ["", "a", "abc", "the of and", "THE!! OF!! " * 40, "é🙂 " * 200, "plain " * 150]
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net)
+    for r in got.collect():
+        assert abs(r["score"] - sigmoid_of_chunks(net, texts[r["doc_id"]].encode())) < 1e-4
+
+
+def test_word_scores_and_label_against_plain_python(spark, docs):
+    from recollect.llm import _text as T
+
+    m = langid.train(docs)
+    text = "the niño это Other de этот 12 x"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, bounds = T.word_spans(data, np.array([0, len(data)]))
+    low = T.LOWER[data]
+    count, script = langid.letters(data, starts, ends)
+    got = langid.word_scores(m, low, starts, ends, T.span_hashes(low, starts, ends), count, script)
+    for w, word in enumerate(text.split()):
+        n = sum(c.isalpha() for c in word)
+        bucket, _ = langid._grams(low[starts[w] : ends[w]], np.array([0]), np.array([ends[w] - starts[w]]))
+        kind = {"Other": 0, "the": 0, "niño": 0, "de": 0, "x": 0, "это": 2, "этот": 2}.get(word, -1)
+        seen = [k for k in range(len(m.langs)) if kind >= 0 and m.scripts[kind, k]]
+        for k in range(len(m.langs)):
+            want = sum(float(m.logp[b, k]) for b in bucket) / len(bucket) * min(n, langid.LETTERS) - (50 if seen and k not in seen else 0) if n else 0.0
+            assert abs(got[w, k] - want) < 1e-3
+    label = langid.viterbi(got, bounds)
+    letters = Counter()
+    for k, n in zip(label, count):
+        letters[m.langs[k]] += int(n)
+    [r] = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), m, spans=False).collect()
+    assert r["lang_pred"] == letters.most_common(1)[0][0] and abs(r["score"] - max(letters.values()) / sum(letters.values())) < 1e-9
+
+
+def test_three_hundred_languages():
+    scores = np.zeros((4, 300), np.float32)
+    scores[:, 299] = 50
+    assert langid.viterbi(scores, np.array([0, 4])).tolist() == [299] * 4
+
+
 def test_quality_sees_the_whole_text(spark):
     rows = [(b"plain words here " * 5, 1), (b"plain words here " * 5 + b"%%%%%%%%", 0)] * 20
     net = quality.fit(rows)

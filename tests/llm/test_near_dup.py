@@ -53,6 +53,18 @@ def test_nulls_repeats_and_empty(spark):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, None), (2, 0, 2, True), (3, 0, 3, True)], key=str)
 
 
+def test_repeated_ids_with_other_texts_in_any_order(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (2, b), (1, a)]
+    want = None
+    for turn in range(4):
+        random.Random(turn).shuffle(rows)
+        got = sorted(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()))
+        want = want or got
+        assert got == want
+    assert {r[2] for r in want} == {1}
+
+
 @pytest.mark.parametrize("share", [0.6, 0.75, 0.9])
 def test_sketch_estimates(share):
     rng = np.random.default_rng(1)

@@ -31,6 +31,29 @@ def test_pieces_hold_the_tokenizer_ids(spark, reference):
         assert at == len(want)
 
 
+@pytest.mark.parametrize("char", [" ", "\n", "\u2003", " \n", "a", "7", "!"])
+def test_runs_of_two_million_characters(reference, char):
+    encode, _ = tokens.encoder(tokens.default_vocabulary())
+    run = char * (2_000_000 // len(char))
+    for text in (run, f"a b{run}x  y", f"{run} x{run[:60_000]}", f"x{run[:49_999]}y{run[:50_000]}z"):
+        assert encode(text) == reference(text)
+
+
+def test_other_columns_pass_through_packing(spark):
+    names = ["_own", "_lo", "_class", "_salt", "row", "class", "rank", "first", "many", "0", "k0", "a.b", "ids"]
+    df = spark.createDataFrame([(i, s, 1 + (i * 37) % 1024, 9, 9, *(f"{c} {i}" for c in names)) for i in range(50) for s in (0, 1)], "doc_id long, start long, length long, offset int, sequence_id int, " + ", ".join(f"`{c}` string" for c in names))
+    got = packing.pack(df, salt_rows=3)
+    assert got.columns == ["doc_id", "start", "length", *names, "sequence_id", "offset"] and got.count() == 100
+    places = {}
+    for r in got.collect():
+        assert all(r[c] == f"{c} {r['doc_id']}" for c in names)
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(p)])]
+        assert [o for o, _ in sorted(p)] == ends[:-1] and ends[-1] <= 1024
+    assert set(places) == set(range(len(places)))
+
+
 def test_packed_rows(spark, reference):
     rng = np.random.default_rng(0)
     texts = TEXTS + [" ".join(rng.choice(["alpha", "beta", "gamma"], rng.integers(1, 900))) for _ in range(120)] + [""] * 60
