@@ -74,12 +74,14 @@ _INDEXED: dict[tuple, lexical.Index] = {}
 
 
 def index(spark: SparkSession, sf: str) -> lexical.Index:
-    """The inverted index of documents, written to the shared folder by a session's first search of these files."""
+    """The inverted index of documents, written to the shared folder by a session's first search of these files as they are now."""
     import uuid
 
     from recollect.functions.shared import shared_dir
 
-    key = (spark.sparkContext.applicationId, *sorted(table(spark, sf, "documents").inputFiles()))
+    docs = table(spark, sf, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files)))
     if key not in _INDEXED:
         _INDEXED[key] = lexical.write_index(chunks(spark, sf), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", ("workspace_id",))
     return _INDEXED[key]
@@ -340,14 +342,59 @@ def chunk_stats(spark, sf):
     return ingest.windows(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("tokens"), F.min("n_tokens").alias("shortest"), F.max("n_tokens").alias("longest"))
 
 
-@query()
+SENTENCES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+')) AS t, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+'), 1) AS i FROM documents),
+b AS (SELECT doc_id, i, octet_length(encode(t))::BIGINT AS bytes, octet_length(encode(regexp_replace(t, '^[ \t\n\x0b\f\r]+', '')))::BIGINT AS own,
+        regexp_matches(t, '[.!?]$') AS dot, lead(regexp_matches(t, '^[ \t\x0b\f\r]*\n')) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM w),
+s AS (SELECT *, dot OR coalesce(line, true) AS ends, sum(bytes) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM b),
+g AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY i) AS k FROM g),
+p AS (SELECT doc_id, i AS e, upto AS e_byte, (k - 1) % 30 + 1 < 30 OR dot AS whole, i - (k - 1) % 30 - 1 AS s FROM n WHERE ends OR k % 30 = 0),
+q AS (SELECT p.*, upto - own AS s_byte FROM p JOIN s ON s.doc_id IS NOT DISTINCT FROM p.doc_id AND s.i = p.s + 1),
+c AS (
+  SELECT doc_id, 0 AS ordinal, 0::BIGINT AS o, min(e) FILTER (e >= 270) AS full_at, max(e) AS top, max(e) FILTER (whole AND e >= 256 AND e <= f) AS mark
+  FROM (SELECT *, min(e) FILTER (e >= 270) OVER (PARTITION BY doc_id) AS f FROM q) GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, ordinal + 1, o2, min(e) FILTER (e - o2 >= 270), max(e), max(e) FILTER (whole AND e - o2 >= 256 AND e <= f)
+  FROM (SELECT d.doc_id, d.ordinal, q.e, q.whole, d.o2, min(q.e) FILTER (q.e - d.o2 >= 270) OVER (PARTITION BY d.doc_id) AS f
+        FROM (SELECT c.doc_id, c.ordinal, coalesce(c.mark, c.full_at) AS cut, min(q.s) AS o2 FROM c JOIN q ON q.doc_id IS NOT DISTINCT FROM c.doc_id AND q.s >= coalesce(c.mark, c.full_at) - 35
+              WHERE c.full_at IS NOT NULL AND coalesce(c.mark, c.full_at) < c.top GROUP BY ALL) d
+        JOIN q ON q.doc_id IS NOT DISTINCT FROM d.doc_id AND q.s >= d.o2) x
+  GROUP BY doc_id, ordinal, o2)
+SELECT c.doc_id, c.ordinal::INT AS ordinal, (coalesce(c.mark, c.full_at, c.top) - c.o)::INT AS n_tokens, a.s_byte::INT AS start, z.e_byte::INT AS "end",
+       md5(decode(encode(d.text)[a.s_byte + 1 : z.e_byte])) AS digest
+FROM c JOIN q a ON a.doc_id IS NOT DISTINCT FROM c.doc_id AND a.s = c.o JOIN q z ON z.doc_id IS NOT DISTINCT FROM c.doc_id AND z.e = coalesce(c.mark, c.full_at, c.top)
+JOIN documents d ON d.doc_id IS NOT DISTINCT FROM c.doc_id
+"""
+
+
+@query(SENTENCES)
 def chunk_sentences(spark, sf):
-    return ingest.sentence_chunks(table(spark, sf, "documents"))
+    """Chunks at sentence ends with their bytes in the text; a digest stands for each chunk's text."""
+    out = ingest.sentence_chunks(table(spark, sf, "documents"))
+    return out.select("doc_id", "ordinal", "n_tokens", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+STUB = r"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS tok FROM documents),
+d AS (SELECT tok, count(*) AS many FROM t GROUP BY tok),
+h AS (SELECT tok, list_reduce(list_transform(range(length(hex(encode(tok))) // 2), lambda i: ('0x' || substr(hex(encode(tok)), (2 * i + 1)::BIGINT, 2))::UHUGEINT),
+        lambda a, x: (xor(a, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS h FROM d),
+a AS (SELECT tok, xor(h, (k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) AS x FROM h, range(8) r(k)),
+b AS (SELECT tok, (xor(x, x >> 33) * 18397679294719823053::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM a),
+c AS (SELECT tok, xor(x, x >> 33) AS x FROM b),
+s AS (SELECT doc_id, (x % 64)::INT AS place, sum(CASE WHEN (x >> 32) % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS v FROM t JOIN c USING (tok) GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)::DOUBLE)::FLOAT AS norm FROM s GROUP BY doc_id)
+SELECT s.doc_id, place, round((v::FLOAT / norm)::DOUBLE, 6) AS value FROM s JOIN n ON s.doc_id IS NOT DISTINCT FROM n.doc_id WHERE v <> 0
+"""
 
 
-@query()
+@query(STUB)
 def stub_embed(spark, sf):
-    return embedding.stub_embed(table(spark, sf, "documents"))
+    """The stand-in embedder's vectors, a row for each component that isn't zero."""
+    each = embedding.stub_embed(table(spark, sf, "documents")).select("doc_id", F.posexplode("vector").alias("place", "v")).filter("v <> 0")
+    return each.select("doc_id", "place", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS title FROM events")

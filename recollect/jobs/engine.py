@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions.shared import save
 from recollect.functions.text import content_hash, is_source_label
-from recollect.operators import code, context, embedding, fusion, graph, ingest, lexical, lifecycle, scope, summary, vector
+from recollect.jobs.indexing import StoredIndex
+from recollect.operators import code, context, embedding, fusion, graph, ingest, lexical, lifecycle, ports, scope, summary, vector
 from recollect.sources import files
 from recollect.sources.store import Store
 
@@ -25,11 +26,15 @@ class Engine:
     spark: SparkSession
     root: str
     tenant: str
-    dim: int = 64
-    model: str = "stub"
+    embedder: ports.Embedder = embedding.STUB
+    scorer: ports.Scorer | None = None  # None: the share of the query's tokens that a text has
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.root, self.tenant)
+        self.texts = StoredIndex(self.store)
+        self.cache = ports.EmbeddingCache(self.spark, f"{self.store.home}/cache", self.embedder)
+        #: Texts that the last ingest embedded, and searches that kept the fused order although reranking was asked for.
+        self.embedded = self.degraded = 0
 
     def _chunks(self, workspace: str | None = None) -> DataFrame:
         return scope.scoped(self.store.read("chunks"), self.tenant, workspace)
@@ -49,37 +54,29 @@ class Engine:
             raise ValueError(f"INVALID_SOURCE: {source}")
         meta = F.col("metadata") if "metadata" in docs.columns else F.lit(None).cast("string")
         rows = docs.select(F.col("doc_id").cast("string"), "text", F.get_json_object(meta, "$.title").alias("title"))
-        rows = rows.withColumn("content_hash", content_hash(F.lit(self.tenant), F.col("text"))).withColumn("_blank", ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
-        stored_chunks, stored = self._chunks(), self.store.read("docs")
-        alive = stored.join(stored_chunks.select("doc_id").distinct(), "doc_id", "left_semi")
-        known = alive.groupBy("content_hash").agg(F.min("doc_id").alias("known"))
-        good = rows.filter("not _blank")
-        firsts = good.groupBy("content_hash").agg(F.min("doc_id").alias("first")).join(known, "content_hash", "left")
-        judged = rows.join(firsts, "content_hash", "left")
+        rows = rows.withColumn("content_hash", content_hash(F.lit(self.tenant), F.col("text")))
+        # ids and hashes are judged; only the texts of what is new move
+        asked = rows.select("doc_id", "content_hash", (~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).alias("_blank"))
+        stored_chunks = self._chunks()
+        firsts = asked.filter("not _blank").groupBy("content_hash").agg(F.min("doc_id").alias("first"))
+        held = self.store.read("docs").select("content_hash", F.col("doc_id").alias("known")).join(firsts.select("content_hash"), "content_hash", "left_semi")
+        alive = held.join(stored_chunks.select(F.col("doc_id").alias("known")), "known", "left_semi").groupBy("content_hash").agg(F.min("known").alias("known"))
+        judged = asked.join(firsts.join(alive, "content_hash", "left"), "content_hash", "left")
         fresh = ~F.col("_blank") & F.col("known").isNull() & (F.col("doc_id") == F.col("first"))
-        report = judged.select("doc_id", F.when(F.col("_blank"), "EMPTY_TEXT").when(fresh, "ingested").otherwise("duplicate").alias("status"), F.when(~F.col("_blank") & ~fresh, F.coalesce("known", "first")).alias("existing_id"))
-        new = judged.filter(fresh).dropDuplicates(["doc_id"])
+        judged = judged.select("doc_id", "content_hash", fresh.alias("_fresh"), F.when(F.col("_blank"), "EMPTY_TEXT").when(fresh, "ingested").otherwise("duplicate").alias("status"), F.when(~F.col("_blank") & ~fresh, F.coalesce("known", "first")).alias("existing_id"))
+        result = save(judged, "report")  # fixed before the store changes beneath it
+        accepted = result.filter("_fresh").groupBy("doc_id").agg(F.min("content_hash").alias("content_hash"))
+        new = rows.join(accepted, ["doc_id", "content_hash"], "left_semi").dropDuplicates(["doc_id"])
         stamp = {"tenant_id": F.lit(self.tenant), "workspace_id": F.lit(workspace), "agent_id": F.lit(agent), "source": F.lit(source), "created_at": F.lit(now).cast("timestamp")}
-        cut = ingest.chunk_ids(ingest.windows(new))
-        chunks = self._embedded(cut.withColumns(stamp).withColumn("embedding_model_version", F.lit(self.model)))
-        result = save(report, "report")  # fixed before the store changes beneath it
-        docs_now = ingest.upsert(stored, new.select("doc_id", "title", "content_hash").withColumns(stamp), "doc_id")
+        cut = ingest.chunk_ids(ingest.windows(new)).withColumns(stamp).withColumn("embedding_model_version", F.lit(self.embedder.version))
+        chunks, self.embedded = self.cache.add(cut)
+        added = {"docs": new.select("doc_id", "title", "content_hash").withColumns(stamp)}  # of a known document the newest row counts
         if on_conflict == "append":
-            self.store.commit(added={"chunks": chunks}, docs=docs_now)
+            self.store.commit(added=added | {"chunks": chunks})
         else:
-            old = stored_chunks.join(new.select("doc_id"), "doc_id", "left_anti")
-            self.store.commit(chunks=old.unionByName(chunks, allowMissingColumns=True), docs=docs_now)
-        return result
-
-    def _embedded(self, chunks: DataFrame) -> DataFrame:
-        """Adds vector; equal texts are embedded once."""
-        once, dim = chunks.select("text").distinct(), self.dim
-
-        @F.pandas_udf("array<float>")
-        def embed(texts):
-            return texts.map(lambda t: embedding.embed(t, dim))
-
-        return chunks.join(once.withColumn("vector", embed("text")), "text")
+            old = stored_chunks.join(accepted.select("doc_id"), "doc_id", "left_anti")
+            self.store.commit(chunks=old.unionByName(chunks, allowMissingColumns=True), added=added)
+        return result.select("doc_id", "status", "existing_id")
 
     def ingest_files(self, folder: str, workspace: str, agent: str, now: str) -> DataFrame:
         """Bulk ingest of a folder; the report has file, status, reason."""
@@ -89,17 +86,17 @@ class Engine:
 
     # Retrieve
 
-    def index(self) -> lexical.Index:
-        """The inverted index of the newest version's chunks; built by the first search of a version and read by all others."""
-        there = self.store.versions()
-        if not there:
+    def index(self, version: int | None = None) -> lexical.Index:
+        """The inverted index of a version's chunks, by default the newest's. Only rows that no earlier version indexed are tokenised."""
+        if not self.store.versions():
             raise NotFound("NOT_FOUND: the store is empty")
-        path = f"{self.store.home}/index/v{there[-1]}"
-        done = self.store._path(f"{path}/stats/_SUCCESS")
-        if not self.store._fs.exists(done):
-            self.store._fs.delete(self.store._path(f"{self.store.home}/index"), True)
-            return lexical.write_index(self._chunks(), path, ("workspace_id", "doc_id", "source"))
-        return lexical.read_index(self.spark, path)
+        return self.texts.at(version)
+
+    def prune(self) -> int:
+        """Drop all versions but the newest, with their folders and indexes. Returns the bytes freed in the tables."""
+        freed = self.store.prune()
+        self.texts.prune()
+        return freed
 
     def search(self, query: str, workspace: str, top_k: int = 20, hybrid: bool = False, rerank: bool = False, doc_id: str | None = None, source: str | None = None, rrf_k: float = 60.0, filter_mode: str = "post") -> DataFrame:
         """chunk_id and score, best first. A blank query gives none; rerank applies to hybrid search only."""
@@ -115,9 +112,15 @@ class Engine:
         index = self.index()
         if not hybrid or not query.strip():
             return lexical.search(index, query, k, keep=inside if keep is None else inside & keep)
-        legs = lexical.search(index, query, k, keep=inside), vector.knn(chunks, embedding.embed(query, self.dim), k)
+        legs = lexical.search(index, query, k, keep=inside), vector.knn(chunks, self.embedder.one(query), k)
         hits = fusion.hybrid(*legs, max(k, 10) if rerank else k, chunks, rrf_k, keep, filter_mode)
-        return fusion.rerank(hits, chunks, query, k) if rerank else hits
+        if not rerank:
+            return hits
+        if self.scorer is None:
+            return fusion.rerank(hits, chunks, query, k)
+        out = ports.rerank(hits, chunks, query, k, self.scorer)
+        self.degraded += out.degraded is not None
+        return out.hits
 
     def hits(self, found: DataFrame) -> DataFrame:
         """Found chunks with text and provenance."""
@@ -179,7 +182,7 @@ class Engine:
         home = f"{self.store.home}/projects/{project}"
         edges = graph.build_edges(calls.select("source", "target").join(concepts.select(F.col("id").alias("source")).distinct(), "source", "left_semi"), concepts).select("source", "target")
         texts = concepts.select("id", code.semantic_text(F.col("name"), F.col("signature")).alias("text"))
-        for name, df in (("concepts", concepts), ("edges", edges), ("vectors", embedding.stub_embed(texts, "id", "text", self.dim))):
+        for name, df in (("concepts", concepts), ("edges", edges), ("vectors", self.embedder.vectors(texts).select("id", "vector"))):
             df.write.mode("overwrite").parquet(f"{home}/{name}")
         rows = code.symbol_rows(concepts, self.tenant, project, now)
         self.store.commit(symbols=code.replace_project(self.store.read("symbols"), project, rows))

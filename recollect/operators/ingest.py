@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import content_hash, words
@@ -45,38 +42,66 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     return each.select(id_col, "ordinal", part.alias("_p")).select(id_col, "ordinal", F.size("_p").alias("n_tokens"), F.array_join("_p", " ").alias("text"))
 
 
-def _sentences(text: str | None, size: int, largest: int, overlap: int) -> list[tuple[str, int]]:
-    """Whole sentences until size tokens, never more than largest; a chunk begins with up to overlap tokens of the one before."""
-    import re
-
-    out: list[list[str]] = []
-    held: list[str] = []
-    fresh = 0
-    for sentence in re.findall(r"[^.!?\n]+[.!?\n]*", text or ""):
-        toks = sentence.split()
-        while toks:
-            room = largest - len(held)
-            if fresh and (len(held) + len(toks) > largest or len(held) >= size):
-                out.append(held)
-                held, fresh = held[-overlap:] if overlap else [], 0
-                continue
-            held = held + toks[:room]
-            fresh += min(room, len(toks))
-            toks = toks[room:]
-    if fresh:
-        out.append(held)
-    return [(" ".join(c), len(c)) for c in out]
-
-
-def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, largest: int = LARGEST, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks at sentence bounds where they fit: doc_id, ordinal, n_tokens, text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, n, t) for i, text in zip(b.iloc[:, 0], b.iloc[:, 1]) for k, (t, n) in enumerate(_sentences(text, size, largest, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "n_tokens", "text"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, ordinal int, n_tokens int, text string")
+#: Words of a piece at most: a chunk of under SIZE tokens and one more piece stay within LARGEST.
+PIECE = LARGEST - SIZE
+#: A chunk that ends at a sentence may have so few tokens.
+SMALLEST = 256
+_SPACE, _WORD = r"[ \t\n\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+
+
+def pieces(text: Column, most: int = PIECE) -> Column:
+    """A text in sentences, longer ones cut after most words: array of (t, n words, bytes, own bytes, whole), each with the blanks before it.
+
+    A sentence ends at a word with . ! or ? at its end, at a new line and at the end of the text.
+    """
+    end = rf"(?=[ \t\x0B\f\r]*+(?:\n|\z)|(?<=[.!?]){_SPACE})"
+    pattern = rf"{_SPACE}*+(?:(?:{_WORD}++{_SPACE}++){{0,{most - 1}}}?{_WORD}++{end}|(?:{_WORD}++{_SPACE}++){{{most - 1}}}{_WORD}++)"
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    count = lambda p: F.regexp_count(p, F.lit(f"{_WORD}+"))
+    return F.transform(found, lambda p: F.struct(p.alias("t"), count(p).alias("n"), F.octet_length(p).alias("bytes"), F.octet_length(F.regexp_replace(p, f"^{_SPACE}+", "")).alias("own"), ((count(p) < most) | p.rlike(r"[.!?]\z")).alias("whole")))
+
+
+def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, largest: int = LARGEST, overlap: int = OVERLAP, smallest: int = SMALLEST) -> DataFrame:
+    """Chunks at sentence ends where they fit: doc_id, ordinal, n_tokens, start, end (bytes of the text), text.
+
+    A chunk takes pieces until it has size tokens and never more than largest. It ends at the last sentence end from its
+    smallest-th token on, or after the piece that filled it. The next one begins with the first piece among its last
+    overlap tokens, so neighbours always share some. Only the last chunk may be short. One fold over a text's pieces gives
+    the cuts, all of it in expressions; null and blank texts give no chunk, and a null id is kept.
+    """
+    most = largest - size
+    if not 0 < most <= overlap < smallest <= size < largest:
+        raise ValueError("sizes must be in order, with an overlap of at least largest - size")
+    held = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col).cast("string"), most).alias("p"))
+    place, piece, cuts = "struct<tok:int,byte:int>", "struct<t:string,tok:int,byte:int>", "array<struct<n_tokens:int,start:int,end:int,text:string>>"
+    zero = "named_struct('tok', 0, 'byte', 0)"
+    first = F.expr(f"named_struct('now', {zero}, 'open', {zero}, 'mark', cast(null as {place}), 'held', cast(array() as array<{piece}>), 'cuts', cast(array() as {cuts}))")
+
+    def chunk(held: Column, a: Column, b: Column) -> Column:
+        text = F.array_join(F.transform(F.filter(held, lambda x: x["tok"] < b["tok"]), lambda x: x["t"]), "")
+        return F.struct((b["tok"] - a["tok"]).alias("n_tokens"), a["byte"].alias("start"), b["byte"].alias("end"), F.regexp_replace(text, f"^{_SPACE}+", "").alias("text"))
+
+    def step(s: Column, p: Column) -> Column:
+        """held: the pieces of the open chunk, each with where it begins."""
+        was = s["now"]
+        begin = F.struct(p["t"].alias("t"), was["tok"].alias("tok"), (was["byte"] + p["bytes"] - p["own"]).alias("byte"))
+        now = F.struct((was["tok"] + p["n"]).alias("tok"), (was["byte"] + p["bytes"]).alias("byte"))
+        open_ = F.when(was["tok"] == 0, F.struct(begin["tok"].alias("tok"), begin["byte"].alias("byte"))).otherwise(s["open"])
+        mark = F.when(p["whole"] & (now["tok"] - open_["tok"] >= smallest), now).otherwise(s["mark"])
+        held, cut, full = F.array_append(s["held"], begin), F.coalesce(mark, now), now["tok"] - open_["tok"] >= size
+        left = F.filter(held, lambda x: x["tok"] >= cut["tok"] - overlap)
+        after = F.struct(F.get(left, F.lit(0))["tok"].alias("tok"), F.get(left, F.lit(0))["byte"].alias("byte"))
+        return F.struct(
+            now.alias("now"), F.when(full, after).otherwise(open_).alias("open"), F.when(~full, mark).alias("mark"), F.when(full, left).otherwise(held).alias("held"),
+            F.when(full, F.array_append(s["cuts"], chunk(held, open_, cut))).otherwise(s["cuts"]).alias("cuts"),
+        )
+
+    def finish(s: Column) -> Column:
+        last = F.coalesce(F.get(s["cuts"], F.size(s["cuts"]) - 1)["end"], F.lit(0))
+        return F.when(s["now"]["byte"] > last, F.array_append(s["cuts"], chunk(s["held"], s["open"], s["now"]))).otherwise(s["cuts"])
+
+    cut = held.select("doc_id", F.posexplode(F.aggregate("p", first, step, finish)).alias("ordinal", "c"))
+    return cut.select("doc_id", "ordinal", "c.n_tokens", "c.start", "c.end", "c.text")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

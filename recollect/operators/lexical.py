@@ -1,17 +1,26 @@
 """BM25 over folded tokens. Corpus statistics are the tenant's, filters apply before the limit.
 
-Texts that are searched often are indexed once (write_index): an inverted table in order of tenant and term, so that a query
-reads the row groups of its terms only, each text's length, and each tenant's statistics. Without an index, one query
-reads the text column once for statistics and once for scores and moves no text.
+Texts that are searched often are indexed once, in segments: documents that come later make a segment of their own,
+removed ones are listed as dead, statistics are added up over segments, and segments of like size are merged. A query
+reads the row groups of its terms only; what it needs of a shard of documents meets in one task, which skips blocks of
+postings that can't reach the k best. Without an index, one query reads the text column once for statistics and once
+for scores and moves no text.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.functions.shared import release, save
 from recollect.functions.text import tokens
 
 K1, B = 1.2, 0.75
@@ -55,61 +64,274 @@ def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
     return each.groupBy(id_col, *carry, "term", "dl").agg(F.count("*").alias("tf"))
 
 
+#: Documents of a shard, postings of a block, (query, term) pairs that are sent to all shards at once, segments of a size merged at once.
+SHARD, BLOCK, PAIRS, FAN = 8192, 1024, 200_000, 4
+#: Room for sums of doubles in another order, and for scores that are equal once rounded.
+SLACK = 2e-6
+PLACE = ["segment", "tenant_id", "shard"]
+
+
 @dataclass
 class Index:
-    """postings: tenant, term, chunk_id, tf, dl and what filters need; lengths: tenant, chunk_id, dl; stats: tenant, n, total (of dl)."""
+    """An inverted index in segments, each with a part of the documents, and the documents that are gone from them.
+
+    A segment's documents are dealt to shards and numbered in a shard by id. Its tables: docs (segment, tenant_id, shard, ord, chunk_id, dl, mark and
+    what filters need), postings (a row for each block of a term's postings in a shard, largest impact first, with the
+    block's largest tf and smallest dl, which bound its weights), terms (df) and stats (n, total of dl, by tenant).
+    dead: folders with the rows of docs that no longer count.
+    """
 
-    postings: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
+    spark: SparkSession
+    segments: list[str]
+    dead: list[str] = field(default_factory=list)
+    tenant: str | None = None
 
     def of(self, tenant: str | None) -> "Index":
         """The part of one tenant; None: all."""
-        if tenant is None:
-            return self
-        return Index(*(t.filter(F.col("tenant_id") == tenant) for t in (self.postings, self.lengths, self.stats)))
-
-    def totals(self) -> DataFrame:
-        """One row: n, avgdl."""
-        return self.stats.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+        return replace(self, tenant=tenant)
+
+    def table(self, name: str) -> DataFrame:
+        out = self.spark.read.parquet(*(f"{s}/{name}" for s in self.segments))
+        return out if self.tenant is None else out.filter(F.col("tenant_id") == self.tenant)
+
+    def gone(self) -> DataFrame | None:
+        """segment, tenant_id, shard, ord, dl of the dead."""
+        if not self.dead:
+            return None
+        out = self.spark.read.parquet(*self.dead).select(*PLACE, "ord", "dl").distinct()
+        return out if self.tenant is None else out.filter(F.col("tenant_id") == self.tenant)
+
+    def alive(self, df: DataFrame) -> DataFrame:
+        gone = self.gone()
+        if gone is None:
+            return df
+        gone = gone.select(*(F.col(c).alias(f"_{c}") for c in (*PLACE, "ord")))
+        return df.join(gone, (F.col("segment") == F.col("_segment")) & F.col("tenant_id").eqNullSafe(F.col("_tenant_id")) & (F.col("shard") == F.col("_shard")) & (F.col("ord") == F.col("_ord")), "left_anti")
+
+    @property
+    def lengths(self) -> DataFrame:
+        """tenant_id, chunk_id, dl of what counts."""
+        return self.alive(self.table("docs")).select("tenant_id", "chunk_id", "dl")
+
+    def totals(self) -> tuple[int, int]:
+        """Documents and tokens."""
+        sums = lambda df, n, total: df.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first()
+        n, total = sums(self.table("stats"), "n", "total")
+        gone = self.gone()
+        if gone is not None:
+            less, fewer = sums(gone, F.lit(1), "dl")
+            n, total = n - less, total - fewer
+        return n, total
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """In how many documents each term is; terms in none are left out."""
+        held = lambda name: self.table(name).filter(F.col("term").isin(terms))
+        found = {r["term"]: r["df"] for r in held("terms").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        gone = self.gone()
+        if gone is not None and found:
+            each = held("postings").select(*PLACE, "term", F.explode("ords").alias("ord"))
+            lost = each.alias("p").join(gone.alias("g"), (F.col("p.segment") == F.col("g.segment")) & F.col("p.tenant_id").eqNullSafe(F.col("g.tenant_id")) & (F.col("p.shard") == F.col("g.shard")) & (F.col("p.ord") == F.col("g.ord")))
+            for r in lost.groupBy("term").count().collect():
+                found[r["term"]] -= r["count"]
+        return {t: n for t, n in found.items() if n > 0}
 
 
 def write_index(docs: DataFrame, path: str, carry: tuple[str, ...] = (), id_col: str = "chunk_id", text_col: str = "text", tenant_col: str = "tenant_id") -> Index:
-    """Index the texts of docs under path. carry: columns that searches filter by. Ranges split a term that many texts share."""
-    rows = docs.select(F.col(id_col).alias("chunk_id"), F.col(tenant_col).alias("tenant_id"), *carry, tokens(F.col(text_col)).alias("_t"))
-    each = rows.select("chunk_id", "tenant_id", *carry, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    table = each.groupBy("chunk_id", "tenant_id", *carry, "term", "dl").agg(F.count("*").alias("tf"))
-    order = ["tenant_id", "term", "chunk_id"]
-    table.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
-    rows.select("chunk_id", "tenant_id", F.size("_t").alias("dl")).write.parquet(f"{path}/lengths")
-    lengths = docs.sparkSession.read.parquet(f"{path}/lengths")
-    lengths.groupBy("tenant_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).write.parquet(f"{path}/stats")
-    return read_index(docs.sparkSession, path)
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+    """An index of one segment under path. carry: columns that searches filter by."""
+    return Index(docs.sparkSession, [write_segment(docs, f"{path}/{uuid.uuid4().hex}", carry, id_col, text_col, tenant_col)])
+
+
+def write_segment(docs: DataFrame, path: str, carry: tuple[str, ...] = (), id_col: str = "chunk_id", text_col: str = "text", tenant_col: str = "tenant_id") -> str:
+    """Tokenise docs once and write them as a segment. Returns path."""
+    rows = docs.select(F.col(id_col).alias("chunk_id"), F.col(tenant_col).alias("tenant_id"), *carry, tokens(F.col(text_col)).alias("t"), F.xxhash64(text_col).alias("mark"))
+    held = save(rows.withColumn("dl", F.size("t")), "tokens")
+    placed = _placed(held, ["chunk_id"])
+    each = placed.select("tenant_id", "shard", "ord", "dl", "avgdl", F.explode("t").alias("term")).groupBy("tenant_id", "shard", "ord", "dl", "avgdl", "term").agg(F.count("*").cast("int").alias("tf"))
+    _write(path, placed.drop("t", "avgdl"), each)
+    release(held)
+    return path
+
+
+def merge_segments(index: Index, segments: list[str], path: str) -> str:
+    """Some segments of an index as one, without the dead; nothing is tokenised. Returns path."""
+    part = replace(index, segments=segments)
+    rows = part.alive(part.table("docs")).withColumnsRenamed({"segment": "was", "shard": "was_shard", "ord": "was_ord"})
+    placed = save(_placed(rows, ["chunk_id", "was", "was_shard", "was_ord"]), "placed")
+    to = placed.select(F.col("was").alias("segment"), F.col("was_shard").alias("old"), F.col("was_ord").alias("ord"), F.col("tenant_id").alias("owner"), "shard", F.col("ord").alias("new"), "avgdl")
+    each = part.table("postings").select("segment", "tenant_id", F.col("shard").alias("old"), "term", F.inline(F.arrays_zip("ords", "tfs", "dls"))).withColumnRenamed("ords", "ord")
+    each = each.join(to, ["segment", "old", "ord"]).filter(F.col("tenant_id").eqNullSafe(F.col("owner")))
+    _write(path, placed.drop("was", "was_shard", "was_ord", "avgdl"), each.select("tenant_id", "shard", F.col("new").alias("ord"), F.col("dls").alias("dl"), "avgdl", "term", F.col("tfs").alias("tf")))
+    release(placed)
+    return path
+
+
+def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds shard, ord (numbers in a shard, by id) and avgdl of the tenant. Small tables are dealt to several shards too."""
+    cores = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    sizes = rows.groupBy(F.col("tenant_id").alias("owner")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    sizes = sizes.select("owner", "avgdl", F.ceil(F.col("n") / F.least(F.lit(SHARD), F.greatest(F.lit(256), F.col("n") / cores))).alias("shards"))
+    dealt = rows.join(sizes, F.col("tenant_id").eqNullSafe(F.col("owner"))).drop("owner").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int")).drop("shards")
+    return dealt.withColumn("ord", (F.row_number().over(Window.partitionBy("tenant_id", "shard").orderBy(*order)) - 1).cast("int"))
+
+
+def _write(path: str, docs: DataFrame, each: DataFrame) -> None:
+    """Tables of a segment. each: tenant_id, shard, ord, dl, avgdl, term, tf."""
+    name = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
+    impact = Window.partitionBy("tenant_id", "shard", "term").orderBy(F.desc(term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), "ord")
+    blocks = each.withColumn("block", ((F.row_number().over(impact) - 1) / BLOCK).cast("int"))
+    blocks = blocks.groupBy("tenant_id", "shard", "term", "block").agg(F.collect_list(F.struct("ord", "tf", "dl")).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    blocks = blocks.select(name.alias("segment"), "tenant_id", "shard", "term", "block", F.col("p.ord").alias("ords"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), "max_tf", "min_dl")
+    blocks.sortWithinPartitions("term", "tenant_id", "shard", "block").write.parquet(f"{path}/postings")
+    docs.select(name.alias("segment"), *docs.columns).write.parquet(f"{path}/docs")
+    read = docs.sparkSession.read.parquet
+    read(f"{path}/postings").groupBy("tenant_id", "term").agg(F.sum(F.size("ords")).alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    read(f"{path}/docs").groupBy("tenant_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).write.parquet(f"{path}/stats")
+
+
+class Postings:
+    """Blocks of one shard's terms, for any number of queries. scored counts the postings whose weight was taken."""
+
+    def __init__(self, avgdl: float, masked: bool = False):
+        self.avgdl, self.blocks, self.most, self.scored = avgdl, {}, 0, 0
+        self.allowed, self.dead = np.empty(0, np.int32) if masked else None, np.empty(0, np.int32)
+
+    def add(self, term: str, block: int, ords: np.ndarray, tf: np.ndarray, dl: np.ndarray, max_tf: int, min_dl: int) -> None:
+        self.blocks.setdefault(term, []).append((block, ords, tf, dl, max_tf, min_dl))
+        self.most = max(self.most, int(ords.max()) + 1)
+
+    def best(self, terms: dict[str, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ord and score (6 decimals) of the k best documents, ties to the smaller ord. terms: each with its idf.
+
+        Terms go by their largest possible weight. Once the k-th score so far is more than a block and all terms after
+        it can add to a document, only documents with a score so far are looked up in it.
+        """
+        each = sorted(((max(w * term_weight(t, d, self.avgdl) for _, _, _, _, t, d in self.blocks[term]), term, w) for term, w in terms.items() if term in self.blocks), reverse=True)
+        score = np.zeros(self.most)
+        ok = np.ones(self.most, bool) if self.allowed is None else np.zeros(self.most, bool)
+        if self.allowed is not None:
+            ok[self.allowed[self.allowed < self.most]] = True
+        ok[self.dead[self.dead < self.most]] = False
+        kth, rest = 0.0, sum(top for top, _, _ in each)
+        for top, term, w in each:
+            rest -= top
+            for _, ords, tf, dl, max_tf, min_dl in sorted(self.blocks[term], key=lambda b: b[0]):
+                keep = ok[ords] & (score[ords] > 0) if w * term_weight(max_tf, min_dl, self.avgdl) + rest < kth - SLACK else ok[ords]
+                if kth:
+                    keep &= score[ords] + top + rest >= kth - SLACK
+                at = ords[keep]
+                score[at] += w * term_weight(tf[keep], dl[keep], self.avgdl)
+                self.scored += len(at)
+            if self.most > k:
+                kth = float(np.partition(score, self.most - k)[self.most - k])
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k] - SLACK]
+        rounded = np.round(score[found], 6)
+        top = np.lexsort((found, -rounded))[:k]
+        return found[top], rounded[top]
+
+
+def _shards(asked: dict[int, dict[str, float]], avgdl: float, k: int, masked: bool, counted: Accumulator | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard: segment, tenant_id, shard, term, block, ords, tfs, dls, max_tf, min_dl. Masks have no term: block -1 what may be found, -2 the dead."""
+        place, held = None, None
+        out: dict[int, list[tuple]] = {q: [] for q in asked}
+
+        def close() -> None:
+            if held is None or not held.most:
+                return
+            for q, terms in asked.items():
+                ords, scores = held.best(terms, k)
+                out[q] += [(-float(s), *place, int(o)) for o, s in zip(ords, scores)]
+                if len(out[q]) > 8 * k:  # of all shards of this task: the k best, and what ties with the last
+                    out[q].sort(key=lambda r: r[0])
+                    last = out[q][k - 1][0]
+                    out[q] = [r for r in out[q] if r[0] <= last]
+            if counted is not None:
+                counted.add(held.scored)
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 8, 9)]
+            lists = [(x.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))) for x in b.columns[5:8]]
+            for i, (segment, tenant, shard, term, block, max_tf, min_dl) in enumerate(zip(*cols)):
+                if place != (segment, tenant, shard):
+                    close()
+                    place, held = (segment, tenant, shard), Postings(avgdl, masked)
+                own = [x[ends[i] : ends[i + 1]] for x, ends in lists]
+                if term is not None:
+                    held.add(term, block, *own, max_tf, min_dl)
+                elif block == -1:
+                    held.allowed = np.append(held.allowed, own[0])
+                else:
+                    held.dead = np.append(held.dead, own[0])
+        close()
+        rows = [(q, -r[0], *r[1:]) for q, found in out.items() for r in found]
+        kinds = (pa.int32(), pa.float64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["q", "score", *PLACE, "ord"])
+
+    return run
+
+
+def _found(index: Index, asked: dict[int, list[str]], k: int, keep: Column | None = None, counted: Accumulator | None = None) -> DataFrame | None:
+    """q, rank, chunk_id, score of the k best documents that keep holds for, for each of a bounded number of queries (numbered terms).
+
+    Blocks of the queries' terms meet by shard. A task cuts to the k best of each query over all its shards (with ties,
+    as ids of other shards may be smaller) before anything is exchanged. None if no term is in the index.
+    """
+    n, total = index.totals()
+    df = index.frequencies(sorted({t for terms in asked.values() for t in terms}))
+    if not df or not n:
+        return None
+    idfs = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    weighed = {q: {t: idfs[t] for t in terms if t in idfs} for q, terms in asked.items()}
+    blocks = index.table("postings").filter(F.col("term").isin(list(df))).select(*PLACE, "term", "block", "ords", "tfs", "dls", "max_tf", "min_dl")
+    none, docs, gone = (lambda t, c: F.lit(None).cast(t).alias(c)), index.table("docs"), index.gone()
+    for number, mask in ((-1, None if keep is None else docs.filter(keep)), (-2, gone)):
+        if mask is not None:
+            row = mask.groupBy(*PLACE).agg(F.collect_list("ord").alias("ords"))
+            blocks = blocks.unionByName(row.select(*PLACE, none("string", "term"), F.lit(number).alias("block"), "ords", none("array<int>", "tfs"), none("array<int>", "dls"), none("int", "max_tf"), none("int", "min_dl")))
+    parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
+    local = dealt.mapInArrow(_shards(weighed, total / n, k, keep is not None, counted), "q int, score double, segment string, tenant_id string, shard int, ord int")
+    tied = local.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k).drop("r").withColumnRenamed("tenant_id", "owner")
+    named = tied.join(docs.select(*PLACE, "ord", "chunk_id"), ["segment", "shard", "ord"]).filter(F.col("owner").eqNullSafe(F.col("tenant_id")))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")
+    return named.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("q", "rank", "chunk_id", "score")
 
 
 def search(index: Index, query: str, k: int, keep: Column | None = None, id_col: str = "chunk_id") -> DataFrame:
     """As bm25(), from an index: chunk_id and score of the k best rows that keep holds for."""
-    terms = query_terms(query, index.postings)
-    held = index.postings.filter(F.col("term").isin(terms)) if terms else index.postings.limit(0)
-    counts = held.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    hits = (held if keep is None else held.filter(keep)).join(F.broadcast(counts), "term").join(F.broadcast(index.totals()))
-    scored = hits.groupBy("chunk_id").agg(F.round(F.sum(idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
-    return scored.select(F.col("chunk_id").alias(id_col), "score").orderBy(F.desc("score"), id_col).limit(k)
+    terms = query_terms(query, index.table("docs"))
+    found = _found(index, {0: terms}, k, keep) if terms else None
+    if found is None:
+        return index.table("docs").select(F.col("chunk_id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
+    return found.select(F.col("chunk_id").alias(id_col), "score").orderBy(F.desc("score"), id_col)
 
 
-def search_batch(index: Index, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
-    """query_id, rank, chunk_id, score of the k best rows for each query. Ranks are cut in every task before rows meet by query."""
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    terms = asked.select("term").distinct()
-    held = index.postings.join(terms, "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = held.join(df, "term").join(F.broadcast(index.totals())).select("chunk_id", "term", (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
-    scored = asked.join(weighed, "term").groupBy(query_id, "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return _best(scored, k, query_id)
+def search_batch(index: Index, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", counted: Accumulator | None = None) -> DataFrame:
+    """query_id, rank, chunk_id, score of the k best rows for each of a stated set of queries, PAIRS (query, term) pairs at a time.
+
+    Each block of queries reads its terms' postings once, however many queries share a term. Results of several blocks are
+    saved one after the other, so that no plan grows with their number. counted: gets the postings scored.
+    """
+    spark = index.spark
+    asked = queries.select(F.col(query_id).alias("id"), F.array_distinct(tokens(F.col(query_text))).alias("terms"))
+    total, most = asked.agg(F.sum(F.size("terms")), F.max(F.size("terms"))).first()
+    blocks = -(-(total or 0) // PAIRS) or 1
+    kind, id_kind = queries.schema[query_id].dataType.simpleString(), index.table("docs").schema["chunk_id"].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id", "terms"), F.lit(blocks)) == b)
+        rows = some.collect()  # about PAIRS pairs
+        found = _found(index, {i: r["terms"] for i, r in enumerate(rows) if r["terms"]}, k, counted=counted) if rows else None
+        if found is None:
+            continue
+        names = spark.createDataFrame([(i, r["id"]) for i, r in enumerate(rows)], f"q int, `{query_id}` {kind}")
+        found = found.join(F.broadcast(names), "q").select(query_id, "rank", "chunk_id", "score")
+        found = found if blocks == 1 else save(found, "found")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"`{query_id}` {kind}, rank int, chunk_id {id_kind}, score double")
 
 
 def _best(scored: DataFrame, k: int, query_id: str, id_col: str = "chunk_id") -> DataFrame:

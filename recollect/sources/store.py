@@ -19,6 +19,9 @@ SCHEMAS = {
     "symbols": "symbol_name string, tenant_id string, project_id string, kind string, location string, signature string, created_at timestamp",
 }
 
+#: Tables whose newest row of a key counts.
+NEWEST = {"docs": "doc_id"}
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, tenant: str):
@@ -46,18 +49,51 @@ class Store:
             return {}
         if version not in there:
             raise ValueError(f"VERSION_NOT_FOUND: {version}")
-        stream = self._fs.open(self._path(f"{self.home}/manifests/v{version}.json"))
+        return self.read_json(f"{self.home}/manifests/v{version}.json")
+
+    def read_json(self, path: str) -> dict | None:
+        """A small file's content; None where there is none."""
+        if not self._fs.exists(self._path(path)):
+            return None
+        stream = self._fs.open(self._path(path))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        folders = self.manifest(version).get(table)
+    def write_json(self, path: str, content: dict) -> None:
+        """Published by rename, so that readers see all of it or nothing."""
+        stream = self._fs.create(self._path(path + ".tmp"), True)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        if not self._fs.rename(self._path(path + ".tmp"), self._path(path)):
+            raise OSError(f"{path} could not be published")
+
+    def names(self, folder: str) -> list[str]:
+        """What lies in a folder."""
+        path = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def folders(self, table: str, version: int | None = None) -> list[str]:
+        return self.manifest(version).get(table) or []
+
+    def read_folders(self, table: str, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(*(f"{self.home}/{f}" for f in folders))
 
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The table at a version. Of docs, which ingests only add to, the newest row of each document."""
+        out = self.read_folders(table, self.folders(table, version))
+        if table not in NEWEST or len(self.folders(table, version)) < 2:
+            return out
+        added = F.regexp_extract(F.col("_metadata.file_path"), r"/data/v(\d+)/[^/]*/[^/]*$", 1).cast("long")
+        newest = out.groupBy(NEWEST[table]).agg(F.max_by(F.struct("*"), added).alias("r"))
+        return newest.select("r.*")
+
     def commit(self, files: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
         """The new version after writing these tables whole and adding rows to others. files: into how many files a table goes."""
         there = self.versions()
@@ -69,12 +105,7 @@ class Store:
                 out = out.repartition(files[name])
             out.write.mode("overwrite").parquet(f"{self.home}/{folder}")
             folders[name] = [*(folders.get(name, []) if name not in tables else []), folder]
-        target = f"{self.home}/manifests/v{version}.json"
-        stream = self._fs.create(self._path(target + ".tmp"), True)
-        stream.write(bytearray(json.dumps(folders).encode()))
-        stream.close()
-        if not self._fs.rename(self._path(target + ".tmp"), self._path(target)):
-            raise OSError(f"version {version} could not be published")
+        self.write_json(f"{self.home}/manifests/v{version}.json", folders)
         return version
 
     def append(self, table: str, rows: DataFrame) -> int:

@@ -1,10 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators import evaluation, ingest, lifecycle
-from recollect.operators.ingest import _sentences
 from recollect.sources import files
 from recollect.sources.store import Store
 from recollect.streaming.ingest import ingest_stream
@@ -25,18 +25,59 @@ def test_windows(spark):
     assert got == [(1, 0, 270, "0"), (1, 1, 270, "235"), (1, 2, 130, "470"), (2, 0, 2, "one")]
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_sentence_chunk_properties(seed):
-    rng = random.Random(seed)
-    text = " ".join(" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(1, 60))) + rng.choice([".", "!", "?", ".\n"]) for _ in range(rng.randrange(1, 60)))
-    chunks = _sentences(text, 270, 300, 35)
-    assert chunks == _sentences(text, 270, 300, 35)
-    assert all(0 < n <= 300 for _, n in chunks) and all(n >= 200 for _, n in chunks[:-1])
-    words = text.split()
-    back = chunks[0][0].split()
-    for t, _ in chunks[1:]:
-        back += t.split()[35:]
-    assert back == words
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def slow_chunks(text, size=270, overlap=35, smallest=256, most=30):
+    """(ordinal, words, first byte, last byte, text) by plain loops over words."""
+    text = text or ""
+    at = [m.span() for m in WORD.finditer(text)]
+    cut, begin = [], 0
+    for i, (_, e) in enumerate(at):
+        gap, dot = text[e : at[i + 1][0] if i + 1 < len(at) else None], text[e - 1] in ".!?"
+        if i + 1 == len(at) or "\n" in gap or dot or i + 1 - begin == most:
+            cut.append((begin, i + 1, i + 1 - begin < most or dot))
+            begin = i + 1
+    out, begin, mark, starts, e = [], 0, None, [], 0
+    for s, e, whole in cut:
+        starts.append(s)
+        mark = e if whole and e - begin >= smallest else mark
+        if e - begin >= size:
+            out.append((begin, mark or e))
+            begin, mark = next(x for x in starts if x >= (out[-1][1]) - overlap), None
+    if e > (out[-1][1] if out else 0):
+        out.append((begin, e))
+    part = lambda a, b: text[at[a][0] : at[b - 1][1]]
+    first = lambda a: len(text[: at[a][0]].encode())
+    return [(k, b - a, first(a), first(a) + len(part(a, b).encode()), part(a, b)) for k, (a, b) in enumerate(out)]
+
+
+def test_sentence_chunks_against_plain_loops(spark):
+    rng = random.Random(5)
+
+    def text(n):
+        return "".join(rng.choice(["w", "árbol", "x" * rng.randint(1, 12)]) + rng.choice([""] * 6 + [".", "!", "?", "...", '."']) + rng.choice([" "] * 4 + ["  ", "\n", " \n ", "\t"]) for _ in range(n))
+
+    texts = [None, "", "  \n", "one", "a. b! c", "word " * 5000, "w. " * 3000, "…é\n" * 900, *(rng.choice(["", " ", "\n"]) + text(rng.randint(1, 2500)) for _ in range(40))]
+    rows = ingest.sentence_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        got = sorted(tuple(r)[1:] for r in rows if r["doc_id"] == i)
+        assert got == slow_chunks(t)
+        for _, n, start, end, own in got:
+            assert (t or "").encode()[start:end].decode() == own and len(WORD.findall(own)) == n <= 300
+
+
+def test_sentence_chunk_properties(spark):
+    """Short sentences: all but the last chunk hold 256 to 300 words, neighbours share 1 to 45 words, nothing is lost."""
+    rng = random.Random(6)
+    texts = [" ".join(" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(1, 25))) + rng.choice([".", "!", "?", ".\n"]) for _ in range(rng.randrange(20, 90))) for _ in range(64)]
+    rows = ingest.sentence_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["ordinal"])
+        assert own and all(256 <= r["n_tokens"] <= 300 for r in own[:-1]) and own[-1]["n_tokens"] <= 300
+        assert sum(r["n_tokens"] for r in own) >= len(t.split()) and own[0]["start"] == 0 and own[-1]["end"] == len(t.rstrip().encode())
+        for a, b in zip(own, own[1:]):
+            assert 1 <= len(t.encode()[b["start"] : a["end"]].split()) <= 45
 
 
 def test_delete_and_retention(spark):
