@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from recollect.llm._common import numbered
 
+#: Parts of a class at most: their sizes are added up in one task.
+SALTS = 4096
+
 
 def _price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of the largest total dual that fits the capacity (unbounded knapsack)."""
@@ -145,12 +148,12 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pack(pieces: DataFrame, size: int = 1024, grain: int = 4, keys: tuple[str, ...] = ("doc_id", "start"), length_col: str = "length", salt_rows: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, grain: int = 4, keys: tuple[str, ...] = ("doc_id", "start"), length_col: str = "length", salt_rows: int = 1000) -> DataFrame:
     """Adds sequence_id (from 0, without gaps) and offset (of the piece in its sequence, gapless from 0) to each piece.
 
     pieces is read three times: pass a saved table. Lengths are classed by grain, rounded up, so a piece wastes less
-    than grain ids against the ideal. A class is ranked in parts of about salt_rows rows, so one very frequent length is no
-    single task. A piece whose length is null, below 1 or above size gets nulls. Repeated rows each get a place of their own;
+    than grain ids against the ideal. A class is ranked in parts of about salt_rows rows (SALTS parts at most, then larger
+    ones), so one very frequent length is no single task. A piece whose length is null, below 1 or above size gets nulls. Repeated rows each get a place of their own;
     an empty table gives no rows; columns of the two added names are replaced, all others pass through under any name.
     """
     spark, units = pieces.sparkSession, size // grain
@@ -161,7 +164,7 @@ def pack(pieces: DataFrame, size: int = 1024, grain: int = 4, keys: tuple[str, .
     classed = flat.select(F.struct("*").alias("row"), kind.alias("class"), length.cast("long").alias("ids"), *(F.col(at[k]).alias(f"k{i}") for i, k in enumerate(keys)))
     order = [f"k{i}" for i in range(len(keys))]
     histogram = {r["class"]: r["n"] for r in classed.filter("class is not null").groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most size / grain rows
-    salts = F.array(*(F.lit(max(1, -(-histogram.get(c, 0) // salt_rows))) for c in range(1, units + 2)))
+    salts = F.array(*(F.lit(max(1, min(-(-histogram.get(c, 0) // salt_rows), SALTS))) for c in range(1, units + 2)))
     classed = classed.withColumn("salt", F.pmod(F.xxhash64(*order), F.element_at(salts, F.coalesce("class", F.lit(1)))).cast("int"))
     table = spark.createDataFrame(slots(cutting_stock(histogram, units)), "own int, lo long, hi long, many long, first long")
     per_salt = classed.filter("class is not null").groupBy("class", "salt").agg(F.count("*").alias("n"))
