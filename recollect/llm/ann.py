@@ -135,7 +135,8 @@ class Shard:
                 mine, rows = live[turn[live, step] == leaf], self.leaves[leaf]
                 rough = queries[mine] @ self.points[rows].T
                 rough[q_ids[mine][:, None] == self.ids[rows][None, :]] = -np.inf
-                a, b = np.nonzero((rough >= kth[mine][:, None] - 1e-9) & (rough > -np.inf))
+                room = 1e-9 * np.sqrt(square[mine] * ceiling)  # what two ways of summing may differ by
+                a, b = np.nonzero((rough >= (kth[mine] - room)[:, None]) & (rough > -np.inf))
                 if not len(a):
                     continue
                 exact = V.dots(queries[mine[a]], self.points[rows[b]])
@@ -200,14 +201,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
 
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller id. Null or zero vectors and those
     with null or non-finite components take no part, nor do rows with a null id or of another length than most; of
-    repeated ids one row counts. Fewer candidates than k are all returned; an empty table gives no rows. Other columns are
+    repeated ids the least vector counts, on both sides. Fewer candidates than k are all returned; an empty table gives no rows. Other columns are
     ignored. regions: by default as many as shards, between 16 and 1024. A shard of more than share_rows queries is searched
     by several tasks, each with its points and a share of the queries.
     """
     spark = vectors.sparkSession
 
     def ready(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), V.doubles(df, vec_col).alias("vec")).filter(V.usable("vec") & F.col("id").isNotNull()).dropDuplicates(["id"])
+        return df.select(F.col(id_col).cast("long").alias("id"), V.doubles(df, vec_col).alias("vec")).filter(V.usable("vec") & F.col("id").isNotNull()).groupBy("id").agg(F.min("vec").alias("vec"))
 
     points = ready(vectors)
     stats = points.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).orderBy(F.desc("n"), "dim").first()

@@ -105,3 +105,20 @@ def test_operators_ignore_clashing_columns(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3, 4, 5) for i in range(6)], SCHEMA + ", id int, score int, key int, links int")
     assert ann.nearest(df, df.filter("vec_id = 2")).count() == 5
     assert vector_dup.near_vectors(df).count() == 6
+
+
+def test_nearest_with_large_vectors_and_repeated_ids(spark):
+    """Products of vectors of size 1e6, many of them equal, and ids that stand on two rows in any order."""
+    rng = np.random.default_rng(8)
+    base = (rng.normal(size=(30, 16)) * 1e6).tolist()
+    rows = [(i, base[i % 30]) for i in range(200)] + [(5, base[7]), (20, base[3])]
+    want = None
+    for turn in range(2):
+        df = spark.createDataFrame(rows[::-1] if turn else rows, "vec_id long, embedding array<double>")
+        got = sorted(tuple(r) for r in ann.nearest(df, df.filter("vec_id % 20 = 0")).collect())
+        want = want or got
+        assert got == want
+    least = {i: min(v for j, v in rows if j == i) for i, _ in rows}
+    for q in range(0, 200, 20):
+        order = sorted(((-sum(a * b for a, b in zip(least[q], least[i])), i) for i in least if i != q))[:20]
+        assert [r[2] for r in want if r[0] == q] == [i for _, i in order]
