@@ -247,15 +247,22 @@ def rrf_many_lists(spark, sf):
     return fusion.rrf([ranked_lists(e, "event_type", "value", "event_id").withColumn("item", F.col("event_id") % 1000)], 60.0, "item")
 
 
-def ranked_lists(df: DataFrame, by: str, value: str, id_col: str, buckets: int = 256) -> DataFrame:
-    """Exact rank from 1 in each list by value, largest first: a rank inside a value bucket plus the rows of buckets above."""
+def ranked_lists(df: DataFrame, by: str, value: str, id_col: str) -> DataFrame:
+    """Exact rank from 1 in each list by value, largest first, nulls last, ties to the smaller id.
+
+    Rows are sorted by range of list, value and id, so neither a long list nor a value that many rows share is one task;
+    a rank is the place in its range plus the list's rows in the ranges before.
+    """
     from pyspark.sql import Window
 
-    bounds = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("_q"))
-    held = df.join(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_q", lambda q: q >= F.col(value)))).drop("_q")
-    above = held.groupBy(by, "_b").agg(F.count("*").alias("_m")).withColumn("_up", F.sum("_m").over(Window.partitionBy(by).orderBy("_b")) - F.col("_m"))
-    inside = F.row_number().over(Window.partitionBy(by, "_b").orderBy(F.desc(value), id_col))
-    return held.withColumn("_r", inside).join(above.select(by, "_b", "_up"), [by, "_b"]).withColumn("rank", F.col("_r") + F.col("_up")).drop("_b", "_r", "_up")
+    from recollect.functions.shared import save
+
+    order = [by, F.desc_nulls_last(value), id_col]
+    held = save(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = held.groupBy(by, "_p").agg(F.count("*").alias("_m")).withColumn("_up", F.sum("_m").over(Window.partitionBy(by).orderBy("_p")) - F.col("_m"))
+    inside = F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order[1:]))
+    ranked = held.withColumn("_r", inside).alias("h").join(before.alias("b"), F.col(f"h.{by}").eqNullSafe(F.col(f"b.{by}")) & (F.col("h._p") == F.col("b._p")))
+    return ranked.select(*(F.col(f"h.{c}") for c in df.columns), (F.col("_r") + F.col("_up")).alias("rank"))
 
 
 @query(LEGS + f", x AS (SELECT chunk_id, {TOK} AS toks FROM h JOIN documents ON doc_id = chunk_id) SELECT chunk_id, round((SELECT count(*) FROM {TERMS} WHERE list_contains(toks, term)) / 4.0, 6)::DOUBLE AS score FROM x ORDER BY score DESC, chunk_id LIMIT 10")

@@ -27,16 +27,18 @@ def counts_by(df: DataFrame, *keys: str) -> DataFrame:
 def nearest_rank(df: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.99), buckets: int = 1024) -> DataFrame:
     """Exact percentiles at rank round(p * (n - 1)) of each group: group, p50, p99 for the default shares.
 
-    Values are dealt to buckets by approximate quantile bounds of the whole column (a fixed number of them), so that a
-    frequent group is sorted in many tasks; a rank is its bucket's offset plus the rank inside.
+    Equal values are counted first, so a value that many rows share is one row. Values are dealt to buckets by approximate
+    quantile bounds (a fixed number of them), so that a frequent group is sorted in many tasks; a value's first rank is
+    its bucket's offset plus the rows of smaller values inside. Null values don't count; a null group is a group.
     """
-    bounds = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("_q"))
-    held = df.filter(F.col(value).isNotNull()).select(group, value).join(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(value)))).drop("_q")
-    sizes = held.groupBy(group, "_b").agg(F.count("*").alias("_m"))
+    each = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    bounds = each.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("_q"))
+    held = each.join(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(value)))).drop("_q")
     by = Window.partitionBy(group)
+    sizes = held.groupBy(group, "_b").agg(F.sum("_c").alias("_m"))
     sizes = sizes.withColumn("_before", F.sum("_m").over(by.orderBy("_b")) - F.col("_m")).withColumn("_n", F.sum("_m").over(by))
     inside = Window.partitionBy(group, "_b").orderBy(value)
-    ranked = held.withColumn("_r", F.row_number().over(inside) - 1).join(sizes.select(group, "_b", "_before", "_n"), [group, "_b"])
-    at = F.col("_before") + F.col("_r")
-    cols = [F.max(F.when(at == F.round((F.col("_n") - 1) * p), F.col(value))).alias(f"p{int(p * 100)}") for p in shares]
-    return ranked.groupBy(group).agg(*cols)
+    ranked = held.withColumn("_r", F.sum("_c").over(inside) - F.col("_c")).alias("h").join(sizes.alias("s"), F.col(f"h.{group}").eqNullSafe(F.col(f"s.{group}")) & (F.col("h._b") == F.col("s._b")))
+    at, want = F.col("_before") + F.col("_r"), lambda p: F.round((F.col("_n") - 1) * p)
+    cols = [F.max(F.when((at <= want(p)) & (want(p) < at + F.col("_c")), F.col(f"h.{value}"))).alias(f"p{int(p * 100)}") for p in shares]
+    return ranked.groupBy(F.col(f"h.{group}").alias(group)).agg(*cols)
