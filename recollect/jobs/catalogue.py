@@ -414,10 +414,16 @@ def page_text_length(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(X.html_text(F.col("html"))).cast("long").alias("n"))
 
 
-@query(HASHED + ", s AS (SELECT doc_id, content_hash FROM d WHERE lang = 'en') SELECT count(*) AS n_docs FROM (SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM s) UNION ALL SELECT doc_id FROM s)")
+@query(HASHED + """, i AS (SELECT doc_id + CASE WHEN doc_id % 3 = 1 THEN 1000000 ELSE 0 END AS doc_id, sha256(coalesce(lang, '') || chr(0) || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '!' END) AS content_hash FROM documents WHERE lang = 'en'),
+u AS (SELECT doc_id, content_hash FROM d WHERE doc_id NOT IN (SELECT doc_id FROM i) UNION ALL SELECT doc_id, content_hash FROM i)
+SELECT count(*) AS n_docs, count(*) FILTER (d.doc_id IS NULL) AS n_new, count(*) FILTER (d.content_hash <> u.content_hash) AS n_changed FROM u LEFT JOIN d USING (doc_id)""")
 def upsert_count(spark, sf):
-    d = hashed(spark, sf).select("doc_id", "tenant_id", "content_hash")
-    return ingest.upsert(d, d.filter("tenant_id = 'en'"), "doc_id").agg(F.count("*").alias("n_docs"))
+    """A third of a tenant's documents come again as they were, a third changed, and a third under new ids."""
+    d = hashed(spark, sf).select("doc_id", "content_hash")
+    again = chunks(spark, sf).filter("tenant_id = 'en'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "").otherwise("!")))
+    again = ingest.hashed(again).select((F.col("doc_id") + F.when(F.col("doc_id") % 3 == 1, 1_000_000).otherwise(0)).alias("doc_id"), "content_hash")
+    after = ingest.upsert(d, again, "doc_id").join(d.withColumnRenamed("content_hash", "was"), "doc_id", "left")
+    return after.agg(F.count("*").alias("n_docs"), F.count_if(F.col("was").isNull()).alias("n_new"), F.count_if(F.col("was") != F.col("content_hash")).alias("n_changed"))
 
 
 # Lifecycle
@@ -474,10 +480,14 @@ def lazy_compact_decision(spark, sf):
     return lifecycle.compact_decision(log(spark, sf), NOW, 15, "event_type", "ts")
 
 
-@query("SELECT change, count(*) AS n FROM (SELECT CASE WHEN p_size % 60 = 0 THEN 'disable' WHEN p_size > 30 THEN 'relax' ELSE 'tighten' END AS change FROM part) GROUP BY change")
+@query("""WITH p AS (SELECT CASE WHEN p_partkey % 11 <> 0 THEN p_size % 60 END AS was, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 7 % 60 END AS days FROM part),
+q AS (SELECT coalesce(was, 30) AS was, coalesce(days, 30) AS days FROM p)
+SELECT CASE WHEN was = days THEN 'none' WHEN days = 0 THEN 'disable' WHEN was = 0 THEN 'tighten' WHEN days > was THEN 'relax' ELSE 'tighten' END AS change, count(*) AS n FROM q GROUP BY ALL""")
 def retention_change(spark, sf):
-    days = F.when(F.col("p_size") % 60 == 0, 0).otherwise(F.col("p_size"))
-    return evaluation.counts_by(table(spark, sf, "part").select(lifecycle.retention_change(days).alias("change")), "change")
+    """Days of a policy before and after, each given or by default."""
+    days = lambda size, skip: F.when(F.col("p_partkey") % skip != 0, size % 60)
+    change = lifecycle.retention_change(days(F.col("p_size"), 11), days(F.col("p_size") * 7, 7))
+    return evaluation.counts_by(table(spark, sf, "part").select(change.alias("change")), "change")
 
 
 @query("SELECT e.event_id, e.event_type FROM events e LEFT JOIN (SELECT event_type, CAST(count(*) % 40 AS INT) AS days FROM events WHERE event_type <> 'click' GROUP BY event_type) p USING (event_type) WHERE coalesce(p.days, 30) > 0 AND e.ts < TIMESTAMP '2024-01-31' - to_days(coalesce(p.days, 30))")
@@ -527,7 +537,7 @@ def export_manifest(spark, sf):
     return files.export({"chunks": c, "docs": c.drop("text"), "feedback": feedback(spark, sf)}, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}")
 
 
-@query()
+@query("SELECT to_json({'chunk_id': doc_id, 'tenant_id': lang, 'workspace_id': source, 'doc_id': doc_id, 'text': text, 'source': source, 'n_chars': n_chars})::VARCHAR AS line FROM documents")
 def export_chunk_lines(spark, sf):
     return files.export_lines(chunks(spark, sf))
 
@@ -755,7 +765,15 @@ def graph_dump(spark, sf):
     return summary.dump(graph.build_edges(call_edges(spark, sf)))
 
 
-@query()
+SEMANTIC = STUB[: STUB.index("SELECT s.doc_id, place")].replace("SELECT doc_id, unnest", "SELECT id AS doc_id, unnest").replace("FROM documents)", "FROM texts)").replace("WITH t AS", """WITH texts AS (
+  SELECT p_partkey AS id, coalesce(p_name, '') || ' ' || coalesce(p_type, '') AS text FROM part UNION ALL SELECT NULL, 'small ring'),
+t AS""", 1)
+
+
+@query(SEMANTIC + """, v AS (SELECT s.doc_id, place, (v::FLOAT / norm)::DOUBLE AS x FROM s JOIN n ON s.doc_id IS NOT DISTINCT FROM n.doc_id),
+l AS (SELECT doc_id, sqrt(sum(x * x)) AS own FROM v GROUP BY doc_id),
+k AS (SELECT a.doc_id AS id, sum(a.x * b.x) AS dot FROM v a JOIN v b USING (place) WHERE a.doc_id IS NOT NULL AND b.doc_id IS NULL GROUP BY a.doc_id)
+SELECT id, round(dot / (own * (SELECT own FROM l WHERE doc_id IS NULL)), 6) AS score FROM k JOIN l ON l.doc_id = k.id ORDER BY score DESC, id LIMIT 20""")
 def code_semantic_search(spark, sf):
     return summary.semantic_search(concepts(spark, sf), "small ring", 20)
 

@@ -44,7 +44,7 @@ class Engine:
     def ingest(self, docs: DataFrame, workspace: str, agent: str, now: str, source: str = "text", on_conflict: str = "append") -> DataFrame:
         """Ingest docs (doc_id, text, optional metadata JSON) in one commit of chunks and docs. Returns doc_id, status, existing_id.
 
-        Blank texts are refused. Content that the tenant already holds, in any workspace and with chunks still there, is a
+        Blank texts and those of more than ingest.QUOTA chunks are refused. Content that the tenant already holds, in any workspace and with chunks still there, is a
         duplicate and writes nothing. on_conflict says what happens to the chunks of a known doc_id with new content:
         append keeps them, replace drops them.
         """
@@ -56,14 +56,15 @@ class Engine:
         rows = docs.select(F.col("doc_id").cast("string"), "text", F.get_json_object(meta, "$.title").alias("title"))
         rows = rows.withColumn("content_hash", content_hash(F.lit(self.tenant), F.col("text")))
         # ids and hashes are judged; only the texts of what is new move
-        asked = rows.select("doc_id", "content_hash", (~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).alias("_blank"))
+        asked = rows.select("doc_id", "content_hash", F.when(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)), "EMPTY_TEXT").when(ingest.over_quota(F.col("text")), "RESOURCE_EXHAUSTED").alias("_refused"))
         stored_chunks = self._chunks()
-        firsts = asked.filter("not _blank").groupBy("content_hash").agg(F.min("doc_id").alias("first"))
-        held = self.store.read("docs").select("content_hash", F.col("doc_id").alias("known")).join(firsts.select("content_hash"), "content_hash", "left_semi")
-        alive = held.join(stored_chunks.select(F.col("doc_id").alias("known")), "known", "left_semi").groupBy("content_hash").agg(F.min("known").alias("known"))
+        firsts = asked.filter("_refused is null").groupBy("content_hash").agg(F.min("doc_id").alias("first"))
+        held = self.store.read("docs").select("content_hash", "doc_id", "created_at").join(firsts.select("content_hash"), "content_hash", "left_semi")
+        alive = ingest.first_stored(held.join(stored_chunks.select("doc_id"), "doc_id", "left_semi"))
         judged = asked.join(firsts.join(alive, "content_hash", "left"), "content_hash", "left")
-        fresh = ~F.col("_blank") & F.col("known").isNull() & (F.col("doc_id") == F.col("first"))
-        judged = judged.select("doc_id", "content_hash", fresh.alias("_fresh"), F.when(F.col("_blank"), "EMPTY_TEXT").when(fresh, "ingested").otherwise("duplicate").alias("status"), F.when(~F.col("_blank") & ~fresh, F.coalesce("known", "first")).alias("existing_id"))
+        good = F.col("_refused").isNull()
+        fresh = good & F.col("known").isNull() & (F.col("doc_id") == F.col("first"))
+        judged = judged.select("doc_id", "content_hash", fresh.alias("_fresh"), F.when(~good, F.col("_refused")).when(fresh, "ingested").otherwise("duplicate").alias("status"), F.when(good & ~fresh, F.coalesce("known", "first")).alias("existing_id"))
         result = save(judged, "report")  # fixed before the store changes beneath it
         accepted = result.filter("_fresh").groupBy("doc_id").agg(F.min("content_hash").alias("content_hash"))
         new = rows.join(accepted, ["doc_id", "content_hash"], "left_semi").dropDuplicates(["doc_id"])

@@ -109,9 +109,13 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
-def over_quota(chunks: DataFrame, id_col: str = "doc_id", most: int = 10_000) -> DataFrame:
-    """Documents of more chunks than allowed."""
-    return chunks.groupBy(id_col).agg(F.count("*").alias("n_chunks")).filter(F.col("n_chunks") > most)
+#: Chunks of a document at most.
+QUOTA = 10_000
+
+
+def over_quota(text: Column, size: int = SIZE, overlap: int = OVERLAP, most: int = QUOTA) -> Column:
+    """Whether a text's windows would be more than allowed."""
+    return F.ceil((F.size(words(text)) - overlap) / (size - overlap)) > most
 
 
 def chunk_ids(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -120,6 +124,6 @@ def chunk_ids(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def first_stored(docs: DataFrame) -> DataFrame:
-    """The earliest document of each hash, by created_at and doc_id."""
-    order = Window.partitionBy("content_hash").orderBy("created_at", "doc_id")
-    return docs.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """content_hash and known: the earliest document of each hash, by created_at and doc_id (nulls last)."""
+    order = F.struct(F.col("created_at").isNull(), "created_at", "doc_id")
+    return docs.groupBy("content_hash").agg(F.min_by("doc_id", order).alias("known"))

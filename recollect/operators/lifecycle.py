@@ -55,13 +55,10 @@ def sweep_lines(lines: DataFrame, now: str, days: int, line_col: str = "line") -
     return unexpired(lines.withColumn("_ts", ts), now, days, "_ts").drop("_ts")
 
 
-def audit_horizon(audit_days: Column, days: Column) -> Column:
-    return F.coalesce(audit_days, days)
-
-
-def retention_change(days: Column, default: int = 30) -> Column:
-    """disable (0), relax (more than the default) or tighten."""
-    return F.when(days == 0, "disable").when(days > default, "relax").otherwise("tighten")
+def retention_change(was: Column, now: Column, default: int = 30) -> Column:
+    """What a policy's change does: disable (to 0, off), tighten (to fewer days, or on again), relax (to more) or none. A null follows the default."""
+    was, now = F.coalesce(was, F.lit(default)), F.coalesce(now, F.lit(default))
+    return F.when(was == now, "none").when(now == 0, "disable").when(was == 0, "tighten").when(now > was, "relax").otherwise("tighten")
 
 
 def compact_decision(rows: DataFrame, now: str, days: int, by: str, ts_col: str = "created_at") -> DataFrame:

@@ -118,9 +118,9 @@ def test_bulk_files(spark, tmp_path):
     (tmp_path / "sub" / "b.html").write_text("<p>Hola</p><script>x()</script> <b>mundo</b>")
     (tmp_path / "c.xyz").write_text("?")
     (tmp_path / "d.txt").write_text(" \n")
-    (tmp_path / "e.txt").write_text("")  # no bytes: the reader never lists it
+    (tmp_path / "e.txt").write_text("")
     got = {r["file"].rsplit("/", 1)[1]: (r["status"], r["reason"], r["text"]) for r in files.bulk(spark, str(tmp_path)).collect()}
-    assert got == {"a.md": ("ok", None, "# Título"), "b.html": ("ok", None, "Hola mundo"), "c.xyz": ("failed", "UNSUPPORTED_FORMAT", None), "d.txt": ("failed", "EMPTY_TEXT", None)}
+    assert got == {"a.md": ("ok", None, "# Título"), "b.html": ("ok", None, "Hola mundo"), "c.xyz": ("failed", "UNSUPPORTED_FORMAT", None), "d.txt": ("failed", "EMPTY_TEXT", None), "e.txt": ("failed", "EMPTY_TEXT", None)}
 
 
 def test_stream_ingests_each_content_once(spark, tmp_path):
@@ -144,6 +144,75 @@ def test_nearest_rank(spark):
     assert {r[0]: (r[1], r[2]) for r in evaluation.nearest_rank(d, "g", "v", buckets=8).collect()} == {"a": (50.0, 99.0), "b": (5.0, 5.0)}
 
 
+def test_nearest_rank_and_ranks_with_hot_and_null_values(spark):
+    from recollect.jobs.catalogue import ranked_lists
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), i, 5.0 if i % 2 else rng.choice([None, float(rng.randrange(40))])) for i in range(900)]
+    d = spark.createDataFrame(rows, "g string, i long, v double")
+    got = {r[0]: (r[1], r[2]) for r in evaluation.nearest_rank(d, "g", "v", buckets=8).collect()}
+    for g in ("a", "b", None):
+        v = sorted(x for k, _, x in rows if k == g and x is not None)
+        assert got[g] == tuple(v[int((len(v) - 1) * p + 0.5)] for p in (0.5, 0.99))
+    ranks = {r["i"]: r["rank"] for r in ranked_lists(d, "g", "v", "i").collect()}
+    for g in ("a", "b", None):
+        order = sorted(((x is None, -(x or 0), i) for k, i, x in rows if k == g))
+        assert [ranks[i] for _, _, i in order] == list(range(1, len(order) + 1))
+
+
+def test_walk_refuses_what_leads_out(spark, tmp_path):
+    """Reads nothing before the whole tree is known to lie inside; links inside are followed once, also in a circle."""
+    root, out = tmp_path / "root", tmp_path / "out"
+    (root / "sub").mkdir(parents=True)
+    out.mkdir()
+    (out / "secret.txt").write_text("secret")
+    (root / "b.txt").write_text("b")
+    (root / "sub" / "a.txt").write_text("a")
+    (root / "sub" / "again").symlink_to(root)
+    (root / "z.txt").symlink_to(root / "b.txt")
+    names = lambda rows: [r["file"].rsplit("/", 1)[1] for r in rows]
+    assert names(files.bulk(spark, str(root)).collect()) == ["b.txt", "a.txt"]  # by path, each file once
+    with pytest.raises(files.InvalidInput, match="climbs"):
+        files.bulk(spark, f"{root}/../out")
+    with pytest.raises(files.InvalidInput, match="isn't a folder"):
+        files.bulk(spark, str(root / "b.txt"))
+    (root / "leak").symlink_to(out)
+    with pytest.raises(files.InvalidInput, match="leads out"):
+        files.bulk(spark, str(root))
+
+
+def test_broken_backups_leave_the_store_alone(spark, tmp_path):
+    import json
+
+    from recollect.sources.backup import BackupCorrupt, backup, restore
+
+    key, root = b"0123456789abcdef0123456789abcdef", f"file://{tmp_path}"
+    s = Store(spark, f"{root}/a", "t")
+    s.append("chunks", spark.createDataFrame([(f"c{i}", "t", f"text {i}") for i in range(20)], "chunk_id string, tenant_id string, text string").repartition(2))
+    for turn, spoil in enumerate(["key", "line", "missing", "swapped", "manifest"]):
+        path = tmp_path / f"b{turn}"
+        backup(s, f"file://{path}", key, "2024-01-01 00:00:00")
+        assert json.loads((path / "key.json").read_text())["alg"] == "AES-GCM"
+        parts = sorted((path / "chunks").glob("part-*"))
+        full = [p for p in parts if p.stat().st_size]
+        for p in path.rglob(".*.crc"):
+            p.unlink()
+        if spoil == "line":
+            full[0].write_text(full[0].read_text()[: len(full[0].read_text()) // 2])
+        elif spoil == "missing":
+            full[0].unlink()
+        elif spoil == "swapped":
+            (path / "docs" / full[0].name).write_text(full[0].read_text())
+        elif spoil == "manifest":
+            (path / "manifest.json").write_text(json.dumps({"sealed": "00" * 40}))
+        fresh = Store(spark, f"{root}/r{turn}", "t")
+        with pytest.raises(BackupCorrupt, match="BACKUP_CORRUPT"):
+            restore(fresh, f"file://{path}", b"x" * 32 if spoil == "key" else key)
+        assert fresh.versions() == []
+    with pytest.raises(BackupCorrupt):
+        backup(s, f"{root}/b9", b"too-short")
+
+
 def test_backup_and_restore(spark, tmp_path):
     from recollect.sources.backup import backup, restore
 
@@ -155,9 +224,9 @@ def test_backup_and_restore(spark, tmp_path):
     assert restore(other, f"{root}/b", key) == 1
     order = lambda x: sorted(map(tuple, x.read("chunks").collect()), key=str)
     assert order(other) == order(s)
-    with pytest.raises(ValueError, match="STORE_NOT_EMPTY"):
+    with pytest.raises(ValueError, match="STORE_BUSY"):
         restore(other, f"{root}/b", key)
-    with pytest.raises(ValueError, match="TENANT_FORBIDDEN"):
+    with pytest.raises(ValueError, match="BACKUP_CORRUPT"):
         restore(Store(spark, f"{root}/d", "u"), f"{root}/b", key)
 
 
