@@ -94,8 +94,8 @@ class Store:
         newest = out.groupBy(NEWEST[table]).agg(F.max_by(F.struct("*"), added).alias("r"))
         return newest.select("r.*")
 
-    def commit(self, files: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
-        """The new version after writing these tables whole and adding rows to others. files: into how many files a table goes."""
+    def commit(self, files: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None, dropped: dict[str, list[str]] | None = None, **tables: DataFrame) -> int:
+        """The new version after writing these tables whole, dropping folders of others and adding rows to them. files: into how many files a table goes."""
         there = self.versions()
         version, folders = (there[-1] if there else 0) + 1, self.manifest()
         for name, df in [*tables.items(), *(added or {}).items()]:
@@ -104,7 +104,8 @@ class Store:
             if files and name in files:
                 out = out.repartition(files[name])
             out.write.mode("overwrite").parquet(f"{self.home}/{folder}")
-            folders[name] = [*(folders.get(name, []) if name not in tables else []), folder]
+            gone = (dropped or {}).get(name, [])
+            folders[name] = [*(f for f in folders.get(name, []) if name not in tables and f not in gone), folder]
         self.write_json(f"{self.home}/manifests/v{version}.json", folders)
         return version
 
@@ -120,11 +121,22 @@ class Store:
         return self.commit(chunks=survivors(chunks, where), docs=survivors(self.read("docs"), where), feedback=surviving_feedback(self.read("feedback"), chunks, where))
 
     def compact(self, file_bytes: int = 256 << 20) -> int:
-        """The newest version rewritten into files of about file_bytes; empty tables are left alone."""
-        size = lambda folders: sum(self._fs.getContentSummary(self._path(f"{self.home}/{f}")).getLength() for f in folders)
-        found = self.manifest()
-        full = {t: df for t in found if not (df := self.read(t)).isEmpty()}
-        return self.commit(files={t: size(found[t]) // file_bytes + 1 for t in full}, **full)
+        """A new version in which folders of small (or far too large) files are one of files of about file_bytes.
+
+        Folders whose files are of that order are kept as they are, all of them where nothing is small. Tables of which the newest row counts are rewritten whole,
+        as the order of their folders matters, but only the rows that count.
+        """
+        changed: dict[str, tuple[list[str], DataFrame, int]] = {}
+        for table, folders in self.manifest().items():
+            sizes = {f: self._fs.getContentSummary(self._path(f"{self.home}/{f}")) for f in folders}
+            files = {f: sum(n.startswith("part-") for n in self.names(f"{self.home}/{f}")) for f in folders}
+            each = {f: sizes[f].getLength() / max(files[f], 1) for f in folders}
+            small = [f for f in folders if not file_bytes / 2 <= each[f] <= 2 * file_bytes]
+            small = folders if small and table in NEWEST else small
+            total = sum(sizes[f].getLength() for f in small)
+            if sum(files[f] for f in small) != total // file_bytes + 1:
+                changed[table] = (small, self.read(table) if table in NEWEST else self.read_folders(table, small), total // file_bytes + 1)
+        return self.commit(files={t: n for t, (_, _, n) in changed.items()}, added={t: df for t, (_, df, _) in changed.items()}, dropped={t: gone for t, (gone, _, _) in changed.items()})
 
     def prune(self) -> int:
         """Drop all versions but the newest, and folders no longer used. Returns the bytes freed."""

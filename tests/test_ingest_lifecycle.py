@@ -267,3 +267,25 @@ def test_bulk_survives_bad_files(spark, tmp_path):
     (tmp_path / "h.txt").write_bytes(b"x" * (files.LARGEST + 1))
     got = {r["file"].rsplit("/", 1)[1]: (r["status"], r["reason"], r["text"]) for r in files.bulk(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("ok", None, "fine"), "b.md": ("failed", "MALFORMED_TEXT", None), "c.html": ("ok", None, "x"), "d.txt": ("failed", "EMPTY_TEXT", None), "e.pdf": ("failed", "UNSUPPORTED_FORMAT", None), "f.txt": ("ok", None, "with mark"), "g": ("failed", "UNSUPPORTED_FORMAT", None), "h.txt": ("failed", "RESOURCE_EXHAUSTED", None)}
+
+
+def test_compaction_rewrites_small_folders_only(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}", "t")
+    rows = lambda lo, hi: spark.createDataFrame([(f"c{i}", "t", f"text {i} " * 20) for i in range(lo, hi)], "chunk_id string, tenant_id string, text string")
+    s.append("chunks", rows(0, 4000).coalesce(1))
+    large = s.folders("chunks")[0]
+    limit = 2 * s._fs.getContentSummary(s._path(f"{s.home}/{large}")).getLength() - 1000
+    for k in range(4):
+        s.append("chunks", rows(5000 + 10 * k, 5010 + 10 * k).repartition(3))
+    for turn in range(3):
+        s.append("docs", spark.createDataFrame([("d", f"title {turn}"), (f"e{turn}", "x")], "doc_id string, title string"))
+    before = {t: sorted(map(tuple, s.read(t).collect()), key=str) for t in ("chunks", "docs")}
+    assert ("title 2" in str(before["docs"])) and len(before["docs"]) == 4
+    was = len(s.versions())
+    version = s.compact(limit)
+    assert version == was + 1 and {t: sorted(map(tuple, s.read(t).collect()), key=str) for t in before} == before
+    kept, new = s.folders("chunks")
+    assert kept == large and len(s.folders("docs")) == 1
+    written = s._fs.getContentSummary(s._path(f"{s.home}/{new}")).getLength()
+    assert written < limit // 10 and sum(n.startswith("part-") for n in s.names(f"{s.home}/{new}")) == 1
+    assert s.compact(limit) == version + 1 and s.folders("chunks") == [kept, new] and {t: sorted(map(tuple, s.read(t, was).collect()), key=str) for t in before} == before
