@@ -778,6 +778,29 @@ def code_semantic_search(spark, sf):
     return summary.semantic_search(concepts(spark, sf), "small ring", 20)
 
 
+@query(WINDOWS.replace("FROM documents)", "FROM (SELECT min(doc_id::VARCHAR) AS doc_id, text FROM documents WHERE regexp_matches(text, '\\S') GROUP BY text))") + """, d AS (SELECT text, regexp_matches(coalesce(text, ''), '\\S') AS good FROM documents),
+s AS (SELECT count(*) FILTER (good) AS good, count(DISTINCT text) FILTER (good) AS once, count(*) FILTER (NOT good) AS blank FROM d),
+k AS (SELECT count(*) AS n, count(DISTINCT array_to_string(p, ' ')) AS once FROM p)
+SELECT 'documents_total' AS name, 'status="ingested"' AS labels, once::DOUBLE AS value FROM s UNION ALL SELECT 'documents_total', 'status="duplicate"', good - once FROM s UNION ALL SELECT 'documents_total', 'status="EMPTY_TEXT"', blank FROM s
+UNION ALL SELECT 'documents_total', 'status="RESOURCE_EXHAUSTED"', 0 UNION ALL SELECT 'chunks_total', '', n FROM k UNION ALL SELECT 'embeddings_total', '', once FROM k UNION ALL SELECT 'expired_total', '', n FROM k
+UNION ALL SELECT 'operations_total', 'action="' || a || '",outcome="ok"', 1 FROM (SELECT unnest(['ingest', 'search', 'sweep']) AS a)
+UNION ALL SELECT 'operation_seconds_count', 'action="' || a || '"', 1 FROM (SELECT unnest(['ingest', 'search', 'sweep']) AS a)""")
+def metrics_series(spark, sf):
+    """All documents ingested, one search and a sweep that drops everything: the counters that the jobs themselves took on the way."""
+    import uuid
+
+    from recollect.functions.shared import shared_dir
+    from recollect.jobs.engine import Engine
+    from recollect.sources import metrics
+
+    e = Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", "t")
+    e.ingest(table(spark, sf, "documents").select("doc_id", "text"), "w", "me", "2024-01-01 00:00:00")
+    e.search(QUERY, "w").count()
+    e.sweep("2025-01-01 00:00:00")
+    e.metrics.flush("2025-01-01 00:00:00")
+    return metrics.series(metrics.read(spark, e.metrics.path)).filter("name not in ('operation_seconds_bucket', 'operation_seconds_sum')")
+
+
 @query("SELECT event_type AS action, CASE WHEN value < 10 THEN 'error' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY ALL")
 def audit_outcomes(spark, sf):
     """Events written as an audit log, read back and counted."""

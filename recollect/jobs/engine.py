@@ -12,6 +12,7 @@ from recollect.functions.text import content_hash, is_source_label
 from recollect.jobs.indexing import StoredIndex
 from recollect.operators import code, context, embedding, fusion, graph, ingest, lexical, lifecycle, ports, scope, summary, vector
 from recollect.sources import files
+from recollect.sources.metrics import Metrics
 from recollect.sources.store import Store
 
 
@@ -19,6 +20,10 @@ class NotFound(LookupError):
     """NOT_FOUND: no such chunk or document in the tenant."""
 
 
+#: What an ingest says of a document.
+STATUSES = ("ingested", "duplicate", "EMPTY_TEXT", "RESOURCE_EXHAUSTED")
+
+
 @dataclass
 class Engine:
     """One tenant's memory. now is given to every job that stamps or compares times."""
@@ -33,6 +38,7 @@ class Engine:
         self.store = Store(self.spark, self.root, self.tenant)
         self.texts = StoredIndex(self.store)
         self.cache = ports.EmbeddingCache(self.spark, f"{self.store.home}/cache", self.embedder)
+        self.metrics = Metrics(self.spark, f"{self.store.home}/metrics")
         #: Texts that the last ingest embedded, and searches that kept the fused order although reranking was asked for.
         self.embedded = self.degraded = 0
 
@@ -48,6 +54,10 @@ class Engine:
         duplicate and writes nothing. on_conflict says what happens to the chunks of a known doc_id with new content:
         append keeps them, replace drops them.
         """
+        with self.metrics.timed("ingest"):
+            return self._ingest(docs, workspace, agent, now, source, on_conflict)
+
+    def _ingest(self, docs: DataFrame, workspace: str, agent: str, now: str, source: str, on_conflict: str) -> DataFrame:
         if on_conflict not in ("append", "replace"):
             raise ValueError("on_conflict must be append or replace")
         if not docs.sparkSession.range(1).select(is_source_label(F.lit(source))).first()[0]:
@@ -65,12 +75,15 @@ class Engine:
         good = F.col("_refused").isNull()
         fresh = good & F.col("known").isNull() & (F.col("doc_id") == F.col("first"))
         judged = judged.select("doc_id", "content_hash", fresh.alias("_fresh"), F.when(~good, F.col("_refused")).when(fresh, "ingested").otherwise("duplicate").alias("status"), F.when(good & ~fresh, F.coalesce("known", "first")).alias("existing_id"))
+        judged = self.metrics.observed(judged, "documents_total", "status", **{s: F.count_if(F.col("status") == s) for s in STATUSES})
         result = save(judged, "report")  # fixed before the store changes beneath it
         accepted = result.filter("_fresh").groupBy("doc_id").agg(F.min("content_hash").alias("content_hash"))
         new = rows.join(accepted, ["doc_id", "content_hash"], "left_semi").dropDuplicates(["doc_id"])
         stamp = {"tenant_id": F.lit(self.tenant), "workspace_id": F.lit(workspace), "agent_id": F.lit(agent), "source": F.lit(source), "created_at": F.lit(now).cast("timestamp")}
         cut = ingest.chunk_ids(ingest.windows(new)).withColumns(stamp).withColumn("embedding_model_version", F.lit(self.embedder.version))
         chunks, self.embedded = self.cache.add(cut)
+        self.metrics.count("embeddings_total", self.embedded)
+        chunks = self.metrics.observed(chunks, "chunks_total", n=F.count("*"))
         added = {"docs": new.select("doc_id", "title", "content_hash").withColumns(stamp)}  # of a known document the newest row counts
         if on_conflict == "append":
             self.store.commit(added=added | {"chunks": chunks})
@@ -101,6 +114,10 @@ class Engine:
 
     def search(self, query: str, workspace: str, top_k: int = 20, hybrid: bool = False, rerank: bool = False, doc_id: str | None = None, source: str | None = None, rrf_k: float = 60.0, filter_mode: str = "post") -> DataFrame:
         """chunk_id and score, best first. A blank query gives none; rerank applies to hybrid search only."""
+        with self.metrics.timed("search"):
+            return self._search(query, workspace, top_k, hybrid, rerank, doc_id, source, rrf_k, filter_mode)
+
+    def _search(self, query: str, workspace: str, top_k: int, hybrid: bool, rerank: bool, doc_id: str | None, source: str | None, rrf_k: float, filter_mode: str) -> DataFrame:
         k = scope.top_k_or_default(top_k)
         chunks = self._chunks(workspace)
         keep: Column | None = None
@@ -121,6 +138,8 @@ class Engine:
             return fusion.rerank(hits, chunks, query, k)
         out = ports.rerank(hits, chunks, query, k, self.scorer)
         self.degraded += out.degraded is not None
+        if out.degraded is not None:
+            self.metrics.count("degraded_total", reason=out.degraded)
         return out.hits
 
     def hits(self, found: DataFrame) -> DataFrame:
@@ -208,12 +227,14 @@ class Engine:
 
     def sweep(self, now: str, days: int = 30) -> int:
         """Drop chunks older than days (0: off) and compact only if any were. Returns how many."""
-        chunks = self._chunks()
-        n = lifecycle.expired(chunks, now, days).count()
-        if n:
-            self.store.commit(chunks=lifecycle.unexpired(chunks, now, days))
-            self.store.compact()
-        return n
+        with self.metrics.timed("sweep"):
+            chunks = self._chunks()
+            n = lifecycle.expired(chunks, now, days).count()
+            if n:
+                self.store.commit(chunks=lifecycle.unexpired(chunks, now, days))
+                self.store.compact()
+            self.metrics.count("expired_total", n)
+            return n
 
     def stats(self) -> DataFrame:
         from recollect.operators.evaluation import stats_rollup

@@ -85,6 +85,8 @@ class Index:
     segments: list[str]
     dead: list[str] = field(default_factory=list)
     tenant: str | None = None
+    #: Sums by tenant, as no table of an index ever changes.
+    known: dict = field(default_factory=dict, compare=False)
 
     def of(self, tenant: str | None) -> "Index":
         """The part of one tenant; None: all."""
@@ -115,12 +117,15 @@ class Index:
 
     def totals(self) -> tuple[int, int]:
         """Documents and tokens."""
+        if self.tenant in self.known:
+            return self.known[self.tenant]
         sums = lambda df, n, total: df.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first()
         n, total = sums(self.table("stats"), "n", "total")
         gone = self.gone()
         if gone is not None:
             less, fewer = sums(gone, F.lit(1), "dl")
             n, total = n - less, total - fewer
+        self.known[self.tenant] = n, total
         return n, total
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
@@ -154,7 +159,7 @@ def write_segment(docs: DataFrame, path: str, carry: tuple[str, ...] = (), id_co
 
 def merge_segments(index: Index, segments: list[str], path: str) -> str:
     """Some segments of an index as one, without the dead; nothing is tokenised. Returns path."""
-    part = replace(index, segments=segments)
+    part = replace(index, segments=segments, known={})
     rows = part.alive(part.table("docs")).withColumnsRenamed({"segment": "was", "shard": "was_shard", "ord": "was_ord"})
     placed = save(_placed(rows, ["chunk_id", "was", "was_shard", "was_ord"]), "placed")
     to = placed.select(F.col("was").alias("segment"), F.col("was_shard").alias("old"), F.col("was_ord").alias("ord"), F.col("tenant_id").alias("owner"), "shard", F.col("ord").alias("new"), "avgdl")
