@@ -66,6 +66,8 @@ def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
 
 #: Documents of a shard, postings of a block, (query, term) pairs that are sent to all shards at once, segments of a size merged at once.
 SHARD, BLOCK, PAIRS, FAN = 8192, 1024, 200_000, 4
+#: Terms that a filter names one by one.
+FEW = 64
 #: Room for sums of doubles in another order, and for scores that are equal once rounded.
 SLACK = 2e-6
 PLACE = ["segment", "tenant_id", "shard"]
@@ -128,13 +130,18 @@ class Index:
         self.known[self.tenant] = n, total
         return n, total
 
+    def held(self, name: str, terms: list[str]) -> DataFrame:
+        """Rows of these terms: a few prune row groups, many (at most PAIRS) are sent to all tasks."""
+        if len(terms) <= FEW:
+            return self.table(name).filter(F.col("term").isin(terms))
+        return self.table(name).join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+
     def frequencies(self, terms: list[str]) -> dict[str, int]:
         """In how many documents each term is; terms in none are left out."""
-        held = lambda name: self.table(name).filter(F.col("term").isin(terms))
-        found = {r["term"]: r["df"] for r in held("terms").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        found = {r["term"]: r["df"] for r in self.held("terms", terms).groupBy("term").agg(F.sum("df").alias("df")).collect()}
         gone = self.gone()
         if gone is not None and found:
-            each = held("postings").select(*PLACE, "term", F.explode("ords").alias("ord"))
+            each = self.held("postings", terms).select(*PLACE, "term", F.explode("ords").alias("ord"))
             lost = each.alias("p").join(gone.alias("g"), (F.col("p.segment") == F.col("g.segment")) & F.col("p.tenant_id").eqNullSafe(F.col("g.tenant_id")) & (F.col("p.shard") == F.col("g.shard")) & (F.col("p.ord") == F.col("g.ord")))
             for r in lost.groupBy("term").count().collect():
                 found[r["term"]] -= r["count"]
@@ -172,9 +179,9 @@ def merge_segments(index: Index, segments: list[str], path: str) -> str:
 
 def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds shard, ord (numbers in a shard, by id) and avgdl of the tenant. Small tables are dealt to several shards too."""
-    cores = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     sizes = rows.groupBy(F.col("tenant_id").alias("owner")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    sizes = sizes.select("owner", "avgdl", F.ceil(F.col("n") / F.least(F.lit(SHARD), F.greatest(F.lit(256), F.col("n") / cores))).alias("shards"))
+    sizes = sizes.select("owner", "avgdl", F.ceil(F.col("n") / F.least(F.lit(SHARD), F.greatest(F.lit(1024), F.col("n") / cores))).alias("shards"))
     dealt = rows.join(sizes, F.col("tenant_id").eqNullSafe(F.col("owner"))).drop("owner").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int")).drop("shards")
     return dealt.withColumn("ord", (F.row_number().over(Window.partitionBy("tenant_id", "shard").orderBy(*order)) - 1).cast("int"))
 
@@ -226,7 +233,7 @@ class Postings:
                 at = ords[keep]
                 score[at] += w * term_weight(tf[keep], dl[keep], self.avgdl)
                 self.scored += len(at)
-            if self.most > k:
+            if self.most > k and rest < score.max():  # else no document is safe yet
                 kth = float(np.partition(score, self.most - k)[self.most - k])
         found = np.flatnonzero(score > 0)
         if len(found) > k:
@@ -290,7 +297,7 @@ def _found(index: Index, asked: dict[int, list[str]], k: int, keep: Column | Non
         return None
     idfs = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
     weighed = {q: {t: idfs[t] for t in terms if t in idfs} for q, terms in asked.items()}
-    blocks = index.table("postings").filter(F.col("term").isin(list(df))).select(*PLACE, "term", "block", "ords", "tfs", "dls", "max_tf", "min_dl")
+    blocks = index.held("postings", list(df)).select(*PLACE, "term", "block", "ords", "tfs", "dls", "max_tf", "min_dl")
     none, docs, gone = (lambda t, c: F.lit(None).cast(t).alias(c)), index.table("docs"), index.gone()
     for number, mask in ((-1, None if keep is None else docs.filter(keep)), (-2, gone)):
         if mask is not None:
