@@ -24,12 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
+from recollect.llm._common import save
+
 CRLF = "\r\n"
 #: RFC 4648 base32 digits (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The first bytes of a gzip member with an extra field, and its fixed rest: no time, unknown system (RFC 1952, fixed values).
 MEMBER = b"\x1f\x8b\x08\x04"
 SL = struct.Struct("<H2sHII")  # length of the extra field, "sl", 8, bytes of the member, bytes of the record
+#: A payload is hot beyond COMMON copies and 1/HOT of all copies.
+COMMON, HOT = 1000, 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "date": "WARC-Date", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "content_type": "Content-Type"}
@@ -49,12 +53,22 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Of records whose payloads are equal and have at least min_bytes bytes, the one with the smallest id is a response and
     the others are revisits of it; smaller payloads are all responses. Rows that repeat that smallest id are responses
     too; a null id is never the one referred to. A null body is an empty payload. Equality is that of the SHA-1 digest.
+    Payloads that more than 1/HOT of all copies share are looked up in a broadcast table of fewer than HOT rows, so their
+    pages never meet in one task. The repeated digests are found, and saved, when this is called.
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("payload_bytes", F.octet_length("body").cast("long")).withColumn("payload_digest", base32_sha1(F.col("body").cast("binary")))
-    first = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"))
-    out = rows.join(first, "payload_digest", "left")
+    first = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    first = save(first.filter("_n > 1"), "repeated")
+    copies = first.agg(F.sum("_n")).first()[0] or 0
+    common = F.col("_n") > F.greatest(F.lit(COMMON), F.lit(copies // HOT))  # so of fewer than HOT digests
+    hot = first.filter(common).select("payload_digest", F.col("_first").alias("_hot"), F.lit(True).alias("_known"))
+    out = rows.join(F.broadcast(hot), "payload_digest", "left")
+    # copies of a hot payload are decided already and go to places of their own; no digest holds a blank
+    place = F.when(F.col("_known").isNull(), F.col("payload_digest")).otherwise(F.concat_ws(" ", F.lit(""), F.xxhash64("page_id", "url")))
+    rest = first.filter(~common).select(F.col("payload_digest").alias("_place"), "_first")
+    out = out.withColumn("_place", place).join(rest, "_place", "left").withColumn("_first", F.coalesce("_hot", "_first")).drop("_hot", "_known", "_place")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return out.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_first")
 

@@ -182,3 +182,20 @@ def test_broken_archives(spark, archive, tmp_path):
             warc.read_warc(spark, path).collect()
         got = {r["record_id"] for r in warc.read_warc(spark, path, mode="permissive").collect()}
         assert least <= len(got) <= n
+
+
+def test_a_hot_payload_is_decided_without_meeting_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COMMON", 3)
+    bodies = {i: "hot" if i % 2 else f"page {i // 3}" for i in range(40)} | {50: None, 51: None, 52: ""}
+    rows = [(i, f"http://x/{i}", b) for i, b in bodies.items()] + [(None, None, "hot"), (1, "http://again", "hot"), (None, None, "alone")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    planned = warc.plan_records(df)
+    least = {}
+    for i, _, b in rows:
+        if i is not None:
+            least[b or ""] = min(i, least.get(b or "", i))
+    expected = sorted(str((i, u, None if least.get(b or "") in (None, i) else least[b or ""])) for i, u, b in rows)
+    assert sorted(str((r["page_id"], r["url"], r["refers_to"])) for r in planned.collect()) == expected
+    assert planned.columns == warc.plan_records(df.limit(0)).columns
+    places = planned.filter("body = 'hot'").groupBy("refers_to").count().collect()
+    assert {r["refers_to"]: r["count"] for r in places} == {1: 20, None: 2}
