@@ -3,19 +3,60 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 
-_accented = [chr(i) for i in range(0xE0, 0x180) if len(unicodedata.normalize("NFD", chr(i))) > 1 and chr(i).islower()]
-_plain = [unicodedata.normalize("NFD", c)[0] for c in _accented]
+#: Blocks of combining marks that folding drops, first and last code point (fixed values).
+MARKS = ((0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0x3099, 0x309A), (0xFE20, 0xFE2F))
+#: Hangul syllables, and the first of their leading, middle and trailing letters with the numbers of the latter two (Unicode, fixed values).
+SYLLABLES, LEAD, VOWEL, TAIL, VOWELS, TAILS = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A7, 21, 28
+
+
+@cache
+def _decompositions() -> tuple[str, str, tuple[str, ...], tuple[str, ...]]:
+    """Characters that become one, with those, then the marks, which become none; characters that become several, with those."""
+    marks = {i for lo, hi in MARKS for i in range(lo, hi + 1)}
+    one, several = {}, {}
+    for i in range(0x80, 0x110000):
+        if 0xD800 <= i < 0xE000 or SYLLABLES[0] <= i <= SYLLABLES[1]:
+            continue
+        whole = unicodedata.normalize("NFKD", chr(i))
+        bare = "".join(c for c in whole if ord(c) not in marks)
+        if bare != chr(i):
+            (several if len(bare) > 1 else one)[chr(i)] = bare
+    none = [c for c, d in one.items() if not d]
+    ones = {c: d for c, d in one.items() if d}
+    return "".join([*ones, *none]), "".join(ones.values()), tuple(several), tuple(several.values())
+
+
+def _syllable(c: Column) -> Column:
+    """The letters of a Hangul syllable."""
+    at = F.ascii(c) - SYLLABLES[0]
+    row = lambda first, n: F.lit("".join(map(chr, range(first, first + n))))
+    pick = lambda letters, i: F.substr(letters, i.cast("int"), F.lit(1))
+    lead = pick(row(LEAD, 19), F.floor(at / (VOWELS * TAILS)) + 1)
+    vowel = pick(row(VOWEL, VOWELS), F.floor(at % (VOWELS * TAILS) / TAILS) + 1)
+    tail = F.when(at % TAILS > 0, pick(row(TAIL + 1, TAILS - 1), at % TAILS)).otherwise(F.lit(""))
+    return F.concat(lead, vowel, tail)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, for Latin letters with one combining mark."""
-    return F.translate(F.lower(text), "".join(_accented), "".join(_plain))
+    """Lower case of the full compatibility decomposition without its combining marks; null for null.
+
+    `É` is `e`, `ﬁ` is `fi`, `™` is `tm`. Marks outside MARKS stay, in the order they stand in. Texts of ASCII alone are only
+    lowered; characters that become several are looked up once for each kind of them in a text.
+    """
+    before, after, several, parts = _decompositions()
+    syllables = f"[{chr(SYLLABLES[0])}-{chr(SYLLABLES[1])}]"
+    part = lambda c: F.element_at(F.split(F.lit("\n".join(parts)), "\n"), F.position(c, F.lit("".join(several))))
+    spread = lambda t: F.aggregate(F.array_intersect(F.split(t, ""), F.split(F.lit("".join(several)), "")), t, lambda done, c: F.replace(done, c, part(c)))
+    letters = lambda t: F.when(t.rlike(syllables), F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.rlike(syllables), _syllable(c)).otherwise(c)), "")).otherwise(t)
+    wide = F.transform(F.array(F.translate(text, before, after)), lambda t: letters(spread(t)))
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(wide.getItem(0)))
 
 
 def tokens(text: Column) -> Column:

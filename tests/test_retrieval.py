@@ -1,4 +1,5 @@
 import math
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,24 @@ def test_fold_and_tokens(spark):
     assert row["t"] == ["el", "nino", "straße", "42"] and row["n"] == []
 
 
+def test_fold_of_every_code_point(spark):
+    marks = {i for lo, hi in X.MARKS for i in range(lo, hi + 1)}
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) not in marks).lower()
+    known = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs") and c != "\n"]
+    rows = [(i, "\n".join(known[i : i + 2048])) for i in range(0, len(known), 2048)]
+    got = {r["i"]: r["f"] for r in spark.createDataFrame(rows, "i int, t string").select("i", X.fold(F.col("t")).alias("f")).collect()}
+    wrong = [c for i, _ in rows for c, f in zip(known[i : i + 2048], got[i].split("\n"), strict=True) if f != plain(c)]
+    assert not wrong
+
+
+def test_fold_in_texts(spark):
+    texts = ["", "plain ASCII", "ﬁne … ﬁn™ ½", "한국어 각 ÉTÉ", "e\u0301a\u0301", "İstanbul", "\U0001d400\U0001d401", "x" * 100_000 + "ﬃ", None]
+    got = [r["f"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(X.fold(F.col("t")).alias("f")).collect()]
+    assert got[:3] == ["", "plain ascii", "fine ... fintm 1⁄2"]
+    assert got[3] == unicodedata.normalize("NFD", "한국어 각") + " ete" and got[4:7] == ["ea", "istanbul", "ab"]
+    assert got[7] == "x" * 100_000 + "ffi" and got[8] is None
+
+
 def test_bm25_by_hand(docs):
     got = {r["chunk_id"]: r["score"] for r in lexical.bm25(docs, "árbol", 10).collect()}
     n, df, avgdl = 5, 2, (4 + 2 + 1) / 5
