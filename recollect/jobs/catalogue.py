@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text as X
-from recollect.operators import code, context, embedding, evaluation, fusion, graph, ingest, lexical, lifecycle, scope, summary, vector
+from recollect.operators import code, context, embedding, evaluation, fusion, graph, ignore, ingest, lexical, lifecycle, scope, summary, vector
 from recollect.sources import audit, files
 
 QUERY, WORKSPACE, NOW = "license from thing that", "src0", "2024-01-31 00:00:00"
@@ -178,6 +178,20 @@ def fts_accent_fold(spark, sf):
     return table(spark, sf, "documents").select("doc_id", toks.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("folded"))
 
 
+LISTED = "SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'und') AS lang, coalesce(doc_id::VARCHAR, 'x') AS name FROM documents"
+
+
+@query(f"WITH f AS ({LISTED}), o AS (SELECT source, min(lang) AS own FROM f GROUP BY source) SELECT doc_id, CASE WHEN lang = own THEN name NOT LIKE '%0' ELSE name LIKE '%7' AND lang <> 'en' END AS ignored FROM f JOIN o USING (source)")
+def scan_ignored(spark, sf):
+    """Documents as a tree source/lang/id.txt under rules at the root and in each source's folder."""
+    docs = table(spark, sf, "documents")
+    named = docs.select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x")).alias("name"))
+    files = named.select("doc_id", F.concat_ws("/", "source", "lang", F.concat("name", F.lit(".txt"))).alias("file"))
+    own = named.groupBy("source").agg(F.min("lang").alias("lang")).select(F.concat("source", F.lit("/.gitignore")).alias("file"), F.format_string("/%s/*.txt\n!/%s/*0.txt", "lang", "lang").alias("text"))
+    top = spark.createDataFrame([(".gitignore", "*7.txt\n!*/en/*7.txt")], "file string, text string")
+    return ignore.judged(files, ignore.rules(own.unionByName(top))).select("doc_id", "ignored")
+
+
 # Vector retrieval
 
 

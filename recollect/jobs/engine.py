@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from recollect.functions.shared import save
 from recollect.functions.text import content_hash, is_source_label
 from recollect.jobs.indexing import StoredIndex
-from recollect.operators import code, context, embedding, fusion, graph, ingest, lexical, lifecycle, ports, scope, summary, vector
-from recollect.sources import files
+from recollect.operators import code, context, embedding, fusion, graph, ignore, ingest, lexical, lifecycle, ports, scope, summary, vector
+from recollect.sources import config, files
 from recollect.sources.metrics import Metrics
 from recollect.sources.store import Store
 
@@ -208,6 +208,19 @@ class Engine:
         self.store.commit(symbols=code.replace_project(self.store.read("symbols"), project, rows))
         return {"n_concepts": n, "n_edges": self.project_table(project, "edges").count()}
 
+    def index_sources(self, project: str, sources: DataFrame, now: str) -> dict[str, int]:
+        """index_project on source files (file, text) without what their ignore rules leave out; calls go to the first definition of a name.
+
+        Also says how many files were scanned, and how many of them skipped as of another language or malformed.
+        """
+        scanned = ignore.scan(sources)
+        found = save(code.python_concepts(scanned), "sources")
+        concepts = found.filter("kind <> 'skipped'").withColumn("description", F.lit(""))
+        firsts = code.first_definition(concepts).select("name", F.col("id").alias("target"))
+        calls = concepts.select(F.col("id").alias("source"), F.explode("calls").alias("name")).join(firsts, "name").select("source", "target")
+        counts = {"n_files": scanned.select("file").distinct().count(), "n_skipped": found.filter("kind = 'skipped'").count()}
+        return counts | self.index_project(project, concepts.drop("calls"), calls, now)
+
     def project_table(self, project: str, name: str) -> DataFrame | None:
         """concepts, edges or vectors of a project; None where there is no such table."""
         path = f"{self.store.home}/projects/{project}/{name}"
@@ -225,8 +238,9 @@ class Engine:
     def callers(self, project: str, name: str, depth: int | None = 1) -> DataFrame:
         return code.related(self._project(project, "edges"), self._project(project, "concepts"), name, depth)
 
-    def sweep(self, now: str, days: int = 30) -> int:
-        """Drop chunks older than days (0: off) and compact only if any were. Returns how many."""
+    def sweep(self, now: str, days: int | None = None) -> int:
+        """Drop chunks older than days (0: off, None: as the tenant's settings say) and compact only if any were. Returns how many."""
+        days = config.read(self.store).days if days is None else days
         with self.metrics.timed("sweep"):
             chunks = self._chunks()
             n = lifecycle.expired(chunks, now, days).count()
@@ -241,6 +255,13 @@ class Engine:
 
         return stats_rollup(self._chunks(), self.store.read("docs"), self.store.read("feedback"))
 
+    def health(self) -> DataFrame:
+        """One row: status, tenant, n_chunks, n_docs, n_symbols, days, audit_days and the embedder's version."""
+        held = config.read(self.store)
+        count = lambda name: self.store.read(name).agg(F.count("*").alias(f"n_{name}"))
+        rows = count("chunks").join(F.broadcast(count("docs"))).join(F.broadcast(count("symbols")))
+        return rows.select(F.lit("ok").alias("status"), F.lit(self.tenant).alias("tenant"), "*", F.lit(held.days).alias("days"), F.lit(held.audit_days).alias("audit_days"), F.lit(self.embedder.version).alias("embedder"))
+
     def export(self, path: str) -> DataFrame:
         return files.export({t: self.store.read(t) for t in ("chunks", "docs", "feedback")}, path)
 

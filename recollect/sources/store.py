@@ -51,24 +51,38 @@ class Store:
             raise ValueError(f"VERSION_NOT_FOUND: {version}")
         return self.read_json(f"{self.home}/manifests/v{version}.json")
 
-    def read_json(self, path: str) -> dict | None:
+    def read_text(self, path: str) -> str | None:
         """A small file's content; None where there is none."""
         if not self._fs.exists(self._path(path)):
             return None
         stream = self._fs.open(self._path(path))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def write_json(self, path: str, content: dict) -> None:
-        """Published by rename, so that readers see all of it or nothing."""
+    def read_json(self, path: str) -> dict | None:
+        text = self.read_text(path)
+        return None if text is None else json.loads(text)
+
+    def write_text(self, path: str, content: str, replace: bool = False) -> None:
+        """Published by rename, so that readers see all of it or nothing. A file of that name is an error, or replaced in one step."""
         stream = self._fs.create(self._path(path + ".tmp"), True)
-        stream.write(bytearray(json.dumps(content).encode()))
+        stream.write(bytearray(content.encode()))
         stream.close()
-        if not self._fs.rename(self._path(path + ".tmp"), self._path(path)):
+        if replace:
+            jvm = self.spark._jvm.org.apache.hadoop
+            option = getattr(jvm.fs, "Options$Rename")
+            context = jvm.fs.FileContext.getFileContext(self._path(path).toUri(), self._fs.getConf())
+            options = self.spark.sparkContext._gateway.new_array(option, 1)
+            options[0] = option.OVERWRITE
+            context.rename(self._path(path + ".tmp"), self._path(path), options)
+        elif not self._fs.rename(self._path(path + ".tmp"), self._path(path)):
             raise OSError(f"{path} could not be published")
 
+    def write_json(self, path: str, content: dict) -> None:
+        self.write_text(path, json.dumps(content))
+
     def names(self, folder: str) -> list[str]:
         """What lies in a folder."""
         path = self._path(folder)
