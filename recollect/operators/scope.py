@@ -15,11 +15,6 @@ def created_before(cutoff: str, col: str = "created_at") -> Column:
     return F.col(col) < F.lit(cutoff).cast("timestamp_ntz")
 
 
-def with_filters(df: DataFrame, doc_id: str | None = None, source: str | None = None) -> DataFrame:
-    out = df if doc_id is None else df.filter(F.col("doc_id") == doc_id)
-    return out if source is None else out.filter(F.col("source") == source)
-
-
 def lookup(df: DataFrame, id_col: str, value: object) -> DataFrame:
     """The row of an id in a scope already applied, or none."""
     return df.filter(F.col(id_col) == value).limit(1)

@@ -23,13 +23,16 @@ def architecture(concepts: DataFrame, imports: DataFrame, calls: DataFrame, modu
     return kinds.unionByName(targets).unionByName(callers).unionByName(cycles)
 
 
-def markdown(rows: DataFrame) -> str:
-    """The summary as text. Its size is bounded by the numbers of kinds and modules."""
+def markdown(rows: DataFrame, most: int = 100) -> str:
+    """The summary as text: of each section the first most rows by number and name, and how many more there are."""
     out = ["# Architecture"]
     titles = {"kind": "Concepts", "imported": "Most imported", "calling": "Most call sites", "cycle": "Modules on cycles"}
-    found = rows.orderBy("section", F.desc("n"), "item").collect()
+    total = dict(map(tuple, rows.groupBy("section").count().collect()))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "item"))
+    found = rows.withColumn("place", place).filter(F.col("place") <= most).orderBy("section", "place").collect()
     for section, title in titles.items():
         lines = [f"- {r['item']}: {r['n']}" for r in found if r["section"] == section]
+        lines += [f"- and {total[section] - most} more"] if total.get(section, 0) > most else []
         out += ["", f"## {title}", *(lines or ["- none"])]
     return "\n".join(out) + "\n"
 

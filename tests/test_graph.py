@@ -1,4 +1,4 @@
-from recollect.operators import code, graph
+from recollect.operators import code, graph, summary
 
 
 def edges(spark, rows):
@@ -80,3 +80,11 @@ def test_python_concepts(spark):
     files = spark.createDataFrame([("a.py", "class A:\n    def f(self, x):\n        return g(x)\ndef g(y):\n    return y\n"), ("b.rs", "fn x(){}"), ("c.py", "def (")], "file string, text string")
     got = {r["qualified_name"]: (r["kind"], r["start_line"], r["calls"]) for r in code.python_concepts(files).collect()}
     assert got == {"A": ("class", 1, ["g"]), "A.f": ("method", 2, ["g"]), "g": ("function", 4, []), "b.rs": ("skipped", 0, []), "c.py": ("skipped", 0, [])}
+
+
+def test_markdown_is_bounded(spark):
+    rows = spark.createDataFrame([("kind", "class", 2), ("kind", "function", 9)] + [("cycle", f"m{i}", 1) for i in range(7)], "section string, item string, n long")
+    text = summary.markdown(rows, 3)
+    assert text.startswith("# Architecture\n\n## Concepts\n- function: 9\n- class: 2\n\n## Most imported\n- none\n")
+    assert text.endswith("## Modules on cycles\n- m0: 1\n- m1: 1\n- m2: 1\n- and 4 more\n")
+    assert summary.markdown(rows.limit(0)).count("- none") == 4

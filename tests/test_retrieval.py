@@ -133,3 +133,14 @@ def test_knn_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "BLOCK", 6)
     assert key(vector.knn_batch(v, asked, 4)) == whole == sorted(want)
     assert vector.knn_batch(v, asked.limit(0), 4).collect() == []
+
+
+def test_batches_of_many_blocks_are_appended(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(80)] + [(99, None)], "chunk_id long, vector array<double>")
+    asked = points.filter("vector is not null").selectExpr("chunk_id AS query_id", "vector AS query_vector")
+    rows = lambda: sorted(map(tuple, vector.knn_batch(points, asked, 3).select("query_id", "chunk_id", "distance", "rank").collect()))
+    whole = rows()
+    monkeypatch.setattr(vector, "BLOCK", 20)
+    assert rows() == whole and len(whole) == 240  # in one plan
+    monkeypatch.setattr(vector, "PLANNED", 2)
+    assert rows() == whole
