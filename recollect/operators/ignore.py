@@ -16,20 +16,28 @@ NAME = ".gitignore"
 #: A folder is salted beyond COMMON entries and 1/HOT of all entries, to parts of about that number.
 COMMON, HOT = 100_000, 10_000
 #: What a pattern is made of: folders in between, all below, an escape, a class, stars, a mark, letters.
-PART = r"(?<![^/])\*\*/|(?<![^/])\*\*$|\\[\s\S]|\[[!^]?\]?[^\]]*\]|\*+|\?|[^\\*?\[]+|[\s\S]"
+PART = r"(?<![^/])\*\*/|(?<![^/])\*\*$|\\[\s\S]|\[[!^]?+(?:\\.|[^\\])(?:\\.|[^\]\\])*\]|\*+|\?|[^\\*?\[]+|[\s\S]"
 
 
 def _expression(pattern: Column) -> Column:
     """The regular expression of a pattern without its marks for negation, folders and places."""
     quoted = lambda p: F.regexp_replace(p, r"([^\p{L}\p{N}/_ -])", r"\\$1")
-    inside = lambda p: F.regexp_replace(F.regexp_replace(p, r"^\[[!^]", "[^"), r"(?<!^)([\[&])", r"\\$1")
+    last = lambda e: F.substring(e, -1, 1)
+    start = lambda r: F.when(r.startswith("\\"), F.substring(r, 2, 1)).otherwise(F.substring(r, 1, 1))
+
+    def one_of(p: Column) -> Column:
+        body = F.regexp_extract(p, r"(?s)^\[[!^]?(.*)\]$", 1)
+        letters = F.transform(F.regexp_extract_all(body, F.lit(r"\\.|[\s\S]"), F.lit(0)), lambda e: F.when(e.isin("-", "\\-"), e).otherwise(quoted(last(e))))
+        reversed_ = F.exists(F.regexp_extract_all(body, F.lit(r"(?:\\.|[^\\])-(?:\\.|[^\\])"), F.lit(0)), lambda r: start(r) > last(r))
+        return F.when(reversed_, "(?!)").otherwise(F.concat(F.when(p.rlike(r"^\[[!^]"), "(?!/)[^").otherwise("(?!/)["), F.array_join(letters, ""), F.lit("]")))
+
     part = lambda p: (
         F.when(p == "**/", "(?:.*/)?")
         .when(p == "**", ".+")
         .when(p.rlike(r"^\*+$"), "[^/]*")
         .when(p == "?", "[^/]")
         .when(p.rlike(r"^\\.$"), quoted(F.substring(p, 2, 1)))
-        .when(p.rlike(r"^\[.+\]$"), F.concat(F.lit("(?!/)"), inside(p)))
+        .when(p.rlike(r"^\[.+\]$"), one_of(p))
         .otherwise(quoted(p))
     )
     # a pair of stars that doesn't stand for whole folders is one star; PART tells them apart by what is around them
@@ -43,7 +51,7 @@ def rules(files: DataFrame) -> DataFrame:
     Blank lines and lines that begin with `#` say nothing. `!` negates, a last `/` is for folders only, a `/` elsewhere binds
     a pattern to the rule file's own folder; other patterns hold at any depth below. `*` and `?` stop at a `/`, `**/` and `/**`
     don't, `?`, `[a-z]` and `[!a]` are one character (not one byte), `\\` takes the next one as it is. Blanks at a line's end go unless
-    escaped. A null text has no rules, a null file is left out. Of rows that repeat a folder the least text counts.
+    escaped. A class with a range from high to low is met by nothing, named classes aren't known. A null text has no rules, a null file is left out. Of rows that repeat a folder the least text counts.
     """
     held = files.filter(F.col("file").rlike(r"(^|/)\.gitignore$"))
     folder = F.regexp_replace(F.regexp_replace("file", r"\.gitignore$", ""), "/$", "")

@@ -125,3 +125,15 @@ def test_as_git_decides(spark, tmp_path):  # which takes bytes, not letters, for
     df = spark.createDataFrame([(p, "") for p in paths] + list(files.items()), "file string, text string")
     got = {r["file"] for r in ignore.judged(df, ignore.rules(df)).filter("ignored").collect()} & set(paths)
     assert got == set(said.split("\0")) - {""}
+
+
+def test_odd_classes_break_nothing(spark):
+    asked = {"[z-a]": [], "[!]": ["[!]"], "[]": ["[]"], "[]a]": ["]", "a"], "[!]a]": ["b", "z", "-", "&", "\\", "["], "[\\]a]": ["]", "a"], "[a\\-c]": ["a", "c", "-"], "[": ["["], "[a&&b]": ["a", "b", "&"], "[[a]": ["[", "a"], "\\": [], "[\\d]": ["d"], "(": ["("], "[a--]": [], "a{2}": ["a{2}"]}
+    names = ["a", "b", "c", "d", "z", "-", "&", "]", "[", "[]", "[!]", "\\", "(", "a{2}"]
+    asked["[!]a]"] += ["c", "d", "("]
+    df = spark.createDataFrame([(f"{i}/{n}", "") for i in range(len(asked)) for n in names] + [(f"{i}/.gitignore", p) for i, p in enumerate(asked)], "file string, text string")
+    got = {p: set() for p in asked}
+    for r in ignore.judged(df, ignore.rules(df)).filter("ignored").collect():
+        i, name = r["file"].split("/", 1)
+        got[list(asked)[int(i)]].add(name)
+    assert {p: sorted(n - {".gitignore"}) for p, n in got.items() if p != "\\"} == {p: sorted(n) for p, n in asked.items() if p != "\\"}
