@@ -66,6 +66,8 @@ def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
 
 #: Documents of a shard, postings of a block, (query, term) pairs that are sent to all shards at once, segments of a size merged at once.
 SHARD, BLOCK, PAIRS, FAN = 8192, 1024, 200_000, 4
+#: A tenant of so many documents is one shard, and each of its terms one block.
+SMALL = 1024
 #: Terms that a filter names one by one.
 FEW = 64
 #: Room for sums of doubles in another order, and for scores that are equal once rounded.
@@ -178,11 +180,16 @@ def merge_segments(index: Index, segments: list[str], path: str) -> str:
 
 
 def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds shard, ord (numbers in a shard, by id) and avgdl of the tenant. Small tables are dealt to several shards too."""
+    """Adds shard, ord (numbers in a shard, by id) and avgdl of the tenant. Small tables are dealt to several shards too.
+
+    Rows learn their tenant's shards where they lie, so that a tenant's texts never meet: only tenants of over SMALL rows are
+    sent to all tasks (at most a SMALL-th of the rows). The others are one shard whose terms are single blocks, so their avgdl orders nothing.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    sizes = rows.groupBy(F.col("tenant_id").alias("owner")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    sizes = sizes.select("owner", "avgdl", F.ceil(F.col("n") / F.least(F.lit(SHARD), F.greatest(F.lit(1024), F.col("n") / cores))).alias("shards"))
-    dealt = rows.join(sizes, F.col("tenant_id").eqNullSafe(F.col("owner"))).drop("owner").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int")).drop("shards")
+    sizes = rows.groupBy(F.col("tenant_id").alias("owner")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).filter(F.col("n") > SMALL)
+    sizes = sizes.select("owner", "avgdl", F.ceil(F.col("n") / F.least(F.lit(SHARD), F.greatest(F.lit(SMALL), F.col("n") / cores))).alias("shards"))
+    dealt = rows.join(F.broadcast(sizes), F.col("tenant_id").eqNullSafe(F.col("owner")), "left").drop("owner")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards").withColumn("avgdl", F.coalesce("avgdl", F.lit(1.0)))
     return dealt.withColumn("ord", (F.row_number().over(Window.partitionBy("tenant_id", "shard").orderBy(*order)) - 1).cast("int"))
 
 

@@ -122,3 +122,26 @@ def test_equal_scores_go_to_the_smaller_id_over_shards(spark, tmp_path, monkeypa
     docs = spark.createDataFrame([(i, "t", "same text") for i in range(2000)], "chunk_id long, tenant_id string, text string")
     index = lexical.write_index(docs, f"file://{tmp_path}/i")
     assert [r["chunk_id"] for r in lexical.search(index, "same", 20).collect()] == list(range(20))
+
+
+def test_a_tenants_texts_meet_by_shard_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "SMALL", 8, raising=False)
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["x", None, *(f"t{k}" for k in range(40))]) if i % 3 else "x", text(rng)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "chunk_id long, tenant_id string, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where Spark expects too large a table
+    try:
+        held = docs.selectExpr("chunk_id", "tenant_id", "split(text, ' ') AS t", "size(split(text, ' ')) AS dl").repartition(8)
+        placed = lexical._placed(held, ["chunk_id"])
+        placed.collect()
+        plan = placed._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # else a task holds all texts of a tenant
+        index = lexical.write_index(docs, f"file://{tmp_path}/i")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shards = {r["tenant_id"]: r["n"] for r in index.table("docs").groupBy("tenant_id").agg(F.countDistinct("shard").alias("n")).collect()}
+    assert shards["x"] > 1 and set(shards) == {r[1] for r in rows}
+    for tenant in ("x", "t0", "t7", None):
+        own = docs if tenant is None else docs.filter(F.col("tenant_id") == tenant)
+        assert [tuple(r) for r in lexical.search(index.of(tenant), "w1 w7 w30", 20).collect()] == plain(own, "w1 w7 w30")
