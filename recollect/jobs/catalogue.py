@@ -756,8 +756,10 @@ def call_sites_top5(spark, sf):
 
 @query(BATCH + ", g AS (SELECT h.query_id, min(h.rank) AS first FROM h JOIN documents d ON d.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id WHERE contains(d.text, b.text) GROUP BY h.query_id) SELECT count(*) AS n_queries, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg((first IS NOT NULL)::INT), 6) AS recall FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) LEFT JOIN g USING (query_id)")
 def ir_mrr_recall_at5(spark, sf):
-    """A hit is relevant if it contains the query's passage."""
-    hits = batch_hits(spark, sf)
+    """A hit is relevant if it contains the query's passage. Hits are saved, so that their size is known before they meet the texts: where they are few, no text moves."""
+    from recollect.functions.shared import save
+
+    hits = save(batch_hits(spark, sf), "hits")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     relevant = hits.join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id").join(asked, "query_id").filter(F.contains("text", "passage"))
     return evaluation.mrr_recall(hits, asked, relevant)

@@ -50,3 +50,13 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["chunk_id", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_texts_stay_where_few_hits_ask_for_them(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "48k")  # less than the texts, more than the hits
+    try:
+        plan = catalogue.QUERIES["ir_mrr_recall_at5"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "hashpartitioning(chunk_id" not in plan and "BroadcastHashJoin" in plan
