@@ -190,6 +190,9 @@ def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
     sizes = sizes.select("owner", "avgdl", F.ceil(F.col("n") / F.least(F.lit(SHARD), F.greatest(F.lit(SMALL), F.col("n") / cores))).alias("shards"))
     dealt = rows.join(F.broadcast(sizes), F.col("tenant_id").eqNullSafe(F.col("owner")), "left").drop("owner")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards").withColumn("avgdl", F.coalesce("avgdl", F.lit(1.0)))
+    parts = 2 * math.ceil(rows.count() / SHARD)  # so that a task holds few shards, however many there are
+    if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        dealt = dealt.repartition(parts, "tenant_id", "shard")
     return dealt.withColumn("ord", (F.row_number().over(Window.partitionBy("tenant_id", "shard").orderBy(*order)) - 1).cast("int"))
 
 

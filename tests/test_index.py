@@ -145,3 +145,11 @@ def test_a_tenants_texts_meet_by_shard_only(spark, tmp_path, monkeypatch):
     for tenant in ("x", "t0", "t7", None):
         own = docs if tenant is None else docs.filter(F.col("tenant_id") == tenant)
         assert [tuple(r) for r in lexical.search(index.of(tenant), "w1 w7 w30", 20).collect()] == plain(own, "w1 w7 w30")
+
+
+def test_tasks_hold_few_shards(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SMALL", 8, raising=False)
+    monkeypatch.setattr(lexical, "SHARD", 16)
+    held = spark.range(1200).selectExpr("id AS chunk_id", "'t' AS tenant_id", "array('a', 'b') AS t", "2 AS dl").repartition(8)
+    parts = [r["count"] for r in lexical._placed(held, ["chunk_id"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 1200 and max(parts) < 150  # dealt to 4 shuffle partitions they are 300 or more
