@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.jobs.engine import Engine
+from recollect.operators import lexical
 from recollect.sources import metrics
 
 NOW = "2024-01-01 00:00:00"
@@ -44,3 +45,17 @@ def test_series_of_a_service_run(spark, tmp_path):
     assert [got["documents_total", f'status="{s}"'] for s in ("ingested", "duplicate", "EMPTY_TEXT")] == [3, 1, 2]
     assert got["chunks_total", ""] == got["embeddings_total", ""] == got["expired_total", ""] == 3
     assert got["operations_total", 'action="search",outcome="ok"'] == got["operation_seconds_count", 'action="ingest"'] == 2
+
+
+def test_the_one_tenant_of_a_service_run_is_no_single_task(spark, tmp_path, monkeypatch):
+    plans, write = [], lexical._write
+    monkeypatch.setattr(lexical, "_write", lambda path, docs, each: plans.append(each._jdf.queryExecution().executedPlan().toString()) or write(path, docs, each))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where Spark expects too large a table
+    try:
+        e = Engine(spark, f"file://{tmp_path}", "t")
+        e.ingest(spark.createDataFrame([("a", "red house"), ("b", "blue house")], "doc_id string, text string"), "w", "me", NOW)
+        assert e.search("house", "w").count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0]  # which would bring all its tokens together
